@@ -17,6 +17,7 @@ def main(argv):
     parts = [a for a in argv if not a.startswith("/")]
     spark = (
         SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g")
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-wh-", dir="/tmp"))
