@@ -27,7 +27,8 @@ def main(argv):
     con = connect(sf_dir)
     bad = 0
     for name, entry in CATALOG.items():
-        if parts and not any(p in name for p in parts):
+        home = entry.run.__module__.rsplit(".", 1)[-1]
+        if parts and not any(p in name or p == "@" + home for p in parts):
             continue
         start = time.time()
         try:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from wayside import functions as X
 from wayside import model
 from wayside.model import INCIDENT, QualityThresholds, Roles, US_BOX, WORLD_BOX
+from wayside.operators.quantiles import exact_quantiles
 from wayside.operators.records import metric_rows, one_row, percent, spread
 
 DEFAULT = QualityThresholds()
@@ -207,18 +208,22 @@ def numeric_score(validation: DataFrame) -> DataFrame:
 
 
 def iqr_outliers(
-    df: DataFrame, columns: Sequence[str] | None = None, accuracy: int = 10_000
+    df: DataFrame, columns: Sequence[str] | None = None, accuracy: int | None = None
 ) -> DataFrame:
-    """Values beyond 1.5 interquartile ranges.  The quartiles are a mergeable sketch of rank
-    error 1/accuracy; counting against the bounds is a second pass."""
+    """Values beyond 1.5 interquartile ranges.  The quartiles are exact; with ``accuracy`` they
+    come from one sketch of rank error 1/accuracy instead.  Counting against the bounds is a
+    pass of its own."""
     wanted = columns or [
         c for n in model.IQR_COLUMNS
         if (c := model.delivered_or_renamed(df.columns, n)) is not None
     ]
-    quartiles = one_row(
-        df, {c: F.percentile_approx(c, [0.25, 0.75], accuracy) for c in wanted}
-    ).asDict()
-    bounds = {c: q for c, q in quartiles.items() if q}
+    if accuracy is None:
+        quartiles = exact_quantiles(df, {c: (0.25, 0.75) for c in wanted})
+    else:
+        quartiles = one_row(
+            df, {c: F.percentile_approx(c, [0.25, 0.75], accuracy) for c in wanted}
+        ).asDict()
+    bounds = {c: q for c, q in quartiles.items() if q and q[0] is not None}
     counted = df.agg(
         _total().alias("rows"),
         *[
