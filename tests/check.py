@@ -34,7 +34,7 @@ def main(argv):
         try:
             rows, problems = compare(spark, con, entry, sf_dir)
         except Exception as error:  # report and go on
-            rows, problems = -1, [f"{type(error).__name__}: {str(error)[:1500]}"]
+            rows, problems = -1, [f"{type(error).__name__}: {str(error)[:500]}"]
         bad += bool(problems)
         mark = "BAD " if problems else ("ok  " if entry.sql else "rows")
         print(f"{mark} {name:36s} {rows:7d} rows {time.time() - start:6.2f}s", flush=True)

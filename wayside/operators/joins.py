@@ -18,7 +18,7 @@ _LEFT_MAY_GO = {"inner", "right", "right_outer", "rightouter"}
 
 def planned_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of a table, without running a job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_small(df: DataFrame, limit_mb: float = 200) -> DataFrame:
