@@ -131,22 +131,26 @@ class Silver:
     scores: DataFrame
 
 
-def build_silver(bronze: DataFrame, database: str, roles: Roles = INCIDENT) -> Silver:
-    """Clean, add features, write the three silver tables, prepare every report."""
+def build_silver(
+    bronze: DataFrame,
+    database: str | None = None,
+    location: str | None = None,
+    roles: Roles = INCIDENT,
+) -> Silver:
+    """Clean, add features, write the three silver tables, prepare every report.  Tables go to
+    ``location`` if one is given, else to the warehouse."""
     spark = bronze.sparkSession
     cleaned = clean_incidents(bronze, roles)
     featured = materialise(create_features(cleaned, roles), "featured")
-    tables = {
-        "accidents_clean": silver_detail_table(featured, f"{database}.accidents_clean", roles),
-        "weather_aggregated": silver_weather_table(
-            featured, f"{database}.weather_aggregated", roles
-        ),
-        "infrastructure_features": silver_infrastructure_table(
-            featured, f"{database}.infrastructure_features", roles
-        ),
-    }
-    for name in tables:
-        analyze_table(spark, f"{database}.{name}")
+    tables = {}
+    for name, write in (
+        ("accidents_clean", silver_detail_table),
+        ("weather_aggregated", silver_weather_table),
+        ("infrastructure_features", silver_infrastructure_table),
+    ):
+        full = f"{database}.{name}" if database else name
+        tables[name] = write(featured, full, roles, f"{location}/{name}" if location else None)
+        analyze_table(spark, full)
     rows_in, rows_out = bronze.count(), featured.count()
     cleaned_score = cleaning.cleaning_score(rows_in, rows_out, corrections_made(bronze.columns))
     made = sum(c in featured.columns for family in FAMILIES.values() for c in family)
