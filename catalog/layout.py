@@ -87,7 +87,7 @@ def _bucketed(spark, sf):
         sides[name] = S.write_bucketed_table(
             table(spark, sf, name).withColumnRenamed(key, "orderkey"),
             f"{name}_{mark}", layout, scratch_path(spark, f"bucketed-{name}"))
-    return tidy(sides["orders"].hint("merge").join(sides["lineitem"], "orderkey")
+    return tidy(J.bucketed_join(sides["orders"], sides["lineitem"], "orderkey", 16)
                 .groupBy("o_orderpriority")
                 .agg(F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").alias("quantity")), 2)
 
@@ -299,9 +299,9 @@ def _coalesce(spark, sf):
     return _line_totals(L.coalesce_small_files(table(spark, sf, "lineitem")))
 
 
-@query("balanced_for_write", _LINES)
+@query("balanced", _LINES)
 def _balanced(spark, sf):
-    return _line_totals(L.balanced_for_write(table(spark, sf, "lineitem"), "l_returnflag"))
+    return _line_totals(L.balanced(table(spark, sf, "lineitem"), "l_returnflag"))
 
 
 @query("estimate_size")

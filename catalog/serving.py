@@ -373,3 +373,11 @@ def _bucket(spark, sf):
     return table(spark, sf, "orders").groupBy(
         G.month_bucket_key(F.col("o_orderdate")).alias("bucket")
     ).agg(F.count(F.lit(1)).alias("orders"))
+
+
+@query("severity_model")
+def _model(spark, sf):
+    from wayside.operators.severity_model import train_severity_model
+
+    source = featured(spark, sf)
+    return tidy(train_severity_model(source).score(source))

@@ -14,6 +14,7 @@ MEGABYTE = 1024 * 1024
 _RIGHT_MAY_GO = {"inner", "left", "left_outer", "leftouter", "semi", "left_semi", "anti",
                  "left_anti"}
 _LEFT_MAY_GO = {"inner", "right", "right_outer", "rightouter"}
+_FULL = {"full", "outer", "full_outer", "fullouter"}
 
 
 def planned_bytes(df: DataFrame) -> int:
@@ -35,7 +36,8 @@ def sized_equi_join(
 ) -> DataFrame:
     """Join on same-named keys; the smaller side is broadcast if it is within the limit and
     the join type allows it.  Otherwise adaptive execution picks a shuffled join and splits
-    skewed partitions."""
+    skewed partitions.  It cannot split a full outer join, so a large one is run as a left
+    outer join and the unmatched rest of the right side, which it can."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     sizes = planned_bytes(left), planned_bytes(right)
     kind = how.lower()
@@ -43,9 +45,44 @@ def sized_equi_join(
         right = broadcast_small(right, limit_mb)
     elif kind in _LEFT_MAY_GO:
         left = broadcast_small(left, limit_mb)
+    elif kind in _FULL and max(sizes) > limit_mb * MEGABYTE:
+        matched = left.join(right, keys, "left")
+        rest = right.join(left.select(*keys), keys, "left_anti")
+        return matched.unionByName(rest, allowMissingColumns=True)
     return left.join(right, keys, how)
 
 
+def frequent_keys(df: DataFrame, key: str, share: float) -> list:
+    """The keys that hold more than ``share`` of the rows; at most 1 / share of them."""
+    counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col(key).isNotNull())
+    most = df.agg(F.count(F.lit(1)).alias("n")).first().n * share
+    return [r[0] for r in counted.filter(F.col("n") > most).select(key).collect()]
+
+
+def bucketed_join(
+    left: DataFrame, right: DataFrame, key: str, buckets: int, frequent: Sequence | None = None
+) -> DataFrame:
+    """Inner join of two tables bucketed alike on ``key``, without a shuffle.
+
+    A bucket is read by one task, whatever its size.  Keys that fill more than a whole
+    average bucket are therefore joined beside it with a shuffle that adaptive execution can
+    split; usually there are none.  ``frequent`` names them where they are known."""
+    if frequent is None:
+        share = 1.0 / buckets
+        frequent = sorted(
+            set(frequent_keys(left, key, share)) | set(frequent_keys(right, key, share))
+        )
+    if not frequent:
+        return left.hint("merge").join(right, key)
+    hot = F.col(key).isin(*frequent)
+    rest = left.filter(~hot).hint("merge").join(right.filter(~hot), key)
+    # a shuffle on purpose: its partitions, unlike buckets, can be split
+    shuffled = left.filter(hot).repartition(key).hint("merge").join(
+        right.filter(hot).repartition(key), key
+    )
+    return rest.unionByName(shuffled)
+
+
 def lookup_join(
     df: DataFrame,
     lookup: DataFrame,

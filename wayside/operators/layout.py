@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from wayside.model import INCIDENT, Roles
 from wayside.operators.joins import MEGABYTE, planned_bytes
-from wayside.operators.records import one_row
 
 
 @dataclass(frozen=True)
@@ -115,19 +114,27 @@ def partitions_for_state(df: DataFrame, rules: LayoutRules = RULES) -> DataFrame
     )
 
 
+def balanced(df: DataFrame, *columns: str, partitions: int | None = None) -> DataFrame:
+    """Hash rows by the columns, so that equal values sit together, but never in one huge
+    task: adaptive execution splits partitions above, and merges those below, its advisory
+    size.  A plain ``repartition`` would put all rows of a frequent value into one task."""
+    sizes = [] if partitions is None else [partitions]
+    return df.hint("rebalance", *sizes, *[F.col(c) for c in columns])
+
+
 def repartition_by_date(df: DataFrame) -> DataFrame:
-    return df.repartition("partition_year", "partition_month", "partition_day")
+    return balanced(df, "partition_year", "partition_month", "partition_day")
 
 
 def repartition_by_state(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Hash on the state.  ``partitions`` defaults to what ``partitions_for_state`` finds."""
+    """By state.  ``partitions`` defaults to what ``partitions_for_state`` finds."""
     if partitions is None:
         partitions = partitions_for_state(df).first()[0]
-    return df.repartition(partitions, "partition_state")
+    return balanced(df, "partition_state", partitions=partitions)
 
 
 def repartition_hierarchical(df: DataFrame) -> DataFrame:
-    return df.repartition("partition_year", "partition_month", "partition_state")
+    return balanced(df, "partition_year", "partition_month", "partition_state")
 
 
 def repartition_auto(df: DataFrame) -> DataFrame:
@@ -153,30 +160,27 @@ def apply_partitioning(df: DataFrame, strategy: str = "auto", roles: Roles = INC
     return STRATEGIES[strategy](partition_columns(df, roles))
 
 
-def balanced_for_write(df: DataFrame, *columns: str) -> DataFrame:
-    """Bring rows of the same partition values together for a partitioned write, without
-    making one huge task of a frequent value: adaptive execution splits oversized and
-    merges undersized shuffle partitions."""
-    return df.hint("rebalance", *[F.col(c) for c in columns])
-
-
-def estimate_size(df: DataFrame, fraction: float = 0.01, seed: int = 42, floor_rows: int = 100):
-    """One row: sampled rows, mean JSON bytes of a row, rows, estimated MB.  When the sample
-    is smaller than ``floor_rows`` the first rows take its place, so small tables are not
+def estimate_size(
+    df: DataFrame, fraction: float = 0.01, seed: int = 42, floor_rows: int = 100
+) -> DataFrame:
+    """One row: sampled rows, mean JSON bytes of a row, rows, estimated MB, from one scan.
+    Rows outside the sample are counted but not turned into JSON.  When the sample is
+    smaller than ``floor_rows`` the first rows take its place, so that small tables are not
     estimated as empty."""
-    def mean_bytes(part: DataFrame) -> DataFrame:
-        size = F.octet_length(F.to_json(F.struct("*")))
-        return part.select(size.alias("bytes")).agg(
-            F.count(F.lit(1)).alias("sampled_rows"), F.avg("bytes").alias("mean_row_bytes")
-        )
-
-    sampled = mean_bytes(df.sample(fraction=fraction, seed=seed)).first()
-    rows = one_row(df, {"n": F.count(F.lit(1))}).n
-    if sampled.sampled_rows < floor_rows:
-        sampled = mean_bytes(df.limit(floor_rows)).first()
-    mean = sampled.mean_row_bytes or 0.0
+    size = F.octet_length(F.to_json(F.struct("*")))
+    seen = df.select(F.when(F.rand(seed) < fraction, size).alias("bytes")).agg(
+        F.count("bytes").alias("sampled"), F.avg("bytes").alias("mean"),
+        F.count(F.lit(1)).alias("rows"),
+    ).first()
+    sampled, mean = seen.sampled, seen.mean
+    if sampled < floor_rows:
+        head = df.limit(floor_rows).select(size.alias("bytes")).agg(
+            F.count("bytes").alias("sampled"), F.avg("bytes").alias("mean")
+        ).first()
+        sampled, mean = head.sampled, head.mean
+    mean = mean or 0.0
     return df.sparkSession.createDataFrame(
-        [(sampled.sampled_rows, mean, rows, mean * rows / MEGABYTE)],
+        [(sampled, mean, seen.rows, mean * seen.rows / MEGABYTE)],
         "sampled_rows bigint, mean_row_bytes double, total_rows bigint, estimated_mb double",
     )
 
@@ -220,8 +224,10 @@ def right_size_partitions(df: DataFrame, size_mb: float | None = None, target_mb
 def repartition_to_size(
     df: DataFrame, columns: Sequence[str] = (), target_mb: int = 128, size_mb: float | None = None
 ) -> DataFrame:
+    """``size_mb`` spares the sizing scan where the size is known."""
     wanted = partitions_by_size(estimated_mb(df) if size_mb is None else size_mb, target_mb)
-    return df.repartition(wanted, *[c for c in columns if c in df.columns])
+    present = [c for c in columns if c in df.columns]
+    return balanced(df, *present, partitions=wanted) if present else df.repartition(wanted)
 
 
 def coalesce_small_files(df: DataFrame, target_mb: int = 128, size_mb: float | None = None):

@@ -15,7 +15,7 @@ from wayside import functions as X
 from wayside import model
 from wayside.model import INCIDENT, QualityThresholds, Roles, US_BOX, WORLD_BOX
 from wayside.operators.quantiles import exact_quantiles
-from wayside.operators.records import metric_rows, one_row, percent, spread
+from wayside.operators.records import metric_rows, one_line, one_row, percent, spread
 
 DEFAULT = QualityThresholds()
 
@@ -382,10 +382,7 @@ def quality_figures(
     copies = duplicate_analysis(df, roles.id, thresholds).select(
         "duplicate_rows", "duplicate_percentage", "id_duplicates"
     )
-    # both sides are single aggregated rows
-    return figures.withColumn("_one", F.lit(1)).join(
-        F.broadcast(copies.withColumn("_one", F.lit(1))), "_one"
-    ).drop("_one")
+    return one_line(figures, copies)
 
 
 def _score_of(figures: DataFrame) -> Column:
@@ -660,10 +657,7 @@ def full_quality_report(
     """Schema, rule and state checks; overall is the share of the three that pass."""
     rules = rule_quality_check(df, roles=roles).select("quality_score", "total_rows")
     states = state_check(df, roles).select(F.col("is_valid").alias("states_valid"))
-    one = F.lit(1)
-    both = rules.withColumn("_one", one).join(
-        F.broadcast(states.withColumn("_one", one)), "_one"
-    ).drop("_one")
+    both = one_line(rules, states)
     passed = (
         F.lit(int(schema_valid))
         + (F.col("quality_score") > 70).cast("int")

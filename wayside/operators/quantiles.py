@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wayside.operators.records import one_row
 
 _STEPS = 500
-_GRID = [i / _STEPS for i in range(_STEPS + 1)]
+_GRID = f"array({', '.join(f'{i / _STEPS}D' for i in range(_STEPS + 1))})"
 
 
 def _rank(p: float, n: int) -> int:
@@ -54,7 +54,7 @@ def exact_quantiles(
             aggregates[f"mid{i}"] = F.count_if(_between(x, low, high))
             aggregates[f"high{i}"] = F.count_if(x == F.lit(high)) if high is not None else nothing
             aggregates[f"grid{i}"] = F.percentile_approx(
-                F.when(_between(x, low, high), x), _GRID, accuracy
+                F.when(_between(x, low, high), x), F.expr(_GRID), accuracy
             )
         row = one_row(df, aggregates)
         for target, (low, high) in list(brackets.items()):

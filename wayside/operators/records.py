@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
@@ -24,6 +25,12 @@ def percent(part: Column, whole: Column, digits: int = 2) -> Column:
     return F.round(F.coalesce(share, F.lit(0.0)), digits)
 
 
+def one_line(*frames: DataFrame) -> DataFrame:
+    """Single-row frames with different columns as one row, without a join."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return stacked.agg(*[F.max(c).alias(c) for f in frames for c in f.columns])
+
+
 def metric_rows(row_df: DataFrame, check: str, metrics: Mapping[str, Column]) -> DataFrame:
     """Long form ``(check, column, metric, value)`` of single-row metrics."""
     return spread(

@@ -105,8 +105,7 @@ def ingest_to_bronze(
     """Read strictly, check schema and quality, drop corrupt rows when the score is below the
     threshold, write partitioned bronze.  The typed rows are written once in between, because
     the checks and the write each need them and CSV is slow to read."""
-    source = spark.read.option("multiLine", multiline).text(csv_path)
-    require_files(source, min_bytes=1)
+    require_files(spark, csv_path, min_bytes=1)
     scanned = csv_scan_strict(spark, csv_path, schema, multiline)
     loaded = materialise(with_ingestion_metadata(scanned), "ingested")
     require_valid_read(loaded)

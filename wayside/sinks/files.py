@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from wayside.model import INCIDENT, Roles
-from wayside.operators.layout import balanced_for_write, partition_columns
+from wayside.operators.layout import balanced, partition_columns
 
 BRONZE_PARTITIONS = ("partition_date", "partition_state")
 
@@ -24,7 +24,7 @@ def write_partitioned(
     """Write by partition values.  Rows are rebalanced on them first, so each value ends up
     in few, evenly sized files however frequent it is."""
     if partition_by:
-        df = balanced_for_write(df, *partition_by)
+        df = balanced(df, *partition_by)
     writer = df.write.mode(mode).format(format).options(**options)
     if compression:
         writer = writer.option("compression", compression)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wayside.model import INCIDENT, Roles
-from wayside.operators.layout import balanced_for_write
+from wayside.operators.layout import balanced
 from wayside.operators.silver import (
     infrastructure_features, silver_detail, weather_aggregated,
 )
@@ -49,7 +49,7 @@ def write_bucketed_table(
     if one_file_per_bucket:
         placed = df.repartition(layout.buckets, *layout.bucket_by)
     else:
-        placed = balanced_for_write(df, *parts, *layout.bucket_by)
+        placed = balanced(df, *parts, *layout.bucket_by)
     writer = (
         placed.write.mode("overwrite")
         .format("orc")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from wayside import model
 from wayside.operators.records import spread
@@ -37,36 +37,47 @@ def scan_with_filters(
     return df
 
 
+def source_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The files at a path with their sizes.  The contents are not read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return listed.select(F.col("path").alias("file_path"), F.col("length").alias("file_size"))
+
+
+def _verdict(min_bytes: int, max_bytes: int) -> Column:
+    size = F.col("file_size")
+    return (
+        F.when(size < min_bytes, "too small").when(size > max_bytes, "too large")
+        .otherwise("accepted")
+    )
+
+
 def source_file_gate(
     df: DataFrame, min_bytes: int = KIBIBYTE, max_bytes: int = 10 * GIBIBYTE
 ) -> DataFrame:
     """One row per file behind a file-based table: rows, size, and whether it passes."""
     files = df.select(
         F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_size").alias("file_size"),
     )
     return (
-        files.groupBy("file_path", "file_name", "file_size")
+        files.groupBy("file_path", "file_size")
         .agg(F.count(F.lit(1)).alias("rows"))
-        .withColumn(
-            "verdict",
-            F.when(F.col("file_size") < min_bytes, "too small")
-            .when(F.col("file_size") > max_bytes, "too large")
-            .otherwise("accepted"),
-        )
+        .withColumn("verdict", _verdict(min_bytes, max_bytes))
     )
 
 
-def require_files(df: DataFrame, **limits) -> DataFrame:
-    """``df`` unchanged; raises when it has no file or one outside the limits."""
-    gate = source_file_gate(df, **limits)
-    seen = gate.agg(
+def require_files(
+    spark: SparkSession,
+    path: str | list[str],
+    min_bytes: int = KIBIBYTE,
+    max_bytes: int = 10 * GIBIBYTE,
+) -> None:
+    """Raises when there is no file at the path, or one outside the limits."""
+    seen = source_files(spark, path).withColumn("verdict", _verdict(min_bytes, max_bytes)).agg(
         F.count(F.lit(1)).alias("files"), F.count_if(F.col("verdict") != "accepted").alias("bad")
     ).first()
     if not seen.files or seen.bad:
         raise ValueError(f"{seen.bad} of {seen.files} source files are rejected")
-    return df
 
 
 def observed(df: DataFrame, name: str = "load") -> tuple[DataFrame, Observation]:
