@@ -18,7 +18,7 @@ def _hotspots(spark, sf):
 
 
 def _risk(severity: str, count: str) -> str:
-    return (f"round(0.5e0 * coalesce(greatest(0.0e0, least(1.0e0, ({severity} - 1) / 3)), 0.0e0)"
+    return (f"round(0.5e0 * greatest(0.0e0, least(1.0e0, coalesce(({severity} - 1) / 3, 0.0e0)))"
             f" + 0.5e0 * {count} / ({count} + 10.0e0), 4)")
 
 

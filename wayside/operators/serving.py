@@ -29,9 +29,10 @@ def _rows() -> Column:
 
 
 def risk_score(mean_severity: Column, incidents: Column) -> Column:
-    """Ours: half from severity (1..4 scaled to 0..1), half from volume n / (n + 10)."""
-    severity = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (mean_severity - 1) / 3))
-    return F.round(0.5 * F.coalesce(severity, F.lit(0.0)) + 0.5 * incidents / (incidents + 10), 4)
+    """Ours: half from severity (1..4 scaled to 0..1, unknown 0), half from volume n / (n + 10)."""
+    scaled = F.coalesce((mean_severity - 1) / 3, F.lit(0.0))
+    severity = F.greatest(F.lit(0.0), F.least(F.lit(1.0), scaled))
+    return F.round(0.5 * severity + 0.5 * incidents / (incidents + 10), 4)
 
 
 def geo_hotspots(
