@@ -27,14 +27,14 @@ def test_shared_scans_give_the_same_reports_as_single_runs(spark):
 def test_shared_reports_read_small_bases_only(spark):
     shared = R.all_reports(featured(spark, SF))
     plan = executed(shared["hourly_patterns"])
-    assert "report-calendar" in plan and "events.parquet" not in plan
+    assert "report-region" in plan and "events.parquet" not in plan
 
 
 def test_reports_are_guarded_one_by_one(spark):
     df = spark.createDataFrame([("CA", 2)], "State string, Severity int")
     assert R.applicable(df) == []
     made = R.all_reports(df.withColumn("City", F.lit("x")))
-    assert set(made) == {"severity_percentiles_by_state", "high_severity_locations"} 
+    assert set(made) == {"severity_percentiles_by_state", "high_severity_locations"}
 
 
 def test_other_column_names(spark):

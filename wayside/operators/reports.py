@@ -1,9 +1,10 @@
 """The report catalogue: what each report groups by and measures, stated as data.
 
 A report run alone is one hash aggregate over the table.  ``all_reports`` runs the whole
-catalogue from four shared scans: reports whose keys fit together are rolled up from one
+catalogue from five shared scans: reports whose keys fit together are rolled up from one
 pre-aggregated base whose size is bounded by the domain (hours, weekdays, states, …), not
-by the number of incidents.
+by the number of incidents.  The bases are cut so that each has at most some ten thousand
+groups (cities aside): few enough to collapse within every task, whatever the row order.
 """
 
 from __future__ import annotations
@@ -44,23 +45,23 @@ class Report:
 
 CATALOGUE = (
     # by time
-    Report("hourly_patterns", "temporal", "calendar", ("hour",),
+    Report("hourly_patterns", "temporal", "region", ("hour",),
            (ROWS, SEVERITY, ("states_affected", "distinct", "state"),
             ("rush_hour_accidents", "true", "rush_hour")),
            order=(("hour", "asc"),)),
-    Report("daily_patterns", "temporal", "calendar", ("dow",),
+    Report("daily_patterns", "temporal", "time", ("dow",),
            (ROWS, SEVERITY, ("weekend_accidents", "true", "weekend"),
             ("weather_variety", "distinct", "weather_category")),
            order=(("dow", "asc"),)),
-    Report("monthly_patterns", "temporal", "calendar", ("month",),
+    Report("monthly_patterns", "temporal", "time", ("month",),
            (ROWS, SEVERITY, ("avg_temperature", "avg", "temperature"),
             ("weather_conditions", "distinct", "weather_category")),
            order=(("month", "asc"),)),
-    Report("seasonal_patterns", "temporal", "calendar", ("season",),
+    Report("seasonal_patterns", "temporal", "time", ("season",),
            (ROWS, SEVERITY, ("avg_temperature", "avg", "temperature"),
             ("avg_visibility", "avg", "visibility"),
             ("max_weather_severity", "max", "weather_score"))),
-    Report("hourly_daily_matrix", "temporal", "calendar", ("hour", "dow"),
+    Report("hourly_daily_matrix", "temporal", "time", ("hour", "dow"),
            (ROWS, SEVERITY), order=(("dow", "asc"), ("hour", "asc"))),
     # by place
     Report("state_summary", "geographic", "place", ("state",),
@@ -69,7 +70,7 @@ CATALOGUE = (
             ("total_infrastructure", "sum", "equipment_count"),
             ("avg_safety_score", "avg", "safety_score")),
            order=(("accident_count", "desc"), ("state", "asc"))),
-    Report("regional_summary", "geographic", "calendar", ("region",),
+    Report("regional_summary", "geographic", "region", ("region",),
            (ROWS, SEVERITY, ("states_in_region", "distinct", "state"),
             ("avg_temperature", "avg", "temperature"),
             ("weather_variety", "distinct", "weather_category"))),
@@ -85,12 +86,12 @@ CATALOGUE = (
            (ROWS, SEVERITY, ("avg_infrastructure", "avg", "equipment_count"),
             ("traffic_control_variety", "distinct", "control"))),
     # by weather
-    Report("weather_category_impact", "weather", "calendar", ("weather_category",),
+    Report("weather_category_impact", "weather", "region", ("weather_category",),
            (ROWS, SEVERITY, ("avg_temperature", "avg", "temperature"),
             ("avg_humidity", "avg", "humidity"), ("avg_visibility", "avg", "visibility"),
             ("avg_wind_speed", "avg", "wind")),
            order=(("accident_count", "desc"), ("weather_category", "asc"))),
-    Report("weather_severity_basic", "weather", "calendar", ("weather_score",),
+    Report("weather_severity_basic", "weather", "region", ("weather_score",),
            (ROWS, ("avg_accident_severity", "avg", "severity"),
             ("states_affected", "distinct", "state")),
            order=(("weather_score", "asc"),)),
@@ -101,7 +102,7 @@ CATALOGUE = (
     Report("visibility_impact", "weather", "classes", ("visibility_class",),
            (ROWS, SEVERITY, ("avg_visibility", "avg", "visibility"),
             ("weather_conditions", "distinct", "weather_category"))),
-    Report("weather_seasonal_patterns", "weather", "calendar", ("weather_category", "season"),
+    Report("weather_seasonal_patterns", "weather", "time", ("weather_category", "season"),
            (ROWS, SEVERITY, ("avg_temperature", "avg", "temperature")),
            order=(("season", "asc"), ("accident_count", "desc"), ("weather_category", "asc"))),
     # by equipment
@@ -116,18 +117,18 @@ CATALOGUE = (
            (ROWS, SEVERITY, ("avg_safety_score", "avg", "safety_score")),
            order=(("equipment_count", "asc"),)),
     # advanced
-    Report("state_rankings", "advanced", "calendar", ("state",),
+    Report("state_rankings", "advanced", "region", ("state",),
            (("total_accidents", "rows", None), SEVERITY,
             ("avg_safety_score", "avg", "safety_score")),
            ranks=(("accident_rank", "total_accidents"), ("severity_rank", "avg_severity"),
                   ("safety_rank", "avg_safety_score"))),
-    Report("weather_severity_correlation", "advanced", "calendar", ("weather_score",),
+    Report("weather_severity_correlation", "advanced", "region", ("weather_score",),
            (ROWS, ("avg_accident_severity", "avg", "severity"),
             ("avg_temperature", "avg", "temperature"),
             ("severity_stddev", "stddev", "severity"), ("min_severity", "min", "severity"),
             ("max_severity", "max", "severity")),
            order=(("weather_score", "asc"),)),
-    Report("complex_temporal_patterns", "advanced", "calendar",
+    Report("complex_temporal_patterns", "advanced", "time",
            ("hour", "weekend", "weather_category"), (ROWS, SEVERITY),
            at_least=(("accident_count", 10),),
            order=(("hour", "asc"), ("weekend", "asc"), ("accident_count", "desc"),
@@ -272,36 +273,37 @@ def _equipment_from_combinations(combos: DataFrame, flags) -> DataFrame:
 # ------------------------------------------------ whole catalogue, shared scans
 
 
+# what a base has to keep of a column for each kind of measure
+_KEPT = {"avg": ("sum", "n"), "sum": ("sum",), "min": ("min",), "max": ("max",),
+         "stddev": ("sum", "n", "sq")}
+_KEEPERS = {
+    "sum": lambda x: F.sum(x.cast("double")), "n": F.count, "min": F.min, "max": F.max,
+    "sq": lambda x: F.sum(x.cast("double") * x),
+}
+
+
 class _Base:
     """One pre-aggregated table from which several reports are rolled up."""
 
-    def __init__(self, name: str, reports: list[Report], roles: Roles, flags, severity: bool):
-        self.name, self.roles = name, roles
-        dims, moments = set(), set()
+    def __init__(self, reports: list[Report], roles: Roles, extra_dims=()):
+        self.roles = roles
+        dims, self.moments = set(), {(roles.severity, "sum"), (roles.severity, "n")}
         for r in reports:
             dims |= set(r.keys)
             for _, kind, role in r.measures:
                 if kind in ("distinct", "true"):
                     dims.add(role)
                 elif kind != "rows":
-                    moments.add(role)
-        if severity:
-            dims.add("severity")
-        self.dims = sorted({getattr(roles, d) for d in dims} | set(flags))
-        self.moments = sorted({getattr(roles, m) for m in moments} | {roles.severity})
+                    self.moments |= {(getattr(roles, role), kept) for kept in _KEPT[kind]}
+        self.dims = sorted({getattr(roles, d) for d in dims} | set(extra_dims))
 
     def build(self, df: DataFrame) -> DataFrame:
-        measures = [F.count(F.lit(1)).alias("n_rows")]
-        for c in self.moments:
-            x = F.col(c)
-            measures += [
-                F.sum(x.cast("double")).alias(f"sum_{c}"), F.count(x).alias(f"n_{c}"),
-                F.min(x).alias(f"min_{c}"), F.max(x).alias(f"max_{c}"),
-                F.sum(x.cast("double") * x).alias(f"sq_{c}"),
-            ]
+        measures = [F.count(F.lit(1)).alias("n_rows")] + [
+            _KEEPERS[kept](F.col(c)).alias(f"{kept}_{c}") for c, kept in sorted(self.moments)
+        ]
         return df.groupBy(*self.dims).agg(*measures)
 
-    def measure(self, kind: str, role: str | None, source: DataFrame) -> Column:
+    def measure(self, kind: str, role: str | None, types: dict) -> Column:
         if kind == "rows":
             return F.sum("n_rows")
         c = getattr(self.roles, role)
@@ -313,8 +315,7 @@ class _Base:
         if kind == "avg":
             return F.try_divide(total, n)
         if kind == "sum":
-            whole = isinstance(source.schema[c].dataType, T.IntegralType)
-            return total.cast("bigint") if whole else total
+            return total.cast("bigint") if isinstance(types[c], T.IntegralType) else total
         if kind == "stddev":
             spread_out = F.greatest(F.sum(f"sq_{c}") - total * total / n, F.lit(0.0))
             return F.when(n > 1, F.sqrt(spread_out / (n - 1)))
@@ -333,20 +334,20 @@ def all_reports(df: DataFrame, roles: Roles = INCIDENT) -> dict[str, DataFrame]:
     by_base: dict[str, list[Report]] = {}
     for report in applicable(df, roles):
         by_base.setdefault(report.base, []).append(report)
-    has_severity = roles.severity in df.columns
-    discrete = has_severity and isinstance(df.schema[roles.severity].dataType, T.IntegralType)
-    flags = present_flags(df.columns, REPORT_EQUIPMENT) if has_severity else []
+    types = {f.name: f.dataType for f in df.schema}
+    has_severity = roles.severity in types
+    discrete = has_severity and isinstance(types[roles.severity], T.IntegralType)
+    flags = present_flags(types, REPORT_EQUIPMENT) if has_severity else []
     if flags:
         by_base.setdefault("equipment", [])
     for name, reports in by_base.items():
-        base = _Base(
-            name, reports, roles, flags if name == "equipment" else (),
-            severity=name == "calendar" and discrete,
-        )
+        by_severity = name == "region" and discrete and roles.state in types
+        extra = flags if name == "equipment" else [roles.severity] if by_severity else []
+        base = _Base(reports, roles, extra)
         rows = materialise(base.build(df), f"report-{name}")
         for report in reports:
             measures = [
-                base.measure(kind, role, df).alias(alias)
+                base.measure(kind, role, types).alias(alias)
                 for alias, kind, role in report.measures
             ]
             keys = [getattr(roles, k) for k in report.keys]
@@ -358,7 +359,7 @@ def all_reports(df: DataFrame, roles: Roles = INCIDENT) -> dict[str, DataFrame]:
                 F.sum(f"n_{roles.severity}").alias("severity_n"),
             )
             made["individual_equipment_analysis"] = _equipment_from_combinations(combos, flags)
-        if name == "calendar" and discrete and roles.state in base.dims:
+        if by_severity:
             counts = rows.groupBy(roles.state, roles.severity).agg(F.sum("n_rows").alias("n"))
             made["severity_percentiles_by_state"] = _percentiles_from_counts(counts, roles, 100)
     if "severity_percentiles_by_state" not in made and {roles.state, roles.severity} <= set(

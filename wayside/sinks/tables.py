@@ -29,27 +29,20 @@ INFRASTRUCTURE = TableLayout(20, ("State",), ("analysis_year",), ("State",))
 
 
 def write_bucketed_table(
-    df: DataFrame,
-    table: str,
-    layout: TableLayout,
-    path: str | None = None,
-    one_file_per_bucket: bool = True,
+    df: DataFrame, table: str, layout: TableLayout, path: str | None = None
 ) -> DataFrame:
     """Replace ``table`` by an ORC table, snappy, with bloom filters on the bucket columns;
     returns the new table.
 
-    Hashing by the bucket columns first gives one file per bucket and partition, which is
-    what bucketed joins want.  A bucket column where one value dominates is better spread
-    with ``one_file_per_bucket=False``: several files per bucket, no oversized task."""
+    Rows are first hashed into as many partitions as there are buckets, by the function the
+    buckets use, so that a bucket is one file per partition value.  The rebalance splits an
+    oversized bucket into several files of the same bucket instead of one huge task."""
     spark = df.sparkSession
     if "." in table:
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {table.split('.')[0]}")
     spark.sql(f"DROP TABLE IF EXISTS {table}")
     parts = [c for c in layout.partition_by if c in df.columns]
-    if one_file_per_bucket:
-        placed = df.repartition(layout.buckets, *layout.bucket_by)
-    else:
-        placed = balanced(df, *parts, *layout.bucket_by)
+    placed = balanced(df, *layout.bucket_by, partitions=layout.buckets)
     writer = (
         placed.write.mode("overwrite")
         .format("orc")
@@ -67,8 +60,7 @@ def write_bucketed_table(
 
 
 def silver_detail_table(df: DataFrame, table: str, roles: Roles = INCIDENT, path=None):
-    """The enriched incidents.  State is skewed, so its buckets may have several files."""
-    return write_bucketed_table(silver_detail(df, roles), table, DETAIL, path, False)
+    return write_bucketed_table(silver_detail(df, roles), table, DETAIL, path)
 
 
 def silver_weather_table(df: DataFrame, table: str, roles: Roles = INCIDENT, path=None):
