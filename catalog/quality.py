@@ -6,7 +6,7 @@ from pyspark.sql import functions as F, types as T
 
 from catalog.base import FLAGS, STATES, incidents, query, r, table, tidy, with_incidents
 from catalog.cleaning import SOUND, delivered
-from wayside.model import DELIVERED_COLUMNS, INCIDENT_SCHEMA, QualityThresholds
+from wayside.model import DELIVERED_COLUMNS, QualityThresholds
 from wayside.operators import layout, quality as Q, schema_checks as S
 from wayside.plans import flows
 from wayside.plans.incidents import INCIDENT_RULES
@@ -487,10 +487,6 @@ def _conformity(spark, sf):
                       F.lit(score).alias("conformity_score"))
 
 
-_MISSING = [f.name for f in INCIDENT_SCHEMA if f.name not in COLUMNS
-            and f.name not in ("Number", "Side")]
-
-
 @query("schema_report", """
 select count(*) as total_rows, false as is_valid, 6 as total_columns, 1 as missing_columns,
  1 as extra_columns, 0 as missing_critical, 2 as type_matches, 2 as convertible_types,
@@ -505,9 +501,8 @@ def _schema(spark, sf):
 
 
 @query("column_set_difference", " union all ".join(
-    f"select '{c}' as \"column\", '{'missing' if c not in have else 'common'}' as status,"
-    f" (select count(*) from events) as total_rows"
-    for have in [set(COLUMNS)] for c in DELIVERED_COLUMNS if c in have or c not in have
+    f"select '{c}' as \"column\", '{'common' if c in COLUMNS else 'missing'}' as status,"
+    f" (select count(*) from events) as total_rows" for c in DELIVERED_COLUMNS
 ) + "".join(
     f" union all select '{c}', 'extra', (select count(*) from events)"
     for c in COLUMNS if c not in DELIVERED_COLUMNS

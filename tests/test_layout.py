@@ -167,3 +167,21 @@ def test_bucketed_table_is_described_and_missing_table_too(spark, tmp_path):
     row = S.table_layout(spark, "described").first()
     assert (row.exists, row.buckets, row.provider) == (True, 3, "orc")
     assert not S.table_layout(spark, "not_there").first().exists
+
+
+def test_a_bucket_is_one_file_unless_it_is_oversized(spark, setting, tmp_path):
+    df = spark.range(0, 100_000, 1, 8).select(
+        F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("id") % 64).cast("bigint").alias("k"),
+        F.sha2(F.col("id").cast("string"), 256).alias("filler"))
+    layout = S.TableLayout(8, ("k",), (), ("k",))
+
+    def files(name):
+        made = S.write_bucketed_table(df, name, layout, str(tmp_path / name))
+        buckets = [f.rsplit("_", 1)[1].split(".")[0] for f in made.inputFiles()]
+        return [buckets.count(b) for b in set(buckets)]
+
+    assert files("evenly") == [1] * 8
+    setting("spark.sql.adaptive.advisoryPartitionSizeInBytes", "500KB")
+    setting("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+    spread = files("split")
+    assert len(spread) == 8 and max(spread) > 1
