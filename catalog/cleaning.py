@@ -371,7 +371,7 @@ def _clean(spark, sf):
         "Sunrise_Sunset", "Traffic_Signal")
 
 
-@query("cleaning_score", with_incidents(f"""
+SCORE_SQL = with_incidents(f"""
 select n_in as input_records, n_in - n_dedup as duplicates_removed,
  n_nulls as records_after_nulls, n_ranged as records_in_range,
  n_ranged - n_out as outliers_removed, n_out as output_records,
@@ -383,7 +383,10 @@ from (select (select count(*) from incidents) as n_in,
  (select count(*) from deduplicated) as n_dedup,
  (select count(*) from {null_chain('deduplicated')[1]}) as n_nulls,
  (select count(*) from tidied) as n_ranged, (select count(*) from {_CLEANED}) as n_out)""",
-    *_CLEAN_CTES))
+    *_CLEAN_CTES)
+
+
+@query("cleaning_score", SCORE_SQL)
 def _score(spark, sf):
     return flows.cleaning_report(delivered(spark, sf))
 

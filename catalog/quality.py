@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F, types as T
 
 from catalog.base import FLAGS, STATES, incidents, query, r, table, tidy, with_incidents
-from catalog.cleaning import SOUND, delivered
+from catalog.cleaning import SCORE_SQL, SOUND, delivered
 from wayside.model import DELIVERED_COLUMNS, QualityThresholds
 from wayside.operators import layout, quality as Q, schema_checks as S
 from wayside.plans import flows
@@ -525,7 +525,9 @@ def _names_check(spark, sf):
 
 # ------------------------------------------------------------------ scores
 
-@query("transformation_score")
+@query("transformation_score", f"""
+select cleaning_score, round(0.4 * cleaning_score + 40.0e0 + 20.0e0, 2) as score
+from ({SCORE_SQL})""")
 def _transformation(spark, sf):
     """Cleaning score of the whole table with the features and tables a silver build makes."""
     cleaned = flows.cleaning_report(delivered(spark, sf))
