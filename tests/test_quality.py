@@ -95,3 +95,22 @@ def test_severity_levels():
     assert [S.schema_severity(s, False) for s in (95, 80, 60, 10)] == [
         "LOW", "MEDIUM", "HIGH", "CRITICAL"]
     assert S.schema_severity(100, True) == "CRITICAL"
+
+
+def test_digest_tells_rows_apart_as_distinct_does(spark):
+    parts = [None, "", "n", "1:", "a", "1:a", "a1:a", "é"]
+    rows = [(a, b, x, [a] if x else None) for a in parts for b in parts
+            for x in (None, 0.0, -0.0, float("nan"), 1.5)] * 2
+    df = spark.createDataFrame(rows, "a string, b string, x double, l array<string>")
+    row = Q.duplicate_analysis(df, key=None).first()
+    assert row.total_rows == len(rows) and row.distinct_rows == df.distinct().count()
+    keyed = Q.duplicate_analysis(df, key="a").first()
+    assert keyed.distinct_rows == row.distinct_rows
+    assert keyed.id_duplicates == len(rows) - len(parts)
+
+
+def test_duplicates_shuffle_digests_only(spark):
+    df = spark.createDataFrame([("a", "some long text")], "ID string, note string")
+    shuffled = [line for line in executed(Q.duplicate_analysis(df)).splitlines()
+                if "Exchange" in line]
+    assert shuffled and all("note" not in line for line in shuffled)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from wayside import functions as X
 from wayside import model
+from wayside.functions.digest import row_digest
 from wayside.model import INCIDENT, QualityThresholds, Roles, US_BOX, WORLD_BOX
 from wayside.operators.quantiles import exact_quantiles
 from wayside.operators.records import metric_rows, one_line, one_row, percent, spread
@@ -291,19 +292,25 @@ def temporal_distribution(df: DataFrame, time: str = INCIDENT.start) -> DataFram
 def duplicate_analysis(
     df: DataFrame, key: str | None = INCIDENT.id, thresholds: QualityThresholds = DEFAULT
 ) -> DataFrame:
-    """Exact duplicate rows and repeated keys from one scan: distinct rows first (copies
-    collapse on the map side), then keys over the distinct rows."""
-    distinct = df.groupBy(*df.columns).agg(_total().alias("_copies"))
-    if key in df.columns:
-        by_key = distinct.groupBy(key)
-        summed = by_key.agg(F.sum("_copies").alias("rows"), _total().alias("distinct_rows"))
+    """Duplicate rows and repeated keys from one scan.  Rows are compared by their SHA-256, so
+    32 bytes per distinct row are shuffled however wide the rows or long the texts are, and
+    copies collapse on the map side.  Keys are then counted over the distinct rows."""
+    fields = {f.name: f for f in df.schema}
+    whole = row_digest(fields.values()).alias("_row")
+    if key in fields:
+        distinct = df.select(row_digest([fields[key]]).alias("_key"), whole).groupBy(
+            "_key", "_row"
+        ).agg(_total().alias("_copies"))
+        summed = distinct.groupBy("_key").agg(
+            F.sum("_copies").alias("rows"), _total().alias("distinct_rows")
+        )
         totals = summed.agg(
             F.coalesce(F.sum("rows"), F.lit(0)).alias("total_rows"),
             F.coalesce(F.sum("distinct_rows"), F.lit(0)).alias("distinct_rows"),
             _total().alias("keys"),
         ).withColumn("id_duplicates", F.col("total_rows") - F.col("keys"))
     else:
-        totals = distinct.agg(
+        totals = df.select(whole).groupBy("_row").agg(_total().alias("_copies")).agg(
             F.coalesce(F.sum("_copies"), F.lit(0)).alias("total_rows"),
             _total().alias("distinct_rows"),
         ).withColumn("id_duplicates", F.lit(0).cast("bigint"))
