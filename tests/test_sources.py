@@ -111,6 +111,14 @@ def test_scratch_is_in_the_configured_folder_and_released(spark):
     assert scratch.release_scratch(spark) >= 2
 
 
+def test_without_a_shared_folder_only_required_copies_fail(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "scratch_root", lambda spark: None)
+    df = spark.range(3)
+    assert scratch.materialise(df) is df
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.materialise(df, required=True)
+
+
 # ---------------------------------------------------------------- streaming
 
 SCHEMA = ("ID string, Severity int, Start_Time timestamp_ntz, Start_Lat double, Start_Lng double,"

@@ -126,6 +126,7 @@ def category_codes(values: DataFrame) -> DataFrame:
     placed = materialise(
         values.orderBy("value").select("value", F.monotonically_increasing_id().alias("at")),
         "codes",
+        required=True,
     )
     # monotonically_increasing_id holds the partition above bit 33, the position below
     part, position = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)

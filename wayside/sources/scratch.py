@@ -44,10 +44,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` once and read it back; without a shared folder ``df`` itself."""
+def materialise(df: DataFrame, label: str = "stage", required: bool = False) -> DataFrame:
+    """Write ``df`` once and read it back.  Without a shared folder ``df`` itself, unless the
+    written copy is ``required`` because computing the rows again could number them anew."""
     spark = df.sparkSession
-    if scratch_root(spark) is None:
+    if scratch_root(spark) is None and not required:
         return df
     path = scratch_path(spark, label)
     df.write.mode("overwrite").parquet(path)
