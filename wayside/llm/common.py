@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -21,6 +22,15 @@ def held_out(doc_id: str | Column = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, if the folder exists
+    there too; elsewhere the package is installed or sent with ``--py-files``."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, known]))
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the folder that ``spark.checkpoint.dir`` names: cuts the
     lineage and survives lost executors.  Only a local session may leave the setting unset."""
