@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import public_tokenizers
 
 from wayside.llm import (
-    bpe, langid, licenses, packing, simhash, spotsigs, tokencount, topk, toxicity,
+    bpe, langid, licenses, packing, simhash, spotsigs, suffix_dedup, tokencount, topk,
+    toxicity,
 )
 from wayside.llm.common import held_out, importable
 
@@ -105,6 +106,16 @@ def op9_spotsigs(spark, sf_dir):
     return spotsigs.edited_halves(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op10_suffix_dedup(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = suffix_dedup.remove_repeats(docs)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return left.select("doc_id", "n_bytes", removed.alias("n_removed"),
+                       F.size("spans").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: The scan of op1 as SQL: lines and whole texts, bigrams with their counts, Dice within bounds.
 ORACLE_SQL["op1_license_scan"] = """
 with templates(template, license, text) as (values {templates}),

@@ -17,7 +17,7 @@ from wayside.llm.common import map_texts
 from wayside.llm.vocabulary import PartIds
 
 #: Characters of a leaf, about.
-LEAF = 256
+LEAF = 96
 
 _safe_space = re.compile(r"(?<=\S) ")
 
