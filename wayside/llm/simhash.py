@@ -78,12 +78,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     groups = components(links(prints.select("fp")))
     own = prints.join(groups.withColumnRenamed("node", "fp"), "fp")
     roots = own.groupBy("component").agg(F.min("least").alias("root"))
-    linked = written(own.join(roots, "component").select("fp", "root"), "linked")
-    return (
-        coded.join(prints, "fp").join(linked, "fp", "left")
-        .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                F.coalesce("root", "least").alias("component_id"))
-    )
+    linked = own.join(roots, "component").select("fp", "root")
+    # a written table: a frequent fingerprint's rows can then be split in the last join
+    group = written(prints.join(linked, "fp", "left").select(
+        "fp", F.coalesce("root", "least").alias("component_id")), "groups")
+    return coded.join(group, "fp").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def links(prints: DataFrame) -> DataFrame:
