@@ -47,9 +47,11 @@ def remove_repeats(
     length: int = LENGTH,
     frequent: int = FREQUENT,
     keep: list[str] | None = None,
+    as_text: bool = False,
 ) -> DataFrame:
-    """The columns ``keep`` (all but the text), and ``n_bytes``, ``kept`` (the remaining bytes),
-    ``spans`` (start and end of every maximal removed run).
+    """The columns ``keep`` (all but the text), and ``n_bytes``, ``kept`` (the remaining bytes;
+    ``as_text`` as a string, without cut characters), ``spans`` (start and end of every maximal
+    removed run).
 
     Texts are UTF-8 bytes, null ones empty; shorter ones than ``length`` lose nothing.  A null
     doc_id is smaller than any other.  Rows that repeat a doc_id with other text are documents in
@@ -82,9 +84,10 @@ def remove_repeats(
     marks = marks.groupBy("doc").agg(F.collect_list(F.struct("at", "reach")).alias("marks"))
     joined = placed.join(marks, "doc", "left").select("row", "tie", "text", "marks")
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    removed = joined.mapInArrow(_cut_out, T.StructType([
+    kind = T.StringType() if as_text else T.BinaryType()
+    removed = joined.mapInArrow(lambda batches: _cut_out(batches, as_text), T.StructType([
         source.schema["row"], T.StructField("n_bytes", T.LongType()),
-        T.StructField("kept", T.BinaryType()), T.StructField("spans", T.ArrayType(span))]))
+        T.StructField("kept", kind), T.StructField("spans", T.ArrayType(span))]))
     return removed.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], "n_bytes", "kept", "spans")
 
 
@@ -468,7 +471,7 @@ def _merged(doc: np.ndarray, at: np.ndarray, size: np.ndarray):
     return doc[first], at[first], (stop - (at[first] & 0xFFFFFFFF)).astype(np.int32)
 
 
-def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut_out(batches: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, stop in slices(batch.column(2)):
             part = batch.slice(start, stop - start)
@@ -486,9 +489,10 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     done = b
                 pieces.append(data[done:])
                 n_bytes.append(len(data))
-                kept.append(b"".join(pieces))
+                rest = b"".join(pieces)
+                kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
                 spans.append([{"start": a, "end": b} for a, b in runs])
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n_bytes, pa.int64()), pa.array(kept, pa.binary()),
+                [part.column(0), pa.array(n_bytes, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary()),
                  pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
                 names=["row", "n_bytes", "kept", "spans"])
