@@ -1,18 +1,24 @@
 """Byte-level BPE encoding by a global shuffle of distinct words, and decoding by the token table.
 
 A word is a match of the vocabulary's pattern.  A batch of documents keeps its text as word
-numbers, in order, which are the positions; its distinct words, one row each however often they
-occur, are dealt out by the word and encoded once where all batches' copies meet.  Their ids go
-back to the batch, which puts its documents together again.
+numbers, in order, which are the positions; its distinct words, each once however often it occurs,
+are dealt out by the word and encoded where all batches' copies meet, each distinct word once.
+Their ids go back to the batch, which puts its documents together again.
+
+Numbers, words and ids travel as compressed blocks: per batch one block of positions, and per batch
+and share of the words one block of words there and one of ids back.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -20,7 +26,9 @@ from wayside.llm.common import map_texts, slices, written
 from wayside.llm.vocabulary import encoding, space_led, token_bytes
 
 #: Bytes of text in a batch (a longer text is a batch alone).
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 20 << 20
+#: Shares of the words for each shuffle partition, so that partitions come out even.
+SHARES = 8
 
 
 def encode(
@@ -34,64 +42,78 @@ def encode(
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = source.schema["doc_id"].dataType
     schema = T.StructType([
-        T.StructField("batch", T.LongType()), T.StructField("doc_id", kind),
-        T.StructField("words", T.BinaryType()), T.StructField("number", T.IntegerType()),
-        T.StructField("word", T.StringType()),
+        T.StructField("batch", T.LongType()), T.StructField("share", T.IntegerType()),
+        T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("block", T.BinaryType()),
     ])
-    arrow_id = pa.int64() if isinstance(kind, T.LongType) else None
-    split = written(source.mapInArrow(lambda b: _split(b, pattern, arrow_id), schema), "words")
-
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        single = encoding(ranks, pattern)._encode_single_piece
-        last = ids = None
-        for batch in batches:
-            out = []
-            for word in batch.column(2).to_pylist():
-                if word != last:
-                    last = word
-                    ids = np.array(single(word.encode("utf-8", "surrogatepass")), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(out, pa.binary())],
-                names=["batch", "number", "ids"])
-
-    words = split.where("number is not null").select("batch", "number", "word")
-    ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(
-        encoded, "batch long, number int, ids binary")
-    home = split.where("number is null").select("batch", "doc_id", "words")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    split = source.mapInArrow(partial(_split, pattern=pattern, shares=SHARES * parts), schema)
+    split = written(split, "words")
+    words = split.where("share is not null").select("batch", "share", "block")
+    ids = words.repartition("share").sortWithinPartitions("share").mapInArrow(
+        partial(_encoded, ranks=ranks, pattern=pattern), "batch long, block binary")
+    home = split.where("share is null").select("batch", "doc_ids", "block")
     return home.groupBy("batch").cogroup(ids.groupBy("batch")).applyInArrow(
         _assemble, T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.BinaryType())]))
 
 
-def _split(batches: Iterator[pa.RecordBatch], pattern: str, arrow_id) -> Iterator[pa.RecordBatch]:
+def _split(batches: Iterator[pa.RecordBatch], pattern: str, shares: int) -> Iterator[pa.RecordBatch]:
     matches = regex.compile(_white_space_property(pattern)).findall
     number = TaskContext.get().partitionId() << 33
     for batch in batches:
         for start, stop in slices(batch.column(1), BATCH_BYTES):
-            texts = batch.column(1).slice(start, stop - start).to_pylist()
-            coded, words = _numbered(texts, matches)
-            n, m = len(coded), len(words)
-            for first in range(0, n, 500):
-                some = coded[first : first + 500]
-                yield _rows(number, len(some), batch.column(0).slice(start + first, len(some)),
-                            pa.array(some, pa.binary()), None, None)
-            for first in range(0, m, 50_000):
-                some = words[first : first + 50_000]
-                yield _rows(number, len(some), pa.nulls(len(some), batch.column(0).type), None,
-                            np.arange(first, first + len(some), dtype=np.int32), some)
+            coded, words = _numbered(batch.column(1).slice(start, stop - start).to_pylist(), matches)
+            block = _packed(np.fromiter(map(len, coded), np.int64, len(coded)),
+                            np.concatenate(coded))
+            ids = batch.column(0).slice(start, stop - start)
+            yield _rows(number, [None], pa.ListArray.from_arrays([0, len(ids)], ids), [block])
+            share = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % shares
+                                 for w in words), np.int64, len(words))
+            order = np.argsort(share, kind="stable")
+            cuts = np.flatnonzero(np.diff(share[order], prepend=-1)).tolist()
+            blocks = []
+            for first, last in zip(cuts, [*cuts[1:], len(order)]):
+                own = order[first:last]
+                data = [words[i].encode("utf-8", "surrogatepass") for i in own.tolist()]
+                blocks.append(_packed(np.diff(own, prepend=0), np.fromiter(map(len, data), np.int64),
+                                      b"".join(data)))
+            if blocks:
+                yield _rows(number, share[order[cuts]].tolist(),
+                            pa.nulls(len(blocks), pa.list_(ids.type)), blocks)
             number += 1
 
 
-def _rows(batch, n, doc_id, coded, numbers, words) -> pa.RecordBatch:
+def _rows(batch: int, shares: list, doc_ids: pa.Array, blocks: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(n, batch, np.int64)), doc_id,
-            pa.nulls(n, pa.binary()) if coded is None else coded,
-            pa.nulls(n, pa.int32()) if numbers is None else pa.array(numbers),
-            pa.nulls(n, pa.string()) if words is None else pa.array(words, pa.string()),
-        ],
-        names=["batch", "doc_id", "words", "number", "word"],
-    )
+        [pa.array(np.full(len(blocks), batch, np.int64)), pa.array(shares, pa.int32()), doc_ids,
+         pa.array(blocks, pa.binary())],
+        names=["batch", "share", "doc_ids", "block"])
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], ranks: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    """The ids of every block's words.  Blocks come sorted by share; a share's words are encoded
+    once and remembered until the next share."""
+    single = encoding(ranks, pattern)._encode_single_piece
+    known: dict[bytes, np.ndarray] = {}
+    now = None
+    for batch in batches:
+        numbers, shares, blocks = (c.to_pylist() for c in batch.columns)
+        out = []
+        for share, block in zip(shares, blocks):
+            if share != now:
+                now, known = share, {}
+            steps, size, data = _unpacked(block, 2)
+            ends = np.cumsum(size).tolist()
+            found, start = [], 0
+            for end in ends:
+                word = data[start:end]
+                start = end
+                if (ids := known.get(word)) is None:
+                    ids = known[word] = single(word)
+                found.append(ids)
+            out.append(_packed(steps, np.fromiter(map(len, found), np.int64, len(found)),
+                               np.fromiter((i for ids in found for i in ids), np.int64)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(numbers, pa.int64()), pa.array(out, pa.binary())], names=["batch", "block"])
 
 
 def _white_space_property(pattern: str) -> str:
@@ -99,7 +121,7 @@ def _white_space_property(pattern: str) -> str:
     return pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
 
 
-def _numbered(texts: list, matches) -> tuple[list[bytes], list[str]]:
+def _numbered(texts: list, matches) -> tuple[list[np.ndarray], list[str]]:
     """Every text as word numbers, and the words; the most frequent word has number 0."""
     parts: list[str] = []
     led, bare = _Numbers(parts, " "), _Numbers(parts, "")
@@ -111,19 +133,21 @@ def _numbered(texts: list, matches) -> tuple[list[bytes], list[str]]:
         sequence[1:] = np.fromiter(map(led.__getitem__, rest), np.int32, len(rest))
         coded.append(sequence)
     found = _Counter()
-    inside = [list(map(found.__getitem__, matches(part))) for part in parts]
-    size = np.fromiter(map(len, inside), np.int64, len(inside))
-    flat = np.fromiter((w for part in inside for w in part), np.int32, int(size.sum()))
+    size, flat = np.empty(len(parts), np.int64), []
+    for i, part in enumerate(parts):
+        inside = list(map(found.__getitem__, matches(part)))
+        size[i] = len(inside)
+        flat.extend(inside)
+    flat = np.array(flat, np.int32)
     begin = np.cumsum(size) - size
-    part_times = np.bincount(np.concatenate(coded), minlength=len(parts)) if coded else size
+    part_times = np.bincount(np.concatenate(coded), minlength=len(parts))
     times = np.bincount(flat, np.repeat(part_times, size), len(found))
     order = np.argsort(-times, kind="stable")
     rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order), dtype=np.int32)
     flat = rank[flat] if len(flat) else flat
     names = list(found)
-    return ([_planes(_ragged(flat, begin[c], size[c])) for c in coded],
-            [names[i] for i in order.tolist()])
+    return [_ragged(flat, begin[c], size[c]) for c in coded], [names[i] for i in order.tolist()]
 
 
 class _Numbers(dict):
@@ -150,20 +174,46 @@ def _ragged(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray
     return flat[np.repeat(begin - (ends - size), size) + np.arange(total)]
 
 
-def _planes(numbers: np.ndarray) -> bytes:
-    """Lowest bytes first, then the second, third and highest: small numbers compress well."""
-    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def _packed(*columns) -> bytes:
+    """Columns of numbers below 2**32, and bytes as the last one if any, compressed.  Of numbers
+    all lowest bytes come first, then the second, third and highest ones."""
+    numbers = [c for c in columns if not isinstance(c, bytes)]
+    head = np.array([len(c) for c in numbers], "<i8").tobytes()
+    planes = [c.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for c in numbers]
+    return zstandard.compress(b"".join([head, *planes, *columns[len(numbers):]]), 3)
+
+
+def _unpacked(block: bytes, numbers: int) -> list:
+    """So many columns of numbers, then the bytes that follow."""
+    data = zstandard.decompress(block)
+    columns, at = [], 8 * numbers
+    for n in np.frombuffer(data, "<i8", numbers).tolist():
+        planes = np.frombuffer(data, np.uint8, 4 * n, at).reshape(4, n)
+        columns.append(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64))
+        at += 4 * n
+    return [*columns, data[at:]]
 
 
 def _assemble(home: pa.Table, words: pa.Table) -> pa.Table:
-    order = np.argsort(words.column("number").to_numpy(), kind="stable")
-    ids = words.column("ids").to_pylist()
-    of = [ids[i] for i in order.tolist()]
-    out = []
-    for coded in home.column("words").to_pylist():
-        numbers = np.ascontiguousarray(np.frombuffer(coded, np.uint8).reshape(4, -1).T).view("<u4")
-        out.append(b"".join([of[i] for i in numbers.ravel().tolist()]))
-    return pa.table({"doc_id": home.column("doc_id"), "ids": pa.array(out, pa.binary())})
+    numbers, ids = [], []
+    for block in words.column("block").to_pylist():
+        steps, size, flat, _ = _unpacked(block, 3)
+        numbers.extend(np.cumsum(steps).tolist())
+        data, ends = flat.astype("<u4").tobytes(), np.cumsum(4 * size)
+        ids.extend(data[a:b] for a, b in zip((ends - 4 * size).tolist(), ends.tolist()))
+    of = [b""] * len(ids)
+    for number, word in zip(numbers, ids):
+        of[number] = word
+    names, out = [], []
+    for doc_ids, block in zip(home.column("doc_ids").chunks, home.column("block").to_pylist()):
+        size, flat, _ = _unpacked(block, 2)
+        names.append(doc_ids.flatten())
+        start = 0
+        for end in np.cumsum(size).tolist():
+            out.append(b"".join([of[i] for i in flat[start:end].tolist()]))
+            start = end
+    return pa.table({"doc_id": pa.chunked_array(names, home.schema.field("doc_ids").type.value_type),
+                     "ids": pa.chunked_array([pa.array(out, pa.binary())])})
 
 
 def decode(
