@@ -14,19 +14,23 @@ from wayside.sources.scratch import scratch_path
 
 # ------------------------------------------------------------------- joins
 
+_SHIFT = 40
+
+
 def _orders_by_customer(how: str):
     def run(spark, sf):
         customers = table(spark, sf, "customer").withColumnRenamed("c_custkey", "custkey")
         orders = table(spark, sf, "orders").withColumnRenamed("o_custkey", "custkey")
-        kept = customers.filter("c_acctbal > 0").select("custkey", "c_mktsegment")
-        recent = orders.filter("o_totalprice > 200000").select("custkey", "o_orderkey")
-        return J.sized_equi_join(kept, recent, "custkey", how)
+        # keys moved so that some customers have no orders and some orders no customer
+        shifted = (F.col("custkey") + F.lit(_SHIFT)).alias("custkey")
+        return J.sized_equi_join(customers.select("custkey", "c_mktsegment"),
+                                 orders.select(shifted, "o_orderkey"), "custkey", how)
 
     return run
 
 
-_SIDES = ("(select c_custkey as custkey, c_mktsegment from customer where c_acctbal > 0) l",
-          "(select o_custkey as custkey, o_orderkey from orders where o_totalprice > 200000) o")
+_SIDES = ("(select c_custkey as custkey, c_mktsegment from customer) l",
+          f"(select o_custkey + {_SHIFT} as custkey, o_orderkey from orders) o")
 for _how, _sql_how in (("inner", "join"), ("left", "left join"), ("right", "right join"),
                        ("full", "full join"), ("left_semi", "semi join"),
                        ("left_anti", "anti join")):
@@ -65,11 +69,13 @@ def _broadcast(spark, sf):
 
 @query("lookup_join", """
 select c_custkey, n_name, r_name from customer
-left join (select * from nation where n_nationkey < 20) on c_nationkey = n_nationkey
+left join nation on c_nationkey + (c_custkey % 7) = n_nationkey
 left join region on n_regionkey = r_regionkey""")
 def _lookup(spark, sf):
-    nations = table(spark, sf, "nation").filter("n_nationkey < 20")
-    named = J.lookup_join(table(spark, sf, "customer"), nations, "c_nationkey", "n_nationkey",
+    """Codes moved by up to six, so that some are unknown."""
+    coded = table(spark, sf, "customer").withColumn(
+        "code", F.col("c_nationkey") + F.col("c_custkey") % 7)
+    named = J.lookup_join(coded, table(spark, sf, "nation"), "code", "n_nationkey",
                           ["n_name", "n_regionkey"])
     placed = J.lookup_join(named, table(spark, sf, "region"), "n_regionkey", "r_regionkey",
                            ["r_name"])
@@ -107,18 +113,20 @@ def _radius(spark, sf):
     return tidy(near.select("ID", "Start_Time", "distance_km"))
 
 
+_CITIES = ", ".join(f"('{code}', {lat!r}e0, {lng!r}e0)"
+                    for code, (lat, lng) in model.CITY_CENTRES.items())
+
+
 @query("radius_join", with_incidents(f"""
 select code, ID, Start_Time, {r('km')} as distance_km from (select code, ID, Start_Time,
  {_KM.format(a='c_lat', b='c_lng', c='Start_Lat', d='Start_Lng')} as km
- from incidents, (values ('CA', 34.0522e0, -118.2437e0), ('NY', 40.7128e0, -74.0060e0),
-  ('TX', 29.7604e0, -95.3698e0), ('IL', 41.8781e0, -87.6298e0), ('PA', 39.9526e0, -75.1652e0))
-  as c(code, c_lat, c_lng)
- where Start_Lat between 24 and 71) where km < 150"""))
+ from incidents, (values {_CITIES}) as c(code, c_lat, c_lng)
+ where Start_Lat between -90 and 90) where km < 150"""))
 def _radius_join(spark, sf):
     centres = spark.createDataFrame(
-        [(code, *model.CITY_CENTRES[code]) for code in ("CA", "NY", "TX", "IL", "PA")],
+        [(code, *place) for code, place in model.CITY_CENTRES.items()],
         "code string, centre_lat double, centre_lng double")
-    places = incidents(spark, sf).filter(F.col("Start_Lat").between(24, 71)).select(
+    places = incidents(spark, sf).select(
         "ID", "Start_Time", F.col("Start_Lat").alias("latitude"),
         F.col("Start_Lng").alias("longitude"))
     pairs = J.radius_join(J.broadcast_small(centres), places, 150)
@@ -128,11 +136,13 @@ def _radius_join(spark, sf):
 # ----------------------------------------------- sorts, limits, set operations
 
 @query("order_by", """
-select o_orderkey, o_totalprice from orders
-order by o_totalprice desc, o_orderkey asc limit 20 offset 0""")
+select o_orderkey, o_totalprice,
+ row_number() over (order by o_totalprice desc, o_orderkey) as place from orders""")
 def _order(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy(
-        F.col("o_totalprice").desc(), F.col("o_orderkey").asc()).limit(20)
+    """The whole table sorted; the places follow from the rows before each sorted part."""
+    ordered = table(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy(
+        F.col("o_totalprice").desc(), F.col("o_orderkey").asc())
+    return L.with_place(ordered)
 
 
 @query("paged_listing", """

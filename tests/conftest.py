@@ -20,6 +20,19 @@ def spark():
     session.stop()
 
 
+@pytest.fixture
+def setting(spark):
+    changed = {}
+
+    def change(key, value):
+        changed[key] = spark.conf.get(key, None)
+        spark.conf.set(key, value)
+
+    yield change
+    for key, value in changed.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def _folder(name: str) -> str:
     import tempfile
 

@@ -117,3 +117,27 @@ def test_numeric_constants_are_pushed_into_the_scan(spark, tmp_path):
     spark.range(100).select(F.col("id").cast("double").alias("x")).write.parquet(path)
     plan = executed(C.range_filter(spark.read.parquet(path), {"x": (10.0, 20.0)}))
     assert "GreaterThanOrEqual(x,10.0)" in plan and "LessThanOrEqual(x,20.0)" in plan
+
+
+def test_nulls_of_any_number_are_filled_with_the_exact_median(spark):
+    df = spark.range(1, 1001).selectExpr(
+        "id as k", "case when id % 5 > 0 then id * 3 end as big",
+        "cast(case when id % 5 > 0 then id end as decimal(9, 2)) as dec",
+        "cast(case when id % 4 > 0 then id end as float) as flt")
+    found = C.adaptive_null_handling(df, critical=("k",), flags=())
+    assert found.dtypes == df.dtypes and found.count() == 1000
+    filled = found.filter("k = 20").first()
+    assert (filled.big, float(filled.dec), filled.flt) == (1497, 499.0, 499.0)
+
+
+def test_only_repeated_keys_are_aggregated(spark):
+    df = spark.createDataFrame(
+        [("a", 2, "x"), ("a", 1, "y"), (None, 5, "n"), (None, 4, "m"), ("b", 3, "z")],
+        "ID string, v int, w string")
+    kept = C.dedup_by_key(df)
+    assert sorted(map(str, (tuple(r) for r in kept.collect()))) == sorted(map(str, [
+        ("a", 1, "y"), (None, 4, "m"), ("b", 3, "z")]))
+    unique = C.dedup_by_key(spark.range(1000).selectExpr("cast(id as string) as ID", "id as v"))
+    plan = executed(unique)
+    # rows with a key of their own meet a broadcast table: no sort, no shuffle of theirs
+    assert "LeftAnti" in plan and "SortMergeJoin" not in plan and unique.count() == 1000

@@ -79,6 +79,11 @@ def test_codes_are_the_same_inline_and_joined(spark):
         .alias("c"))
     inline = O.encode_categories(df, {"c": "code"}).orderBy("id").collect()
     joined = O.encode_categories(df, {"c": "code"}, inline_limit=5).orderBy("id").collect()
+    named = df.withColumnsRenamed({"c": "value"}).withColumn("column", F.lit("x"))
+    for limit in (1, 2_000):
+        coded = O.encode_categories(named, {"value": "code", "column": "place"}, limit)
+        assert [(r.id, r.value, r.code, r.place) for r in coded.orderBy("id").collect()] == [
+            (r.id, r.c, r.code, 0) for r in inline]
     expected = {v: i for i, v in enumerate(sorted({r.c for r in inline if r.c is not None}))}
     assert [r.code for r in inline] == [expected.get(r.c, -1) for r in inline]
     assert [(r.id, r.c, r.code) for r in inline] == [(r.id, r.c, r.code) for r in joined]

@@ -9,19 +9,6 @@ from wayside.operators import joins as J, layout as L
 from wayside.sinks import files as W, tables as S
 
 
-@pytest.fixture
-def setting(spark):
-    changed = {}
-
-    def change(key, value):
-        changed[key] = spark.conf.get(key, None)
-        spark.conf.set(key, value)
-
-    yield change
-    for key, value in changed.items():
-        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-
-
 def _skewed(spark, rows=200_000):
     """Half of the rows in one state."""
     return spark.range(0, rows, 1, 8).select(
@@ -110,6 +97,36 @@ def test_large_full_join_in_two_parts_equals_the_plain_one(spark):
     assert sorted(map(str, split.select("k", "l", "r").collect())) == sorted(map(str, plain))
 
 
+@pytest.mark.parametrize("limit_mb", [0, 200])
+def test_full_join_with_other_columns_of_one_name(spark, limit_mb):
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n")], "k int, v string")
+    right = spark.createDataFrame([(2, "x"), (3, "z"), (None, "m")], "k int, v string")
+    found = J.sized_equi_join(left, right, "k", "full", limit_mb=limit_mb)
+    assert found.columns == ["k", "v", "v"]
+    assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, [
+        (1, "a", None), (2, "b", "x"), (3, None, "z"), (None, "n", None), (None, None, "m")]))
+
+
+def test_frequent_key_of_a_bucketed_join_is_dealt_to_many_tasks(spark, setting, tmp_path):
+    setting("spark.sql.autoBroadcastJoinThreshold", "-1")
+    setting("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    layout = S.TableLayout(4, ("k",), (), ("k",))
+    left = spark.range(20_000).select(
+        F.when(F.col("id") % 10 > 0, 7).otherwise(F.col("id")).cast("bigint").alias("k"),
+        F.lit("same").alias("l"))
+    right = spark.range(100).select(F.col("id").alias("k"), F.col("id").alias("r"))
+    a = S.write_bucketed_table(left, "hot_a", layout, str(tmp_path / "a"))
+    b = S.write_bucketed_table(right, "hot_b", layout, str(tmp_path / "b"))
+    assert J.frequent_keys(a, "k", 1 / 4) == {7: 18_000}
+    for frequent in (None, [7]):
+        joined = J.bucketed_join(a, b, "k", 4, frequent)
+        tasks = joined.groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in tasks) == 18_010
+        assert max(r["count"] for r in tasks) < 18_010 / 4
+    other = J.bucketed_join(b, a, "k", 4)
+    assert other.count() == 18_010
+
+
 def test_bucketed_join_has_no_shuffle_and_frequent_keys_go_beside_it(spark, setting, tmp_path):
     setting("spark.sql.autoBroadcastJoinThreshold", "-1")
     layout = S.TableLayout(4, ("k",), (), ("k",))
@@ -121,17 +138,26 @@ def test_bucketed_join_has_no_shuffle_and_frequent_keys_go_beside_it(spark, sett
     b = S.write_bucketed_table(right, "bucketed_b", layout, str(tmp_path / "b"))
     plain = J.bucketed_join(a, b, "k", 4, frequent=[])
     assert "Exchange" not in executed(plain)
-    assert J.frequent_keys(b, "k", 1 / 4) == [7]
+    assert J.frequent_keys(b, "k", 1 / 4) == {7: 50}
     both = J.bucketed_join(a, b, "k", 4)
     assert sorted(values(both, "k", "l", "r")) == sorted(values(plain, "k", "l", "r"))
 
 
-@pytest.mark.parametrize("km", [3, 80, 900])
+def test_places_of_a_sorted_table(spark):
+    df = spark.range(0, 500, 1, 7).select(((F.col("id") * 37) % 500).alias("v"))
+    placed = L.with_place(df.orderBy("v"))
+    assert {(r.v, r.place) for r in placed.collect()} == {(i, i + 1) for i in range(500)}
+
+
+@pytest.mark.parametrize("km", [3, 80, 900, 12_000])
 def test_radius_join_against_all_pairs(spark, km):
     rng = random.Random(km)
-    centres = [(i, rng.uniform(25, 65), rng.uniform(-180, 180)) for i in range(25)]
-    places = [(i, rng.uniform(25, 65), rng.uniform(-180, 180)) for i in range(400)]
-    places += [(1000 + i, la + rng.uniform(-.02, .02), max(-180, min(180, lo + .01)))
+    centres = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(20)]
+    centres += [(20, 90.0, 0.0), (21, -90.0, 10.0), (22, 0.0, 180.0), (23, 89.9, -170.0)]
+    places = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(300)]
+    places += [(i, rng.choice((-1, 1)) * rng.uniform(80, 90), rng.uniform(-180, 180))
+               for i in range(300, 400)]
+    places += [(1000 + i, max(-90.0, min(90.0, la + rng.uniform(-.02, .02))), max(-180.0, min(180.0, lo + .01)))
                for i, la, lo in centres]
     a = spark.createDataFrame(centres, "c int, centre_lat double, centre_lng double")
     b = spark.createDataFrame(places, "p int, latitude double, longitude double")
@@ -145,7 +171,7 @@ def test_radius_join_against_all_pairs(spark, km):
     assert set(values(J.radius_join(a, b, km), "c", "p")) == expected
     found = J.radius_join(a, b, km)
     assert found.count() == len(expected)
-    for c, lat, lng in centres[:4]:
+    for c, lat, lng in (c for c in centres if abs(c[1]) < 65):
         near = J.radius_search(b, lat, lng, km)
         assert {r.p for r in near.collect()} == {p for q, p in expected if q == c}
 

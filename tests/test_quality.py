@@ -24,9 +24,9 @@ def test_row_issues_lists_every_issue_and_ignores_null_measures(spark):
         " visibility_miles double")
     found = values(Q.row_issues(df), "issues", "is_valid")
     assert found[0] == ([], True)
-    assert found[1] == (["Invalid geographic coordinates", "Invalid state code: ZZ",
-                         "Severity out of range: 7"], False)
-    assert found[2] == (["Invalid geographic coordinates", "Invalid state code: None"], False)
+    assert found[1] == (["start outside the area", "unknown state ZZ",
+                         "Severity beyond its limits: 7"], False)
+    assert found[2] == (["start outside the area", "unknown state null"], False)
     good, held = Q.quality_gate(df)
     assert (good.count(), held.count()) == (1, 2)
 
@@ -42,6 +42,32 @@ def test_duplicates_count_null_keys_and_empty_tables(spark):
     assert (empty.total_rows, empty.duplicate_percentage, empty.is_acceptable) == (0, 0.0, True)
 
 
+def test_instants_and_maps_are_told_apart(spark, setting):
+    setting("spark.sql.session.timeZone", "America/New_York")
+    # 01:30 comes twice when the clocks go back
+    two = spark.range(2).select(
+        F.timestamp_seconds(F.col("id") * 3600 + 1_762_061_400).alias("at"),
+        F.array(F.timestamp_seconds(F.col("id") * 3600 + 1_762_061_400)).alias("list"))
+    assert two.select(F.date_format("at", "HH:mm")).distinct().count() == 1
+    for c in ("at", "list"):
+        assert Q.duplicate_analysis(two.select(c)).first().distinct_rows == 2
+    maps = spark.sql("select map('a', 1, 'b', 2) as m union all select map('b', 2, 'a', 1)"
+                     " union all select map('a', 1, 'b', 3) union all select null")
+    assert Q.duplicate_analysis(maps).first().distinct_rows == 3
+
+
+def test_outliers_and_profile_of_other_numbers(spark):
+    df = spark.range(100).selectExpr(
+        "cast(case when id = 99 then 9000 else id end as decimal(12, 2)) as d",
+        "case when id = 99 then 9000 else id end as n", "cast(id as float) as f")
+    found = {r.column: r for r in Q.iqr_outliers(df, ["d", "n"]).collect()}
+    assert found["d"].outlier_count == found["n"].outlier_count == 1
+    assert found["d"].q1 == found["n"].q1
+    profile = {r.column: r for r in Q.column_profile(df).collect()}
+    assert [(profile[c].min_value, profile[c].max_value) for c in "dnf"] == [
+        (0.0, 9000.0), (0.0, 9000.0), (0.0, 99.0)]
+
+
 def test_score_uses_only_the_parts_that_exist(spark):
     df = spark.createDataFrame([("a", None), ("b", None)], "ID string, note string")
     # nulls 100 - 50, numeric 100, duplicates 100

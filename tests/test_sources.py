@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F, types as T
@@ -111,12 +112,13 @@ def test_scratch_is_in_the_configured_folder_and_released(spark):
     assert scratch.release_scratch(spark) >= 2
 
 
-def test_without_a_shared_folder_only_required_copies_fail(spark, monkeypatch):
-    monkeypatch.setattr(scratch, "scratch_root", lambda spark: None)
-    df = spark.range(3)
-    assert scratch.materialise(df) is df
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        scratch.materialise(df, required=True)
+def test_a_block_releases_its_own_copies_only(spark):
+    before = scratch.materialise(spark.range(3))
+    with scratch.released(spark):
+        inside = scratch.materialise(spark.range(4))
+        folder = inside.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+        assert inside.count() == 4 and os.path.isdir(folder)
+    assert not os.path.isdir(folder) and before.count() == 3
 
 
 # ---------------------------------------------------------------- streaming

@@ -5,17 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F, types as T
 
 
+def _plain(x: Column, kind: T.DataType) -> Column:
+    """A value whose JSON tells it from others: instants as microseconds, maps in key order."""
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(x)
+    if isinstance(kind, T.StructType):
+        fields = [_plain(x.getField(f.name), f.dataType).alias(f.name) for f in kind]
+        return F.when(x.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(x, lambda v: _plain(v, kind.elementType))
+    if isinstance(kind, T.MapType):
+        entry = T.StructType([T.StructField("key", kind.keyType, False),
+                              T.StructField("value", kind.valueType)])
+        return F.array_sort(F.transform(F.map_entries(x), lambda v: _plain(v, entry)))
+    return x
+
+
 def _text(name: str, kind: T.DataType) -> Column:
     """The value as text, different for different values (0.0 and -0.0 are equal)."""
     x = F.col(f"`{name}`")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(x).cast("string")
     if isinstance(kind, T.StringType):
         return x
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         return (x + F.lit(0.0).cast(kind)).cast("string")
     if isinstance(kind, T.BinaryType):
         return F.hex(x)
-    if isinstance(kind, (T.ArrayType, T.StructType)):
-        return F.when(x.isNotNull(), F.to_json(F.struct(x.alias("v"))))
+    if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
+        return F.when(x.isNotNull(), F.to_json(F.struct(_plain(x, kind).alias("v"))))
     return x.cast("string")
 
 

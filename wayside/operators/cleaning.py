@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -15,7 +16,9 @@ from wayside import model
 from wayside import functions as X
 from wayside.functions.cases import all_of
 from wayside.model import INCIDENT, Roles
+from wayside.operators.quantiles import exact_quantiles
 from wayside.operators.records import one_row, spread
+from wayside.sources.scratch import materialise
 
 Bounds = Mapping[str, tuple[float, float]]
 
@@ -169,26 +172,33 @@ def dedup_by_key(
 ) -> DataFrame:
     """One row per key: the smallest by ``order`` and then by all other columns.
 
-    An aggregate rather than a window: copies of a key already collapse on the map side,
-    so a key that fills a large part of the table costs one row per task in the shuffle."""
+    Usually few keys repeat.  Only keys are counted first; rows with a key of their own pass
+    through, without a sort or shuffle as long as the written table of repeated keys is small
+    enough to broadcast.  The rest is an aggregate rather than a window: copies of a key collapse
+    on the map side, so a key that fills a large part of the table costs one row per task."""
     others = [c for c in df.columns if c not in keys]
     if not others:
         return df.dropDuplicates()
+    named = {f"_key_{i}": c for i, c in enumerate(keys)}
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    repeated = materialise(
+        counted.select(*[F.col(c).alias(k) for k, c in named.items()]), "repeated-keys"
+    )
+    same = all_of([F.col(c).eqNullSafe(F.col(k)) for k, c in named.items()])
     ordering = [c.alias(f"_order_{i}") for i, c in enumerate(order or [])]
     first = F.min(F.struct(*ordering, *[F.col(c) for c in others])).alias("_row")
-    kept = df.groupBy(*keys).agg(first)
-    return kept.select(
+    kept = df.join(repeated, same, "left_semi").groupBy(*keys).agg(first)
+    kept = kept.select(
         *[F.col(c) if c in keys else F.col("_row").getField(c).alias(c) for c in df.columns]
     )
+    return df.join(repeated, same, "left_anti").unionAll(kept)
 
 
 # -------------------------------------------------------------------- nulls
 
 
 def _is_measure(field: T.StructField) -> bool:
-    return field.name in model.MEASURE_NAMES or isinstance(
-        field.dataType, (T.DoubleType, T.IntegerType)
-    )
+    return field.name in model.MEASURE_NAMES or isinstance(field.dataType, T.NumericType)
 
 
 @dataclass
@@ -202,21 +212,36 @@ class NullDecision:
     fill: object = None
 
 
-def _null_statistics(df: DataFrame, fields, critical, limit, accuracy) -> dict:
-    """Null counts and medians of several columns in one job.
+def _null_statistics(df: DataFrame, fields, critical, limit) -> dict:
+    """Null counts of several columns in one job, then the exact medians of those to be filled.
 
     Columns are treated in order and a critical column drops its null rows, so each
     column is measured only over rows whose earlier critical columns are filled."""
-    aggregates, seen = {}, F.lit(True)
+    aggregates, seen, inside = {}, F.lit(True), {}
     for i, field in enumerate(fields):
-        x = F.col(field.name)
+        x = F.col(f"`{field.name}`")
         aggregates[f"rows_{i}"] = F.count_if(seen)
         aggregates[f"null_{i}"] = F.count_if(seen & x.isNull())
         if field.name in critical:
             seen = seen & x.isNotNull()
         elif _is_measure(field):
-            aggregates[f"median_{i}"] = F.percentile_approx(F.when(seen, x), 0.5, accuracy)
-    return one_row(df, aggregates).asDict()
+            inside[i] = F.when(seen, x)
+    stats = one_row(df, aggregates).asDict()
+    filled = {}
+    for i, field in enumerate(fields):
+        nulls, rows = stats[f"null_{i}"], stats[f"rows_{i}"]
+        few = (100.0 * nulls / rows if rows else 0.0) < limit
+        if i in inside and nulls and few:
+            filled[f"median_{i}"] = inside[i]
+        elif nulls and not few and field.name not in critical and (
+            i in inside or isinstance(field.dataType, T.StringType)
+        ):
+            break  # its rows are dropped, and later columns measured again
+    if filled:
+        columns = df.select(*[x.alias(k) for k, x in filled.items()])
+        found = exact_quantiles(columns, {k: (0.5,) for k in filled})
+        stats |= {k: values[0] for k, values in found.items()}
+    return stats
 
 
 def adaptive_null_handling(
@@ -224,18 +249,17 @@ def adaptive_null_handling(
     critical: Sequence[str] = model.CRITICAL_AT_CLEANING,
     flags: Sequence[str] = model.EQUIPMENT_FLAGS,
     max_null_percentage: float = 30.0,
-    accuracy: int = 10_000,
     decisions: list[NullDecision] | None = None,
 ) -> DataFrame:
     """Per column, in column order: drop rows with null keys; below the limit fill measures
-    with the median, text with 'Unknown'; at or above it drop the rows; null flags are False.
+    (numbers of any type) with the exact median, text with 'Unknown'; at or above it drop the rows; null flags are False.
 
     Each percentage and median refers to the table as reduced by the columns before it.
     One job serves all columns up to the next one whose drop depends on the data; only
     then are the remaining columns measured again."""
     pending = list(df.schema.fields)
     while pending:
-        stats = _null_statistics(df, pending, critical, max_null_percentage, accuracy)
+        stats = _null_statistics(df, pending, critical, max_null_percentage)
         fills: dict[str, object] = {}
         keep: list[Column] = []
         remeasure = None
@@ -268,8 +292,14 @@ def adaptive_null_handling(
                 break
         if keep:
             df = df.filter(all_of(keep))
-        if fills:
-            df = df.fillna(fills)
+        decimals = {c: v for c, v in fills.items() if isinstance(v, Decimal)}
+        if decimals:
+            df = df.withColumns({
+                c: F.coalesce(F.col(f"`{c}`"), F.lit(v).cast(df.schema[c].dataType))
+                for c, v in decimals.items()
+            })
+        if len(fills) > len(decimals):
+            df = df.fillna({c: v for c, v in fills.items() if c not in decimals})
         pending = pending[remeasure:] if remeasure is not None else []
     return df
 

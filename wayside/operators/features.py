@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from wayside import functions as X
 from wayside.model import (
     ENCODED_COLUMNS, INCIDENT, Roles, SAFETY_WEIGHTS, present_flags,
 )
+from wayside.operators.layout import with_place
 from wayside.operators.records import spread
 from wayside.sources.scratch import materialise
 
@@ -111,33 +112,20 @@ def category_values(df: DataFrame, columns) -> DataFrame:
 
     Distinct combinations come first: they collapse on the map side, so only they are
     unpivoted."""
-    combos = df.select(*columns).distinct()
+    combos = df.select(*[F.col(f"`{c}`") for c in columns]).distinct()
     pairs = spread(
-        combos, [{"column": F.lit(c), "value": F.col(c).cast("string")} for c in columns]
+        combos, [{"column": F.lit(c), "value": F.col(f"`{c}`").cast("string")} for c in columns]
     )
     return pairs.filter(F.col("value").isNotNull()).distinct()
 
 
 def category_codes(values: DataFrame) -> DataFrame:
-    """``(value, code)``: position of each distinct value in sorted order, from 0.
-
-    Sorting is range partitioned and the written sort order carries the numbering, so no
-    single task sees all values: only one row per partition is summed for the offsets."""
-    placed = materialise(
-        values.orderBy("value").select("value", F.monotonically_increasing_id().alias("at")),
-        "codes",
-        required=True,
-    )
-    # monotonically_increasing_id holds the partition above bit 33, the position below
-    part, position = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
-    sizes = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(
-        F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0),
-    )
-    offsets = sizes.select("part", before.alias("before"))
-    return placed.join(F.broadcast(offsets), part == F.col("part")).select(
-        "value", (F.col("before") + position).cast("int").alias("code")
+    """``(column, value, code)``: the position of each distinct value in the sorted order of its
+    column, from 0.  All columns are numbered in one sort, and no task sees all values."""
+    placed = with_place(values.orderBy("column", "value"), "_place")
+    first = placed.groupBy("column").agg(F.min("_place").alias("_first"))
+    return placed.join(F.broadcast(first), "column").select(
+        "column", "value", (F.col("_place") - F.col("_first")).cast("int").alias("code")
     )
 
 
@@ -148,12 +136,13 @@ def encode_categories(
 ) -> DataFrame:
     """Add an integer code per listed column: 0, 1, … in sorted order, -1 for null.
 
-    Up to ``inline_limit`` values in all, the codes become constants of the projection.
-    Beyond it each column is joined with its code table."""
+    The values are found once and written.  Up to ``inline_limit`` of them, the codes become
+    constants of the projection; beyond it each column is joined with its code table, which is
+    broadcast only if its size allows.  The result is the same."""
     present = {c: e for c, e in encodings.items() if c in df.columns}
     if not present:
         return df
-    values = category_values(df, list(present))
+    values = materialise(category_values(df, list(present)), "categories")
     found = values.limit(inline_limit + 1).collect()
     if len(found) <= inline_limit:
         codes: dict[str, list[str]] = {c: [] for c in present}
@@ -161,17 +150,19 @@ def encode_categories(
             codes[column].append(value)
         return df.withColumns(
             {
-                e: _constant_code(F.col(c).cast("string"), codes[c])
+                e: _constant_code(F.col(f"`{c}`").cast("string"), codes[c])
                 for c, e in present.items()
             }
         )
+    numbered = materialise(category_codes(values), "codes")
     for column, encoded in present.items():
-        own = category_codes(values.filter(F.col("column") == column).select("value"))
-        key = F.col(column).cast("string")
+        own = numbered.filter(F.col("column") == column).select(
+            F.col("value").alias("_wayside_value"), F.col("code").alias("_wayside_code"))
+        match = F.col(f"`{column}`").cast("string") == F.col("_wayside_value")
         df = (
-            df.join(own.withColumnRenamed("code", encoded), key == F.col("value"), "left")
-            .drop("value")
-            .withColumn(encoded, F.coalesce(F.col(encoded), F.lit(-1)))
+            df.join(own, match, "left")
+            .withColumn(encoded, F.coalesce("_wayside_code", F.lit(-1)))
+            .drop("_wayside_value", "_wayside_code")
         )
     return df
 

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import cos, floor, radians
+from math import ceil, cos, pi, radians, sin
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
-from wayside import functions as X
+from wayside import functions as X, model
 
 MEGABYTE = 1024 * 1024
 # join types under which the named side may be broadcast without changing the result
@@ -37,7 +37,8 @@ def sized_equi_join(
     """Join on same-named keys; the smaller side is broadcast if it is within the limit and
     the join type allows it.  Otherwise adaptive execution picks a shuffled join and splits
     skewed partitions.  It cannot split a full outer join, so a large one is run as a left
-    outer join and the unmatched rest of the right side, which it can."""
+    outer join and the unmatched rest of the right side, which it can.  Columns come as those of
+    a plain join do, also if both sides have others of the same name."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     sizes = planned_bytes(left), planned_bytes(right)
     kind = how.lower()
@@ -46,40 +47,62 @@ def sized_equi_join(
     elif kind in _LEFT_MAY_GO:
         left = broadcast_small(left, limit_mb)
     elif kind in _FULL and max(sizes) > limit_mb * MEGABYTE:
+        names = [*keys, *(c for side in (left, right) for c in side.columns if c not in keys)]
+        left, right = _numbered(left, keys, "_left"), _numbered(right, keys, "_right")
         matched = left.join(right, keys, "left")
         rest = right.join(left.select(*keys), keys, "left_anti")
-        return matched.unionByName(rest, allowMissingColumns=True)
+        return matched.unionByName(rest, allowMissingColumns=True).toDF(*names)
     return left.join(right, keys, how)
 
 
-def frequent_keys(df: DataFrame, key: str, share: float) -> list:
-    """The keys that hold more than ``share`` of the rows; at most 1 / share of them."""
-    counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col(key).isNotNull())
-    most = df.agg(F.count(F.lit(1)).alias("n")).first().n * share
-    return [r[0] for r in counted.filter(F.col("n") > most).select(key).collect()]
+def _numbered(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
+    """The keys, then the other columns by place instead of name."""
+    others = [c for c in df.columns if c not in keys]
+    return df.select(*keys, *[F.col(f"`{c}`").alias(f"{prefix}{i}") for i, c in enumerate(others)])
+
+
+def frequent_keys(df: DataFrame, key: str, share: float) -> dict:
+    """The keys that hold more than ``share`` of the rows, at most 1 / share of them, and their
+    rows; one scan."""
+    watch = Observation()
+    counted = (
+        df.select(F.col(key).alias("k")).observe(watch, F.count(F.lit(1)).alias("n"))
+        .groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter("k is not null")
+        .orderBy(F.col("n").desc()).limit(ceil(1 / share)).collect()
+    )
+    return {r.k: r.n for r in counted if r.n > watch.get["n"] * share}
 
 
 def bucketed_join(
-    left: DataFrame, right: DataFrame, key: str, buckets: int, frequent: Sequence | None = None
+    left: DataFrame, right: DataFrame, key: str, buckets: int, frequent: Sequence | None = None,
+    salts: int = 32,
 ) -> DataFrame:
     """Inner join of two tables bucketed alike on ``key``, without a shuffle.
 
     A bucket is read by one task, whatever its size.  Keys that fill more than a whole
-    average bucket are therefore joined beside it with a shuffle that adaptive execution can
-    split; usually there are none.  ``frequent`` names them where they are known."""
+    average bucket are therefore joined beside it; usually there are none.  Their rows are dealt
+    to ``salts`` parts of a key on the side that has more of them, and repeated for each part on
+    the other.  ``frequent`` names them where they are known; the left side is dealt out then."""
+    deal_left = True
     if frequent is None:
         share = 1.0 / buckets
-        frequent = sorted(
-            set(frequent_keys(left, key, share)) | set(frequent_keys(right, key, share))
-        )
+        found = frequent_keys(left, key, share), frequent_keys(right, key, share)
+        frequent = sorted(set(found[0]) | set(found[1]))
+        deal_left = sum(found[0].values()) >= sum(found[1].values())
     if not frequent:
         return left.hint("merge").join(right, key)
     hot = F.col(key).isin(*frequent)
     rest = left.filter(~hot).hint("merge").join(right.filter(~hot), key)
-    # a shuffle on purpose: its partitions, unlike buckets, can be split
-    shuffled = left.filter(hot).repartition(key).hint("merge").join(
-        right.filter(hot).repartition(key), key
-    )
+    # the number of a row in its file part: the same again if a task is repeated
+    dealt = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
+    repeated = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    parts = max(salts, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    salted = [
+        side.filter(hot).withColumn("_salt", dealt if first == deal_left else repeated)
+        .repartition(parts, key, "_salt")
+        for first, side in ((True, left), (False, right))
+    ]
+    shuffled = salted[0].hint("merge").join(salted[1], [key, "_salt"]).drop("_salt")
     return rest.unionByName(shuffled)
 
 
@@ -91,8 +114,11 @@ def lookup_join(
     values: Sequence[str],
     limit_mb: float = 200,
 ) -> DataFrame:
-    """Add the ``values`` of a code table; unknown codes give null."""
-    table = lookup.select(F.col(lookup_key).alias("_code"), *values).dropDuplicates(["_code"])
+    """Add the ``values`` of a code table; unknown codes give null.  Of a code that the table has
+    several times, the smallest row by the values counts."""
+    row = F.min(F.struct(*values)).alias("_values")
+    table = lookup.groupBy(F.col(lookup_key).alias("_code")).agg(row).select(
+        "_code", *[F.col("_values").getField(c).alias(c) for c in values])
     return df.join(broadcast_small(table, limit_mb), F.col(key) == F.col("_code"), "left").drop(
         "_code"
     )
@@ -144,41 +170,34 @@ def radius_join(
     centre_lng: str = "centre_lng",
     lat: str = "latitude",
     lng: str = "longitude",
-    max_abs_lat: float = 72.0,
 ) -> DataFrame:
-    """Every (centre, place) pair nearer than ``km``.
-
-    Places get one grid cell each; centres are repeated for the cells their circle can
-    touch, so the join is an equi-join on the cell and only candidates are measured.  Cells
-    are as high as the radius and wide enough for it up to latitude ``max_abs_lat``; rows
-    beyond that latitude would need a larger value."""
-    high = km / _KM_PER_DEGREE
-    widest = high / cos(radians(min(89.0, max_abs_lat + high)))
-    around = max(1, floor(360.0 / widest))  # a whole number of columns, none too narrow
-    wide = 360.0 / around
-
-    def cell_of(la: Column, lo: Column) -> tuple[Column, Column]:
-        column = F.pmod(F.floor((lo + 180.0) / wide), F.lit(around)).cast("bigint")
-        return F.floor((la + 90.0) / high).cast("bigint"), column
-
-    p_row, p_col = cell_of(F.col(lat), F.col(lng))
-    placed = places.withColumns({"_row": p_row, "_col": p_col})
-    c_row, c_col = cell_of(F.col(centre_lat), F.col(centre_lng))
-    steps = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-    touched = F.array_distinct(
-        F.array(
-            *[
-                F.struct(
-                    (c_row + i).alias("_row"),
-                    F.pmod(c_col + j, F.lit(around)).cast("bigint").alias("_col"),
-                )
-                for i, j in steps
-            ]
-        )
+    """Every (centre, place) pair nearer than ``km``, anywhere on the sphere.
+
+    Places get one cell each of a grid around the sphere, whose edge is the chord of the radius;
+    centres are repeated for the neighbouring cells, so the join is an equi-join on the cell and
+    only candidates are measured.  Neither poles nor the date line are special.  Rows without a
+    position, or with a latitude beyond 90, are near nothing."""
+    # a little wider than the chord, for rounding
+    edge = 2 * sin(min(km / model.EARTH_RADIUS_KM, pi) / 2) * (1 + 1e-9) + 1e-9
+
+    def cell_of(la: Column, lo: Column) -> list[Column]:
+        lat_r, lng_r = F.radians(la), F.radians(lo)
+        point = (F.cos(lat_r) * F.cos(lng_r), F.cos(lat_r) * F.sin(lng_r), F.sin(lat_r))
+        return [F.floor(x / edge).cast("bigint") for x in point]
+
+    cells = ("_x", "_y", "_z")
+    valid = F.col(lat).between(-90, 90) & F.col(lng).isNotNull()
+    placed = places.filter(valid).withColumns(dict(zip(cells, cell_of(F.col(lat), F.col(lng)))))
+    home = cell_of(F.col(centre_lat), F.col(centre_lng))
+    steps = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+    touched = F.array(
+        *[F.struct(*[(c + s).alias(n) for c, s, n in zip(home, step, cells)]) for step in steps]
     )
-    spread_out = centres.select("*", F.inline(touched))
-    measured = placed.join(spread_out, ["_row", "_col"]).withColumn(
+    spread_out = centres.filter(
+        F.col(centre_lat).between(-90, 90) & F.col(centre_lng).isNotNull()
+    ).select("*", F.inline(touched))
+    measured = placed.join(spread_out, list(cells)).withColumn(
         "distance_km",
         X.great_circle_km(F.col(centre_lat), F.col(centre_lng), F.col(lat), F.col(lng)),
     )
-    return measured.filter(F.col("distance_km") < km).drop("_row", "_col")
+    return measured.filter(F.col("distance_km") < km).drop(*cells)

@@ -6,10 +6,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from wayside.model import INCIDENT, Roles
 from wayside.operators.joins import MEGABYTE, planned_bytes
+from wayside.sources.scratch import materialise
 
 
 @dataclass(frozen=True)
@@ -160,6 +161,21 @@ def apply_partitioning(df: DataFrame, strategy: str = "auto", roles: Roles = INC
     return STRATEGIES[strategy](partition_columns(df, roles))
 
 
+def with_place(ordered: DataFrame, place: str = "place") -> DataFrame:
+    """Rows of a sorted table with their place from 1, without gathering them: the sort is range
+    partitioned, its written order carries the place within a part, and one row per part is summed
+    for the rest."""
+    written = materialise(ordered.withColumn("_at", F.monotonically_increasing_id()), "placed")
+    # monotonically_increasing_id holds the partition above bit 33, the position below
+    part, position = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = written.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    placed = written.join(F.broadcast(offsets), part == F.col("_part"))
+    return placed.withColumn(place, F.col("_before") + position + 1).drop(
+        "_at", "_part", "_before")
+
+
 def estimate_size(
     df: DataFrame, fraction: float = 0.01, seed: int = 42, floor_rows: int = 100
 ) -> DataFrame:

@@ -224,7 +224,7 @@ def iqr_outliers(
         quartiles = one_row(
             df, {c: F.percentile_approx(c, [0.25, 0.75], accuracy) for c in wanted}
         ).asDict()
-    bounds = {c: q for c, q in quartiles.items() if q and q[0] is not None}
+    bounds = {c: [float(v) for v in q] for c, q in quartiles.items() if q and q[0] is not None}
     counted = df.agg(
         _total().alias("rows"),
         *[
@@ -333,7 +333,7 @@ def _scan_checks(df: DataFrame, roles: Roles, box: model.GeoBox, ranges) -> dict
     """The aggregates of all row-local checks, to run in one scan."""
     found: dict[str, Column] = {"rows": _total()}
     for c in df.columns:
-        found[f"null::{c}"] = F.count_if(F.col(c).isNull())
+        found[f"null::{c}"] = F.count_if(F.col(f"`{c}`").isNull())
     if roles.lat in df.columns and roles.lng in df.columns:
         found["geo"] = F.count_if(_bad_start(roles, box))
     if roles.state in df.columns:
@@ -509,20 +509,20 @@ def row_issues(
     """Every row with the list of its issues and ``is_valid``.  Null measures are fine."""
     checks = []
     if roles.lat in df.columns and roles.lng in df.columns:
-        checks.append(F.when(_bad_start(roles, box), F.lit("Invalid geographic coordinates")))
+        checks.append(F.when(_bad_start(roles, box), F.lit("start outside the area")))
     if roles.state in df.columns:
         state = F.col(roles.state)
         checks.append(
             F.when(
                 ~F.coalesce(state.isin(*model.STATE_CODES), F.lit(False)),
-                F.concat(F.lit("Invalid state code: "), F.coalesce(state, F.lit("None"))),
+                F.concat(F.lit("unknown state "), F.coalesce(state, F.lit("null"))),
             )
         )
     for c, bounds in model.present_ranges(df.columns, ranges).items():
         checks.append(
             F.when(
                 ~F.col(c).between(*bounds),
-                F.concat(F.lit(f"{c} out of range: "), F.col(c).cast("string")),
+                F.concat(F.lit(f"{c} beyond its limits: "), F.col(c).cast("string")),
             )
         )
     issues = F.array_compact(F.array(*checks)) if checks else F.array().cast("array<string>")
@@ -556,13 +556,13 @@ def column_profile(df: DataFrame) -> DataFrame:
     for i, field in enumerate(df.schema.fields):
         x = F.col(f"`{field.name}`")
         aggregates.append(F.count_if(x.isNull()).alias(f"null_{i}"))
-        numeric = isinstance(field.dataType, (T.IntegerType, T.DoubleType))
+        numeric = isinstance(field.dataType, T.NumericType)
         text = isinstance(field.dataType, T.StringType)
         if numeric:
             aggregates += [
                 F.min(x).cast("double").alias(f"min_{i}"),
                 F.max(x).cast("double").alias(f"max_{i}"),
-                F.round(F.avg(x), 2).alias(f"avg_{i}"),
+                F.round(F.avg(x).cast("double"), 2).alias(f"avg_{i}"),
             ]
         elif text:
             aggregates += [

@@ -494,9 +494,19 @@ def kpi_trend(kpis: DataFrame) -> DataFrame:
 
 
 def kpi_vs_previous(kpis: DataFrame) -> DataFrame:
-    """Each value with the one of the period before in its series, and the change in %."""
-    before = F.lag("metric_value").over(Window.partitionBy(*_SERIES).orderBy("period_start"))
-    compared = kpis.withColumn("previous_value", before)
+    """Each value with the one of the calendar period before in its series, and the change in %;
+    null where that period is missing."""
+    order = Window.partitionBy(*_SERIES).orderBy("period_start")
+    start = F.col("period_start").cast("date")
+    expected = (
+        F.when(F.col("time_period") == "daily", F.date_sub(start, 1))
+        .when(F.col("time_period") == "weekly", F.date_sub(start, 7))
+        .when(F.col("time_period") == "monthly", F.add_months(start, -1))
+        .otherwise(F.add_months(start, -12))
+    )
+    follows = F.lag(start).over(order) == expected
+    compared = kpis.withColumn(
+        "previous_value", F.when(follows, F.lag("metric_value").over(order)))
     return compared.withColumn(
         "change_percentage",
         F.try_divide(F.col("metric_value") - F.col("previous_value"), F.col("previous_value"))

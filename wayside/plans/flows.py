@@ -18,7 +18,7 @@ from wayside.sinks.tables import (
 )
 from wayside.sources.csv import csv_scan_strict, with_ingestion_metadata
 from wayside.sources.files import require_files, require_valid_read
-from wayside.sources.scratch import materialise
+from wayside.sources.scratch import materialise, released
 
 
 # ----------------------------------------------------------------- cleaning
@@ -106,6 +106,12 @@ def ingest_to_bronze(
     threshold, write partitioned bronze.  The typed rows are written once in between, because
     the checks and the write each need them and CSV is slow to read."""
     require_files(spark, csv_path, min_bytes=1)
+    with released(spark):
+        made = _ingested(spark, csv_path, bronze_path, schema, thresholds, multiline)
+    return made
+
+
+def _ingested(spark, csv_path, bronze_path, schema, thresholds, multiline) -> Ingestion:
     scanned = csv_scan_strict(spark, csv_path, schema, multiline)
     loaded = materialise(with_ingestion_metadata(scanned), "ingested")
     require_valid_read(loaded)
@@ -113,11 +119,16 @@ def ingest_to_bronze(
     schema_found = schema_checks.schema_report(
         delivered, schema, [f.name for f in schema], strict=True, optional=model.OPTIONAL_COLUMNS
     )
-    report = materialise(quality.quality_report(delivered, thresholds=thresholds), "quality")
+    report = _local(quality.quality_report(delivered, thresholds=thresholds))
     score = report.filter(F.col("metric") == "overall_quality_score").first()["value"]
     clean = score < thresholds.min_quality_score
     kept = cleaning.corrupt_row_filter(loaded) if clean else loaded
-    return Ingestion(schema_found, report, write_bronze(kept, bronze_path), clean)
+    return Ingestion(_local(schema_found), report, _local(write_bronze(kept, bronze_path)), clean)
+
+
+def _local(report: DataFrame) -> DataFrame:
+    """A report, a few rows per column of the table at most, that no longer reads the table."""
+    return report.sparkSession.createDataFrame(report.collect(), report.schema)
 
 
 # ------------------------------------------------------------------ to silver

@@ -52,18 +52,30 @@ def _verdict(min_bytes: int, max_bytes: int) -> Column:
 
 
 def source_file_gate(
-    df: DataFrame, min_bytes: int = KIBIBYTE, max_bytes: int = 10 * GIBIBYTE
+    spark: SparkSession,
+    path: str | list[str],
+    df: DataFrame | None = None,
+    min_bytes: int = KIBIBYTE,
+    max_bytes: int = 10 * GIBIBYTE,
 ) -> DataFrame:
-    """One row per file behind a file-based table: rows, size, and whether it passes."""
-    files = df.select(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_size").alias("file_size"),
-    )
-    return (
-        files.groupBy("file_path", "file_size")
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .withColumn("verdict", _verdict(min_bytes, max_bytes))
-    )
+    """One row per file at the path: its size and whether it passes.  With the table ``df`` that is
+    read from there also its rows, and a file without any is rejected.  Every listed file is
+    judged; a path without files raises."""
+    files = source_files(spark, path)
+    if not files.take(1):
+        raise ValueError(f"there is no file at {path}")
+    verdict = _verdict(min_bytes, max_bytes)
+    if df is None:
+        return files.withColumn("verdict", verdict)
+    counted = df.groupBy(F.col("_metadata.file_path").alias("file_path")).agg(
+        F.count(F.lit(1)).alias("rows"))
+    # both name the same file; only one of them writes the scheme's slashes out
+    name = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    counted = counted.select(name("file_path").alias("_file"), "rows")
+    joined = files.join(counted, name("file_path") == F.col("_file"), "left").drop("_file")
+    rows = F.coalesce("rows", F.lit(0)).cast("bigint")
+    return joined.withColumn("rows", rows).withColumn(
+        "verdict", F.when((verdict == "accepted") & (rows == 0), "empty").otherwise(verdict))
 
 
 def require_files(

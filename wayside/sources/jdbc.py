@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from wayside.operators.cleaning import dedup_by_key
 
 BATCH_ROWS = 1000
+_BACKSLASH_URLS = ("jdbc:mysql:", "jdbc:mariadb:")
 
 
-def bind_parameters(query: str, params: Mapping[str, object] | None) -> str:
-    """Replace ``:name`` by a quoted literal; JDBC sources take no parameters of their own."""
+def bind_parameters(
+    query: str, params: Mapping[str, object] | None, backslash_escapes: bool = False
+) -> str:
+    """Replace ``:name`` by a quoted literal; JDBC sources take no parameters of their own.
+    ``backslash_escapes`` for databases that read a backslash in a literal as an escape."""
     def literal(value) -> str:
         if value is None:
             return "NULL"
@@ -21,7 +25,8 @@ def bind_parameters(query: str, params: Mapping[str, object] | None) -> str:
             return "TRUE" if value else "FALSE"
         if isinstance(value, (int, float)):
             return repr(value)
-        return "'" + str(value).replace("'", "''") + "'"
+        text = str(value).replace("\\", "\\\\") if backslash_escapes else str(value)
+        return "'" + text.replace("'", "''") + "'"
 
     given = dict(params or {})
     # quoted texts are matched first, so a colon inside one is left alone
@@ -42,7 +47,7 @@ def jdbc_query_source(
     return (
         spark.read.format("jdbc")
         .option("url", url)
-        .option("query", bind_parameters(query, params))
+        .option("query", bind_parameters(query, params, url.startswith(_BACKSLASH_URLS)))
         .options(**options)
         .load()
     )

@@ -8,17 +8,18 @@ columns.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, list[str]] = {}
-_local_root: dict[str, str] = {}
 
 
-def scratch_root(spark: SparkSession) -> str | None:
-    """The shared folder of the session; a private one in local mode only; else None."""
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder that ``spark.checkpoint.dir`` names.  A local session may leave it unset
+    and gets one below its warehouse; on a cluster that is an error, at every size."""
     context = spark.sparkContext
     named = (
         spark.conf.get("spark.checkpoint.dir", None)
@@ -27,34 +28,37 @@ def scratch_root(spark: SparkSession) -> str | None:
     )
     if named:
         return named.rstrip("/")
-    if context.master.startswith("local"):
-        app = context.applicationId
-        if app not in _local_root:
-            _local_root[app] = tempfile.mkdtemp(prefix="spark-wayside-")
-        return _local_root[app]
-    return None
+    if context.master.startswith("local[") or context.master == "local":
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    raise ValueError("set spark.checkpoint.dir to a folder all executors share")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    root = scratch_root(spark)
-    if root is None:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    path = f"{root}/wayside-{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/wayside-{label}-{uuid.uuid4().hex}"
     _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 
-def materialise(df: DataFrame, label: str = "stage", required: bool = False) -> DataFrame:
-    """Write ``df`` once and read it back.  Without a shared folder ``df`` itself, unless the
-    written copy is ``required`` because computing the rows again could number them anew."""
+def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write ``df`` once and read it back."""
     spark = df.sparkSession
-    if scratch_root(spark) is None and not required:
-        return df
     path = scratch_path(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Deletes what was written inside, for steps whose results no longer read it."""
+    application = spark.sparkContext.applicationId
+    earlier = _made.pop(application, [])
+    try:
+        yield
+    finally:
+        release_scratch(spark)
+        _made[application] = earlier
+
+
 def release_scratch(spark: SparkSession) -> int:
     """Delete what this application wrote through ``scratch_path``; returns the number."""
     paths = _made.pop(spark.sparkContext.applicationId, [])
