@@ -36,6 +36,8 @@ HEADLINE = (
     "sized_equi_join", "bucketed_join", "radius_join", "geo_hotspots",
     "infrastructure_analysis", "kpi_long_table", "distribution_analysis", "csv_scan_strict",
     "write_bronze", "stream_ingest",
+    # whole flows
+    "ingest_to_bronze", "build_silver",
 )
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from wayside import model
 from wayside.operators.features import derive_features
 from wayside.plans.incidents import incidents_from_events, rule_text
 
@@ -58,15 +59,11 @@ INCIDENTS = "incidents as (select " + ", ".join(
     f'{rule} as "{name}"' for name, rule in rule_text("varchar").items()
 ) + " from events)"
 
-CENTRES = """centres(code, c_lat, c_lng) as (values
- ('CA', 34.0522e0, -118.2437e0), ('NY', 40.7128e0, -74.0060e0), ('TX', 29.7604e0, -95.3698e0),
- ('FL', 25.7617e0, -80.1918e0), ('IL', 41.8781e0, -87.6298e0), ('PA', 39.9526e0, -75.1652e0),
- ('OH', 39.9612e0, -82.9988e0), ('GA', 33.7490e0, -84.3880e0), ('NC', 35.2271e0, -80.8431e0),
- ('MI', 42.3314e0, -83.0458e0))"""
+CENTRES = "centres(code, c_lat, c_lng) as (values " + ", ".join(
+    f"('{code}', {lat!r}e0, {lng!r}e0)" for code, (lat, lng) in model.CITY_CENTRES.items()
+) + ")"
 
-STATES = ("'AL','AK','AZ','AR','CA','CO','CT','DE','FL','GA','HI','ID','IL','IN','IA','KS','KY',"
-          "'LA','ME','MD','MA','MI','MN','MS','MO','MT','NE','NV','NH','NJ','NM','NY','NC','ND',"
-          "'OH','OK','OR','PA','RI','SC','SD','TN','TX','UT','VT','VA','WA','WV','WI','WY','DC'")
+STATES = ", ".join(f"'{code}'" for code in sorted(model.STATE_CODES))
 
 
 def features_of(source: str, name: str = "featured") -> str:

@@ -314,9 +314,18 @@ def _balanced(spark, sf):
     return _line_totals(L.balanced(table(spark, sf, "lineitem"), "l_returnflag"))
 
 
-@query("estimate_size")
+@query("estimate_size", """
+select count(*) as total_rows, true as sample_is_a_share, true as estimate_is_near
+from lineitem""")
 def _size(spark, sf):
-    return L.estimate_size(table(spark, sf, "lineitem"))
+    """The estimate against the whole table's JSON."""
+    lines = table(spark, sf, "lineitem")
+    whole = lines.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes"))
+    seen = L.estimate_size(lines, fraction=0.1)
+    share, mb = F.col("sampled_rows") / F.col("total_rows"), F.col("bytes") / J.MEGABYTE
+    return seen.crossJoin(F.broadcast(whole)).select(
+        "total_rows", share.between(0.05, 0.2).alias("sample_is_a_share"),
+        (F.abs(F.col("estimated_mb") / mb - 1) < 0.05).alias("estimate_is_near"))
 
 
 @query("cache_by_size", """

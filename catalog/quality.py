@@ -8,6 +8,7 @@ from catalog.base import FLAGS, STATES, incidents, query, r, table, tidy, with_i
 from catalog.cleaning import SCORE_SQL, SOUND, delivered
 from wayside.model import DELIVERED_COLUMNS, QualityThresholds
 from wayside.operators import layout, quality as Q, schema_checks as S
+from wayside.operators.features import create_features
 from wayside.plans import flows
 from wayside.plans.incidents import INCIDENT_RULES
 
@@ -536,8 +537,9 @@ def _transformation(spark, sf):
     """Cleaning score of the whole table with the features and tables a silver build makes."""
     cleaned = flows.cleaning_report(delivered(spark, sf))
     score = cleaned.first()["cleaning_score"]
-    return cleaned.select(
-        "cleaning_score", F.lit(flows.transformation_score(score, 22, 3)).alias("score"))
+    made = flows.features_made(create_features(incidents(spark, sf)).columns)
+    total = flows.transformation_score(score, made, len(flows.SILVER_TABLES))
+    return cleaned.select("cleaning_score", F.lit(total).alias("score"))
 
 
 @query("dataframe_metrics", """

@@ -382,9 +382,18 @@ def _bucket(spark, sf):
     ).agg(F.count(F.lit(1)).alias("orders"))
 
 
-@query("severity_model")
+@query("severity_model", with_features("""
+select ID, Severity as actual_severity, 'RandomForestClassificationModel' as model_type,
+ '1' as model_version, true as is_severity, true as is_probability, true as importance_is_whole
+from featured"""))
 def _model(spark, sf):
     from wayside.operators.severity_model import train_severity_model
 
     source = featured(spark, sf)
-    return tidy(train_severity_model(source).score(source))
+    model = train_severity_model(source)
+    whole = abs(sum(model.importance().values()) - 1) < 1e-6
+    return model.score(source).select(
+        "ID", "actual_severity", "model_type", "model_version",
+        F.col("predicted_severity").between(1, 4).alias("is_severity"),
+        F.col("confidence_score").between(0.25, 1).alias("is_probability"),
+        F.lit(whole).alias("importance_is_whole"))

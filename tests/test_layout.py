@@ -65,11 +65,13 @@ def test_estimates_and_right_sizing(spark):
     assert row.total_rows == 50_000 and 400 <= row.sampled_rows <= 600
     assert 60 < row.mean_row_bytes < 90
     assert L.estimate_size(df.limit(10)).first().estimated_mb > 0
-    assert L.right_size_partitions(df, size_mb=1).rdd.getNumPartitions() == 1
-    assert L.right_size_partitions(df, size_mb=128 * 20).rdd.getNumPartitions() == 20
-    assert L.right_size_partitions(df, size_mb=128 * 5).rdd.getNumPartitions() == 6
-    assert L.coalesce_small_files(df, size_mb=256).rdd.getNumPartitions() == 2
-    assert L.repartition_to_size(df, size_mb=128 * 9).rdd.getNumPartitions() == 9
+    wide = df.filter("id >= 0")
+    for sized, n in ((L.right_size_partitions(wide, size_mb=1), 1),
+                     (L.coalesce_small_files(wide, size_mb=256), 2),
+                     (L.repartition_to_size(wide, size_mb=128 * 9), 9)):
+        plan = sized._jdf.queryExecution().toString()
+        assert f"RoundRobinPartitioning({n})" in plan and "REBALANCE" in plan
+        assert sized.count() == wide.count()
 
 
 def test_cache_by_size_leaves_large_tables_alone(spark):

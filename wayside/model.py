@@ -164,7 +164,6 @@ class QualityThresholds:
     max_null_percentage: float = 30.0
     max_duplicate_percentage: float = 5.0
     min_quality_score: float = 70.0
-    max_outlier_percentage: float = 10.0
 
 
 SEASON_MONTHS = {

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wayside.model import INCIDENT, Roles
 from wayside.operators.joins import MEGABYTE, planned_bytes
@@ -177,26 +177,29 @@ def with_place(ordered: DataFrame, place: str = "place") -> DataFrame:
 
 
 def estimate_size(
-    df: DataFrame, fraction: float = 0.01, seed: int = 42, floor_rows: int = 100
+    df: DataFrame, fraction: float = 0.01, floor_rows: int = 100
 ) -> DataFrame:
-    """One row: sampled rows, mean JSON bytes of a row, rows, estimated MB, from one scan.
-    Rows outside the sample are counted but not turned into JSON.  When the sample is
-    smaller than ``floor_rows`` the first rows take its place, so that small tables are not
-    estimated as empty."""
+    """One row: sampled rows, mean JSON bytes of a row, rows, estimated MB.
+
+    Rows are sampled by the hash of their values, so the result does not depend on how the table
+    is stored; other rows are counted but not turned into JSON.  A table whose sample has fewer
+    than ``floor_rows`` rows is small, and measured whole."""
     size = F.octet_length(F.to_json(F.struct("*")))
-    seen = df.select(F.when(F.rand(seed) < fraction, size).alias("bytes")).agg(
-        F.count("bytes").alias("sampled"), F.avg("bytes").alias("mean"),
-        F.count(F.lit(1)).alias("rows"),
-    ).first()
-    sampled, mean = seen.sampled, seen.mean
-    if sampled < floor_rows:
-        head = df.limit(floor_rows).select(size.alias("bytes")).agg(
-            F.count("bytes").alias("sampled"), F.avg("bytes").alias("mean")
+    key = F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if not t.startswith("map")])
+    chosen = F.pmod(key, F.lit(1_000_000)) < int(fraction * 1_000_000)
+
+    def measured(test: Column):
+        return df.select(F.when(test, size).alias("bytes")).agg(
+            F.count("bytes").alias("sampled"), F.avg("bytes").alias("mean"),
+            F.count(F.lit(1)).alias("rows"),
         ).first()
-        sampled, mean = head.sampled, head.mean
-    mean = mean or 0.0
+
+    seen = measured(chosen)
+    if seen.sampled < floor_rows:
+        seen = measured(F.lit(True))
+    mean = seen.mean or 0.0
     return df.sparkSession.createDataFrame(
-        [(sampled, mean, seen.rows, mean * seen.rows / MEGABYTE)],
+        [(seen.sampled, mean, seen.rows, mean * seen.rows / MEGABYTE)],
         "sampled_rows bigint, mean_row_bytes double, total_rows bigint, estimated_mb double",
     )
 
@@ -228,27 +231,24 @@ def partitions_by_size(size_mb: float, target_mb: int = RULES.target_mb) -> int:
 
 
 def right_size_partitions(df: DataFrame, size_mb: float | None = None, target_mb: int = 128):
-    """Coalesce when there are over twice as many partitions as wanted, repartition when
-    under half as many."""
-    wanted = partitions_by_size(estimated_mb(df) if size_mb is None else size_mb, target_mb)
-    current = df.rdd.getNumPartitions()
-    if current > 2 * wanted:
-        return df.coalesce(wanted)
-    return df.repartition(wanted) if current < wanted / 2 else df
+    """Even partitions of about ``target_mb`` where the size is known, else of the session's
+    advisory size.  Nothing runs beforehand, and the steps before keep their own parallelism:
+    adaptive execution merges and splits while rows are on their way."""
+    return repartition_to_size(df, (), target_mb, size_mb)
 
 
 def repartition_to_size(
     df: DataFrame, columns: Sequence[str] = (), target_mb: int = 128, size_mb: float | None = None
 ) -> DataFrame:
-    """``size_mb`` spares the sizing scan where the size is known."""
-    wanted = partitions_by_size(estimated_mb(df) if size_mb is None else size_mb, target_mb)
-    present = [c for c in columns if c in df.columns]
-    return balanced(df, *present, partitions=wanted) if present else df.repartition(wanted)
+    """As ``right_size_partitions``, with equal values of the columns side by side."""
+    wanted = None if size_mb is None else partitions_by_size(size_mb, target_mb)
+    return balanced(df, *[c for c in columns if c in df.columns], partitions=wanted)
 
 
 def coalesce_small_files(df: DataFrame, target_mb: int = 128, size_mb: float | None = None):
-    wanted = partitions_by_size(estimated_mb(df) if size_mb is None else size_mb, target_mb)
-    return df.coalesce(wanted) if wanted < df.rdd.getNumPartitions() else df
+    """For a write with fewer, larger files: the rows move once, instead of dragging the scan
+    into few tasks as ``coalesce`` does."""
+    return repartition_to_size(df, (), target_mb, size_mb)
 
 
 def storage_for(size_mb: float) -> StorageLevel:

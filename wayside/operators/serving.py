@@ -310,11 +310,11 @@ def weather_impact(df: DataFrame, roles: Roles = INCIDENT) -> DataFrame:
             "state_breakdown"
         ),
     )
-    everywhere = Window.partitionBy(F.lit(1))
-    overall = F.sum("_s").over(everywhere) / F.sum("_sn").over(everywhere)
-    return grouped.withColumn(
-        "severity_multiplier", F.try_divide(F.try_divide(F.col("_s"), F.col("_sn")), overall)
-    ).drop("_s", "_sn")
+    overall = df.agg(F.avg(s).alias("_overall"))
+    return grouped.crossJoin(F.broadcast(overall)).withColumn(  # one row
+        "severity_multiplier",
+        F.try_divide(F.try_divide(F.col("_s"), F.col("_sn")), F.col("_overall")),
+    ).drop("_s", "_sn", "_overall")
 
 
 # --------------------------------------------------------------------- KPIs

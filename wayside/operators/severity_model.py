@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -25,14 +26,19 @@ class SeverityModel:
     version: str
 
     def score(self, df: DataFrame, roles: Roles = INCIDENT) -> DataFrame:
-        """``(id, predicted_severity, confidence_score, actual_severity)`` per row."""
+        """Per row: id, predicted severity, its probability, the actual one, and of the model its
+        type, version, inputs and their importance, with the time of the prediction."""
         chances = vector_to_array("probability")
         return self.fitted.transform(_numbers_filled(df, roles)).select(
             roles.id,
             F.col("prediction").cast("int").alias("predicted_severity"),
             F.array_max(chances).alias("confidence_score"),
             F.col(roles.severity).alias("actual_severity"),
+            F.lit(type(self.fitted.stages[-1]).__name__).alias("model_type"),
             F.lit(self.version).alias("model_version"),
+            F.lit(json.dumps(self.inputs)).alias("features_used"),
+            F.lit(json.dumps(self.importance())).alias("feature_importance"),
+            F.current_timestamp().alias("prediction_time"),
         )
 
     def importance(self) -> dict[str, float]:

@@ -14,7 +14,8 @@ from wayside.operators.features import FAMILIES, create_features
 from wayside.operators.reports import all_reports
 from wayside.sinks.files import write_bronze
 from wayside.sinks.tables import (
-    analyze_table, silver_detail_table, silver_infrastructure_table, silver_weather_table,
+    DETAIL, INFRASTRUCTURE, WEATHER, analyze_table, silver_detail_table,
+    silver_infrastructure_table, silver_weather_table,
 )
 from wayside.sources.csv import csv_scan_strict, with_ingestion_metadata
 from wayside.sources.files import require_files, require_valid_read
@@ -79,6 +80,10 @@ def cleaning_report(df: DataFrame, roles: Roles = INCIDENT) -> DataFrame:
     )
 
 
+def features_made(columns) -> int:
+    return sum(c in columns for family in FAMILIES.values() for c in family)
+
+
 def transformation_score(cleaning: float, features: int, tables: int) -> float:
     return round(0.4 * cleaning + 40 * min(features / 20, 1.0) + 20 * min(tables / 3, 1.0), 2)
 
@@ -134,6 +139,13 @@ def _local(report: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ to silver
 
 
+SILVER_TABLES = {
+    "accidents_clean": (silver_detail_table, DETAIL),
+    "weather_aggregated": (silver_weather_table, WEATHER),
+    "infrastructure_features": (silver_infrastructure_table, INFRASTRUCTURE),
+}
+
+
 @dataclass
 class Silver:
     tables: Mapping[str, DataFrame]
@@ -153,17 +165,14 @@ def build_silver(
     cleaned = clean_incidents(bronze, roles)
     featured = materialise(create_features(cleaned, roles), "featured")
     tables = {}
-    for name, write in (
-        ("accidents_clean", silver_detail_table),
-        ("weather_aggregated", silver_weather_table),
-        ("infrastructure_features", silver_infrastructure_table),
-    ):
+    for name, (write, layout) in SILVER_TABLES.items():
         full = f"{database}.{name}" if database else name
-        tables[name] = write(featured, full, roles, f"{location}/{name}" if location else None)
-        analyze_table(spark, full)
+        made = write(featured, full, roles, f"{location}/{name}" if location else None)
+        tables[name] = made
+        analyze_table(spark, full, [c for c in layout.statistics if c in made.columns])
     rows_in, rows_out = bronze.count(), featured.count()
     cleaned_score = cleaning.cleaning_score(rows_in, rows_out, corrections_made(bronze.columns))
-    made = sum(c in featured.columns for family in FAMILIES.values() for c in family)
+    made = features_made(featured.columns)
     scores = spark.createDataFrame(
         [(rows_in, rows_out, cleaned_score, made, len(tables),
           transformation_score(cleaned_score, made, len(tables)))],

@@ -19,15 +19,19 @@ def jdbc_sink(
     keys: Sequence[str] = (),
     batch_rows: int = BATCH_ROWS,
     connections: int | None = None,
+    split_on: str | None = None,
+    bounds: tuple[object, object] | None = None,
+    splits: int = 1,
     **options,
 ) -> None:
     """``replace`` swaps the table, ``update`` and ``ignore`` append.  With ``keys``, ``ignore``
-    leaves out rows whose key the target already has.  ``connections`` limits how many tasks
-    write at once."""
+    leaves out rows whose key the target already has; ``split_on``, ``bounds`` and ``splits`` let
+    several tasks read the target for that.  ``connections`` limits how many tasks write at once."""
     if on_duplicate not in MODES:
         raise ValueError(f"on_duplicate is one of {sorted(MODES)}")
     if keys and on_duplicate == "ignore":
-        target = jdbc_table_source(df.sparkSession, url, table, **options)
+        target = jdbc_table_source(
+            df.sparkSession, url, table, split_on, bounds, splits, **options)
         df = without_existing(df, target, keys)
     writer = df.write.format("jdbc").mode(MODES[on_duplicate]).options(**options)
     writer = writer.option("url", url).option("dbtable", table).option("batchsize", batch_rows)

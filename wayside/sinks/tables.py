@@ -72,8 +72,11 @@ def silver_infrastructure_table(df: DataFrame, table: str, roles: Roles = INCIDE
 
 
 def analyze_table(spark: SparkSession, table: str, columns: Sequence[str] | None = None) -> None:
-    """Collect table statistics, and column statistics for the given or all columns."""
+    """Collect table statistics, and column statistics for the given (none for an empty list) or
+    all columns."""
     spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS")
+    if columns is not None and not columns:
+        return
     scope = f"COLUMNS {', '.join(f'`{c}`' for c in columns)}" if columns else "ALL COLUMNS"
     spark.sql(f"ANALYZE TABLE {table} COMPUTE STATISTICS FOR {scope}")
 

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from wayside.model import INCIDENT, Roles
 from wayside.operators.cleaning import corrupt_row_filter
 from wayside.operators.layout import partition_columns
+from wayside.sinks.files import BRONZE_PARTITIONS, write_partitioned
 from wayside.sources.csv import with_ingestion_metadata
 
 
@@ -36,25 +37,28 @@ def stream_ingest(
     roles: Roles = INCIDENT,
     once: bool = True,
 ) -> StreamingQuery:
-    """Append sound incidents with ingestion metadata to Parquet by date and state.  With
-    ``once`` everything available is processed and the query ends."""
+    """Sound incidents with ingestion metadata as Parquet by date and state.  With ``once``
+    everything available is processed and the query ends.
+
+    Every micro-batch is placed by its partition values before it is written, so that a value gets
+    few files, into a folder of its own (``ingest_batch``): a batch that is repeated after a failure
+    replaces what it wrote."""
     sound = corrupt_row_filter(incidents, roles=roles)
     # partition by the event's own day, so take the date before the ingestion columns exist
     placed = with_ingestion_metadata(partition_columns(sound, roles), batch_id)
-    writer = (
-        placed.writeStream.format("parquet")
-        .partitionBy("partition_date", "partition_state")
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-    )
-    return (writer.trigger(availableNow=True) if once else writer).start(path)
+
+    def place(batch: DataFrame, number: int) -> None:
+        write_partitioned(batch, f"{path}/ingest_batch={number}", BRONZE_PARTITIONS)
+
+    return stream_upsert(placed, checkpoint, place, mode="append", once=once)
 
 
 def stream_hourly_patterns(
     incidents: DataFrame, lateness: str = "1 hour", roles: Roles = INCIDENT
 ) -> DataFrame:
     """Incidents and mean severity per hour of the event time; rows later than ``lateness``
-    may be dropped once their window is closed."""
+    may be dropped once their window is closed.  In append mode an hour comes once, when it is
+    closed; in update mode each time it changed; in both its state is given up then."""
     timed = incidents.withColumn("_at", F.col(roles.start).cast("timestamp"))
     return (
         timed.withWatermark("_at", lateness)
@@ -79,14 +83,32 @@ def stream_upsert(
     updates: DataFrame,
     checkpoint: str,
     replace: Callable[[DataFrame, int], None],
-    mode: str = "complete",
+    mode: str = "update",
     once: bool = True,
 ) -> StreamingQuery:
-    """Hand the refreshed result of every micro-batch to ``replace`` (a JDBC or file sink).
-    A batch may be handed over again after a failure, so ``replace`` should overwrite."""
+    """Hand the changed rows of every micro-batch to ``replace`` (a JDBC or file sink), in complete
+    mode all rows.  A batch may be handed over again after a failure, so ``replace`` should
+    overwrite; ``keyed_replacement`` makes one for files."""
     writer = (
         updates.writeStream.foreachBatch(replace)
         .option("checkpointLocation", checkpoint)
         .outputMode(mode)
     )
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def keyed_replacement(path: str) -> Callable[[DataFrame, int], None]:
+    """Keeps the rows of every batch in a folder of its own, for ``latest_by_key``."""
+    def replace(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/update={number}")
+
+    return replace
+
+
+def latest_by_key(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Of every key the row that the last batch with it wrote."""
+    found = spark.read.parquet(path)
+    others = [c for c in found.columns if c not in (*keys, "update")]
+    newest = F.max_by(F.struct(*others), F.col("update")).alias("_row")
+    return found.groupBy(*keys).agg(newest).select(
+        *keys, *[F.col("_row").getField(c).alias(c) for c in others])
