@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from wayside import model
 from wayside.model import INCIDENT, Roles, present_flags
 from wayside.operators.records import one_row
+from wayside.sources.scratch import materialise
 
 
 def month_bucket_key(time: Column) -> Column:
@@ -332,7 +333,9 @@ def kpi_long_table(
     mean; infrastructure_risk = mean severity at equipment / 4; temporal_patterns = share of
     rush-hour incidents; hotspots_count = grid cells with at least ``hotspot_min`` incidents.
 
-    Incidents are summed per day and state before the four period lengths multiply them."""
+    One scan: incidents are summed per day, state and cell, and written.  Sums per day and state
+    are then repeated for the four period lengths; cells are not, but rolled from days to weeks
+    and months, and from months to years."""
     s, day = F.col(roles.severity), F.to_date(roles.start).alias("day")
     rough = F.col(roles.weather_score) >= 5
     equipped = F.col(roles.equipment_count) > 0
@@ -344,26 +347,24 @@ def kpi_long_table(
         ]
 
     state = F.col(roles.state).alias("scope")
-    daily = df.groupBy(day, state).agg(
-        _rows().alias("n"), F.count_if(F.col(roles.rush_hour)).alias("rush"),
-        *sums("all", F.lit(True)), *sums("rough", rough), *sums("equipped", equipped),
-    )
     size = F.lit(float(cell_degrees))
-    cells = (
-        df.filter(F.col(roles.lat).isNotNull() & F.col(roles.lng).isNotNull())
-        .groupBy(
-            day, state, F.floor(F.col(roles.lat) / size).alias("row"),
-            F.floor(F.col(roles.lng) / size).alias("col"),
-        )
-        .agg(_rows().alias("n"))
+    known = F.col(roles.lat).isNotNull() & F.col(roles.lng).isNotNull()
+    base = materialise(
+        df.groupBy(
+            day, state, F.when(known, F.floor(F.col(roles.lat) / size)).alias("row"),
+            F.when(known, F.floor(F.col(roles.lng) / size)).alias("col"),
+        ).agg(
+            _rows().alias("n"), F.count_if(F.col(roles.rush_hour)).alias("rush"),
+            *sums("all", F.lit(True)), *sums("rough", rough), *sums("equipped", equipped),
+        ),
+        "kpi-base",
     )
+    summed_columns = ("n", "rush", "s_all", "n_all", "s_rough", "n_rough", "s_equipped",
+                      "n_equipped")
+    daily = base.groupBy("day", "scope").agg(*[F.sum(c).alias(c) for c in summed_columns])
     period = ["time_period", "period_start", "scope"]
     summed = _over_periods(daily).groupBy(*period).agg(
-        *[
-            F.sum(c).alias(c)
-            for c in ("n", "rush", "s_all", "n_all", "s_rough", "n_rough", "s_equipped",
-                      "n_equipped")
-        ]
+        *[F.sum(c).alias(c) for c in summed_columns]
     )
     ended = (
         F.when(F.col("time_period") == "daily", F.date_add("period_start", 1))
@@ -395,14 +396,18 @@ def kpi_long_table(
             )
         ),
     )
-    spots = (
-        _over_periods(cells)
-        .groupBy(*period, "row", "col")
-        .agg(F.sum("n").alias("n"))
-        .groupBy(*period)
+    cells = {"daily": base.filter("row is not null and day is not null").select(
+        F.col("day").alias("start"), "scope", "row", "col", "n")}
+    for name, finer in (("weekly", "daily"), ("monthly", "daily"), ("yearly", "monthly")):
+        start = F.to_date(F.date_trunc(_PERIOD_UNITS[name], F.col("start"))).alias("start")
+        cells[name] = cells[finer].groupBy(start, "scope", "row", "col").agg(F.sum("n").alias("n"))
+    spots = reduce(DataFrame.unionAll, [
+        rows.groupBy("start", "scope")
         .agg(F.count_if(F.col("n") >= hotspot_min).cast("double").alias("metric_value"))
-        .withColumn("metric_name", F.lit("hotspots_count"))
-    )
+        .select(F.lit(name).alias("time_period"), F.col("start").alias("period_start"), "scope",
+                F.lit("hotspots_count").alias("metric_name"), "metric_value")
+        for name, rows in cells.items()
+    ])
     return (
         main.unionByName(spots)
         .filter(F.col("metric_value").isNotNull())
