@@ -92,11 +92,13 @@ def scan_licenses(
                              F.posexplode(F.concat(whole, lines)).alias("place", "passage"))
     sized = passages.select("doc_id", "h", "place", _words(F.col("passage")).alias("words"))
     sized = sized.withColumn("n", F.size("words") - 1).where((F.col("n") > 0) & allowed)
-    sized = sized.dropDuplicates(["doc_id", "h", "place"])
-    spread = sized.select("doc_id", "h", "place", "n", F.explode(_bigrams(F.col("words"))).alias("bigram"))
+    spread = sized.select("doc_id", "h", "place", "n",
+                          F.posexplode(_bigrams(F.col("words"))).alias("at", "bigram"))
+    # only what the templates share is shuffled; a bigram of a repeated row counts once
     shared = (
         spread.join(F.broadcast(table), "bigram")
         .where(F.least("n", "size") * 2 >= least * (F.col("n") + F.col("size")) - 1e-9)
+        .dropDuplicates(["doc_id", "h", "place", "at", "template"])
         .groupBy("doc_id", "h", "place", "n", "template", "license", "size", "bigram", "times")
         .agg(F.count("*").alias("found"))
         .groupBy("doc_id", "h", "place", "n", "template", "license", "size")
