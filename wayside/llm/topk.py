@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from wayside.llm.common import written
+
 #: Candidates of a block, queries of a block, candidates that give the first bounds.
 BLOCK, QUERIES, HEAD = 2_048, 512, 2_048
 #: Share of the squares that the partial sum's coordinates carry at least.
@@ -44,15 +46,15 @@ def top_k(
     ``quantised``) that the SQL condition ``is_query`` picks, the k highest inner products with all
     other rows; ties go to the smaller vec_id.  Fewer candidates than k: all.  No rows: none.
     """
-    width = vectors.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") ** 2))
+    rows = written(vectors.withColumn("length", length), "vectors")
+    width = rows.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
     d, largest = int(width[0] or 0), int(width[1] or 0)
     schema = "query_id long, rank int, vec_id long, score long"
     if d == 0:
         return vectors.sparkSession.createDataFrame([], schema)
     if largest > LARGEST:
         raise ValueError(f"a component of {largest} could overflow the scores")
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") ** 2))
-    rows = vectors.withColumn("length", length)
     search = _Search(d, k, *_rotation(rows, d))
     n_queries = rows.where(is_query).count()
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -61,8 +63,8 @@ def top_k(
     head = rows.orderBy(F.desc("length"), "vec_id").limit(HEAD).collect()
     search.head = (np.array([r.vec_id for r in head]), search.matrix([r.v for r in head]))
     asked = rows.where(is_query).withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
-    asked = asked.select("g", "vec_id", "v").mapInArrow(
-        search.bound, "g int, vec_id long, v array<long>, least double")
+    asked = written(asked.select("g", "vec_id", "v").mapInArrow(
+        search.bound, "g int, vec_id long, v array<long>, least double"), "queries")
     packed = rows.repartitionByRange("length").sortWithinPartitions(F.desc("length"), "vec_id")
     packed = packed.select("vec_id", "length", "v").mapInArrow(
         search.pack(block), "longest double, ids binary, vs binary")
