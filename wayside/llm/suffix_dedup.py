@@ -10,9 +10,9 @@ it in the same document.  Repeats are found in these steps:
    settles the inside of repeats; what stays are the first occurrences of different contexts of
    one anchor, at the edges of repeats.
 3. Index.  These contexts are dealt out by their anchor.  Each task builds run-length compressed
-   transforms of them, samples text positions at the run ends, and keeps the earliest start of
-   every string of 100 bytes that occurs more than once.  It then streams the contexts through the
-   index backwards and marks where a match of 100 bytes has an earlier start.
+   transforms of them and samples the earliest start of every string of 100 bytes that occurs more
+   than once.  It then streams the contexts through the index backwards and marks where a match of
+   100 bytes has an earlier start.
 4. The marks of a document are merged and cut out.
 """
 
@@ -30,7 +30,7 @@ from wayside.llm.common import slices, written
 #: Bytes of a repeat, bytes of an anchor.
 LENGTH, ANCHOR = 100, 24
 #: Bytes of context that one index holds, about.
-INDEX_BYTES = 2 << 20
+INDEX_BYTES = 1 << 19
 #: Different contexts of an anchor from which they are dealt out by what the windows share.
 FREQUENT = 4_096
 #: Neighbouring window starts that are dealt out together then.
@@ -73,16 +73,18 @@ def remove_repeats(
     met = written(met, "contexts")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # both joins below read the same exchange: texts move once
-    placed = source.repartition(parts, "doc")
-    wanted = met.where("h is not null").groupBy("doc").agg(
+    document = ["doc", "tie"]
+    placed = source.repartition(parts, *document)
+    own = F.shiftright("at", 32).cast("int").alias("tie")
+    wanted = met.where("h is not null").groupBy("doc", own).agg(
         F.collect_list(F.struct("h", "at", "reach", "often")).alias("wanted"))
-    contexts = placed.join(wanted, "doc").select("doc", "tie", "text", "row", "wanted").mapInArrow(
+    contexts = placed.join(wanted, document).select("doc", "tie", "text", "row", "wanted").mapInArrow(
         finder.contexts, "g long, doc long, at long, reach int, context binary")
     found = contexts.repartition("g").sortWithinPartitions("g").mapInArrow(
         finder.index, "doc long, at long, reach int")
     marks = met.where("h is null").select("doc", "at", "reach").unionByName(found)
-    marks = marks.groupBy("doc").agg(F.collect_list(F.struct("at", "reach")).alias("marks"))
-    joined = placed.join(marks, "doc", "left").select("row", "tie", "text", "marks")
+    marks = marks.groupBy("doc", own).agg(F.collect_list(F.struct("at", "reach")).alias("marks"))
+    joined = placed.join(marks, document, "left").select("row", "tie", "text", "marks")
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     kind = T.StringType() if as_text else T.BinaryType()
     removed = joined.mapInArrow(lambda batches: _cut_out(batches, as_text), T.StructType([
@@ -326,9 +328,10 @@ class _Finder:
 class RunLengthIndex:
     """A run-compressed Burrows-Wheeler transform of contexts, each ended by a separator.
 
-    It keeps the runs (first row, symbol, rows of the symbol before), the text position at every
-    run's end, the row of every separator, and for each string of ``length`` bytes that occurs more
-    than once its rows and its earliest start.  The suffix array is dropped after building.
+    It keeps the runs (first row, symbol, rows of the symbol before), the row of every context's
+    last window, and for each string of ``length`` bytes that occurs more than once its rows and
+    its earliest start: the sample that decides here, in place of one at every run's end.  The
+    suffix array is dropped after building.
     """
 
     def __init__(self, texts: list[bytes], start: np.ndarray, length: int):
@@ -345,7 +348,6 @@ class RunLengthIndex:
         change = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
         self.run_row, self.run_symbol = change, before[change]
         run_size = np.diff(np.append(change, len(rows)))
-        self.end_sample = rows[change + run_size - 1]
         # rows of the same symbol in the runs before, after all rows of smaller symbols
         order = np.argsort(self.run_symbol, kind="stable")
         cumulative = np.cumsum(run_size[order]) - run_size[order]
@@ -353,14 +355,14 @@ class RunLengthIndex:
         self.target[order] = cumulative
         row_of = np.empty(len(rows), np.int64)
         row_of[rows] = np.arange(len(rows))
-        self.separator_row = row_of[self.ends]
+        self.last_row = row_of[self.ends - length]
         self._repeated(rows, part)
 
     def _repeated(self, rows: np.ndarray, part: tuple[np.ndarray, int]) -> None:
         """Rows of the strings of ``length`` bytes that occur more than once."""
         rank, shift = part
         n = len(rows)
-        context = np.searchsorted(self.ends, rows)
+        context = np.repeat(np.arange(len(self.size)), self.size + 1)[rows]
         whole = rows + self.length <= self.ends[context]
         second = rank[np.minimum(rows + shift, n - 1)]
         same = np.zeros(n, bool)
@@ -376,19 +378,18 @@ class RunLengthIndex:
 
     def earlier_matches(self) -> tuple[np.ndarray, np.ndarray]:
         """Contexts and offsets at which a string of ``length`` bytes begins that begins earlier
-        elsewhere.  All contexts are streamed from their ends, one byte a step."""
+        elsewhere.  All contexts are streamed backwards from their last windows, a byte a step."""
         order = np.argsort(-self.size, kind="stable")
-        size, row = self.size[order], self.separator_row[order]
+        size, row = self.size[order], self.last_row[order]
         start = self.start[order]
         found_context, found_offset = [], []
         if not len(self.class_row):
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        for step in range(1, int(size[0]) + 1):
+        for step in range(self.length, int(size[0]) + 1):
             n = int(np.searchsorted(-size, -step, side="right"))
-            run = np.searchsorted(self.run_row, row[:n], side="right") - 1
-            row[:n] = self.target[run] + row[:n] - self.run_row[run]
-            if step < self.length:
-                continue
+            if step > self.length:
+                run = np.searchsorted(self.run_row, row[:n], side="right") - 1
+                row[:n] = self.target[run] + row[:n] - self.run_row[run]
             at = np.searchsorted(self.class_row, row[:n], side="right") - 1
             offset = size[:n] - step
             hit = (at >= 0) & (row[:n] < self.class_end[at]) & (
@@ -403,32 +404,41 @@ class RunLengthIndex:
 
 def _suffixes(symbols: np.ndarray, length: int) -> tuple[np.ndarray, tuple[np.ndarray, int]]:
     """Suffixes in order, by doubling; and ranks by a part of ``length`` together with the shift to
-    the second part, so that both ranks tell strings of ``length`` apart."""
+    the second part, so that both ranks tell strings of ``length`` apart.
+
+    The rank of a suffix is the first row of those that are equal so far; only rows that share
+    theirs are sorted again."""
     n = len(symbols)
     key = np.zeros(n, np.int64)
     for k in range(7):
         key[: n - k] += symbols[k:] << np.int64(9 * (6 - k))
+    rows = np.argsort(key)
+    key = key[rows]
+    open_rows = np.arange(n)
+    rank = np.empty(n, np.int64)
     width, part = 7, None
-    rows = np.argsort(key, kind="stable")
-    rank = _ranks(key[rows], rows)
     while True:
+        new = np.ones(len(open_rows), bool)
+        new[1:] = key[1:] != key[:-1]
+        first = np.maximum.accumulate(np.where(new, open_rows, 0))
+        rank[rows[open_rows]] = first
+        shared = ~new
+        shared[:-1] |= shared[1:]  # the first of equal rows is open too
+        open_rows = open_rows[shared]
         if part is None and 2 * width >= length:
-            part = (rank.copy(), length - width) if width <= length else None
-        if rank[rows[-1]] == n - 1 and part is not None:
+            part = (rank.copy(), length - width)
+        if not len(open_rows):
+            if part is None:  # all told apart by less than half of ``length``
+                part = (rank, 0)
             return rows, part
-        key = (rank << np.int64(32)) + 0
-        key[: n - width] += rank[width:] + 1
-        rows = np.argsort(key, kind="stable")
-        rank = _ranks(key[rows], rows)
+        at = rows[open_rows]
+        after = at + width
+        key = (rank[at] << np.int64(32)) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        order = np.argsort(key)
+        rows[open_rows], key = at[order], key[order]
         width *= 2
 
 
-def _ranks(ordered: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    rank = np.empty(len(rows), np.int64)
-    rank[rows] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
-    return rank
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _A
     return x ^ (x >> np.uint64(29))
