@@ -132,7 +132,9 @@ def edited_halves(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), key.alias("key"),
                        F.coalesce(F.col(text), F.lit("")).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.select("key").approxQuantile("key", [i / parts for i in range(1, parts)], 0.001)
+    ranges = 4 * parts  # several for each task, so that tasks come out even
+    cuts = rows.select("key").approxQuantile(
+        "key", [i / ranges for i in range(1, ranges)], max(1e-5, 0.1 / ranges))
     cuts = np.unique(np.array([int(c) for c in cuts], np.int64))
 
     @F.pandas_udf("int")
