@@ -22,13 +22,13 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from wayside.llm.common import map_texts, slices, written
+from wayside.llm.common import map_texts, slices, written_by
 from wayside.llm.vocabulary import encoding, space_led, token_bytes
 
 #: Bytes of text in a batch (a longer text is a batch alone).
-BATCH_BYTES = 20 << 20
+BATCH_BYTES = 12 << 20
 #: Shares of the words for each shuffle partition, so that partitions come out even.
-SHARES = 8
+SHARES = 3
 
 
 def encode(
@@ -47,7 +47,7 @@ def encode(
     ])
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     split = source.mapInArrow(partial(_split, pattern=pattern, shares=SHARES * parts), schema)
-    split = written(split, "words")
+    split = written_by(split, "words", "batch", parts)  # positions need no shuffle later
     words = split.where("share is not null").select("batch", "share", "block")
     ids = words.repartition("share").sortWithinPartitions("share").mapInArrow(
         partial(_encoded, ranks=ranks, pattern=pattern), "batch long, block binary")

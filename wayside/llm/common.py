@@ -40,6 +40,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_by(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+    """As ``written``, in buckets of ``key``: grouping and joining by it need no shuffle."""
+    spark = df.sparkSession
+    name = f"llm_{label}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name.replace('_', '-')}"
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, where written tables go; a local session without
     the setting gets one below its warehouse folder."""
