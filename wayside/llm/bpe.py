@@ -32,9 +32,11 @@ SHARES = 3
 
 
 def encode(
-    docs: DataFrame, ranks: str, pattern: str, text: str = "text", doc_id: str = "doc_id"
+    docs: DataFrame, ranks: str, pattern: str, text: str = "text", doc_id: str = "doc_id",
+    decoded: bool = False,
 ) -> DataFrame:
-    """``doc_id`` and ``ids`` (little-endian unsigned 32-bit integers) of every row's whole text.
+    """``doc_id`` and ``ids`` (little-endian unsigned 32-bit integers) of every row's whole text;
+    with ``decoded`` also the bytes that ``decode`` gives for the ids, made in the same task.
 
     Null and empty texts have no ids.  A null doc_id passes through and repeated rows are encoded
     as often as they come.  Words may be as long as their text.
@@ -52,8 +54,11 @@ def encode(
     ids = words.repartition("share").sortWithinPartitions("share").mapInArrow(
         partial(_encoded, ranks=ranks, pattern=pattern), "batch long, block binary")
     home = split.where("share is null").select("batch", "doc_ids", "block")
+    fields = [T.StructField("doc_id", kind), T.StructField("ids", T.BinaryType())]
+    if decoded:
+        fields.append(T.StructField("decoded", T.BinaryType()))
     return home.groupBy("batch").cogroup(ids.groupBy("batch")).applyInArrow(
-        _assemble, T.StructType([T.StructField("doc_id", kind), T.StructField("ids", T.BinaryType())]))
+        lambda home, words: _assemble(home, words, ranks if decoded else None), T.StructType(fields))
 
 
 def _split(batches: Iterator[pa.RecordBatch], pattern: str, shares: int) -> Iterator[pa.RecordBatch]:
@@ -194,7 +199,7 @@ def _unpacked(block: bytes, numbers: int) -> list:
     return [*columns, data[at:]]
 
 
-def _assemble(home: pa.Table, words: pa.Table) -> pa.Table:
+def _assemble(home: pa.Table, words: pa.Table, ranks: str | None) -> pa.Table:
     numbers, ids = [], []
     for block in words.column("block").to_pylist():
         steps, size, flat, _ = _unpacked(block, 3)
@@ -212,8 +217,17 @@ def _assemble(home: pa.Table, words: pa.Table) -> pa.Table:
         for end in np.cumsum(size).tolist():
             out.append(b"".join([of[i] for i in flat[start:end].tolist()]))
             start = end
-    return pa.table({"doc_id": pa.chunked_array(names, home.schema.field("doc_ids").type.value_type),
-                     "ids": pa.chunked_array([pa.array(out, pa.binary())])})
+    columns = {"doc_id": pa.chunked_array(names, home.schema.field("doc_ids").type.value_type),
+               "ids": pa.chunked_array([pa.array(out, pa.binary())])}
+    if ranks is not None:
+        table = token_bytes(ranks)
+        columns["decoded"] = pa.chunked_array(
+            [pa.array([_decoded(row, table) for row in out], pa.binary())])
+    return pa.table(columns)
+
+
+def _decoded(ids: bytes, table: dict[int, bytes]) -> bytes:
+    return b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def decode(
@@ -226,8 +240,7 @@ def decode(
         table = token_bytes(ranks)
 
         def compute(rows: list) -> list[pa.Array]:
-            return [pa.array([b"".join(map(table.__getitem__, np.frombuffer(r or b"", "<u4").tolist()))
-                              for r in rows], pa.binary())]
+            return [pa.array([_decoded(r or b"", table) for r in rows], pa.binary())]
 
         return compute
 

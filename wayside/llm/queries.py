@@ -55,8 +55,8 @@ def op3_simhash(spark, sf_dir):
 
 @query
 def op4_byte_bpe(spark, sf_dir):
-    encoded = bpe.encode(_table(spark, sf_dir, "documents"), RANKS, PATTERN)
-    return bpe.decode(encoded, RANKS).select(
+    encoded = bpe.encode(_table(spark, sf_dir, "documents"), RANKS, PATTERN, decoded=True)
+    return encoded.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
