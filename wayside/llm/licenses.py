@@ -72,9 +72,12 @@ def scan_licenses(
     """``doc_id``, ``license``, ``dice`` (the best passage's, at least ``least``) and ``passages``
     (how many reach it), one row per document and licence found.
 
-    Passages are the lines of a text and, if it has several, the whole text.  Two sizes s and t
-    allow a coefficient of 2 min(s, t) / (s + t) at most, so passages whose size no template allows
-    are dropped before their bigrams are made, and templates are compared only within their bounds.
+    Passages are the lines of a text, if it has several the whole text, and runs of consecutive
+    words that neither a line nor the whole text that counts has taken: a notice that is wrapped over
+    lines, or stands in a line with other words.  Two sizes s and t allow a coefficient of
+    2 min(s, t) / (s + t) at most, so lines whose size no template allows are dropped before their
+    bigrams are made, and templates are compared only within their bounds; runs begin and end with a
+    bigram of the template.  Of runs that overlap the one that shares most counts.
     Bigrams count as often as they occur.  Null and empty texts and passages of one word find
     nothing; rows that repeat a doc_id are scanned as one document; a null doc_id is one.
     The templates are parameters of the call: their table is broadcast.
@@ -105,9 +108,89 @@ def scan_licenses(
         .agg(F.sum(F.least("found", "times")).alias("common"))
     )
     scored = shared.withColumn("dice", 2 * F.col("common") / (F.col("n") + F.col("size")))
-    return (
-        scored.where(F.col("dice") >= least - 1e-12)
-        .groupBy("doc_id", "h", "place", "license").agg(F.max("dice").alias("dice"))
-        .groupBy("doc_id", "license")
-        .agg(F.round(F.max("dice"), 9).alias("dice"), F.count("*").alias("passages"))
-    )
+    taken = scored.where(F.col("dice") >= least - 1e-12).groupBy("doc_id", "h", "place", "license").agg(
+        F.max("dice").alias("dice"))
+    counted = taken.select("doc_id", "license", "dice", F.lit(1).cast("long").alias("passages"))
+    runs = _runs(source, table, taken, least)
+    return counted.unionByName(runs).groupBy("doc_id", "license").agg(
+        F.round(F.max("dice"), 9).alias("dice"), F.sum("passages").alias("passages"))
+
+
+def _runs(source: DataFrame, table: DataFrame, taken: DataFrame, least: float) -> DataFrame:
+    """``doc_id``, ``license``, ``dice`` and ``passages`` of the runs of words in each text.
+
+    A bigram at a place adds to what a run from ``start`` shares with a template if, ``times``
+    occurrences before it, the same bigram lies before ``start``; so the shared bigrams of every run
+    are counted by going on from its start, without a table of its own.  A run has no borders of its
+    own, and would otherwise end before words that differ: it has at least the template's size.
+    """
+    lines = F.transform(F.split("text", "\n", -1), lambda line, i: F.transform(
+        _words(line), lambda w: F.struct(w.alias("w"), i.alias("line"))))
+    words = source.select("doc_id", F.xxhash64("text").alias("h"), F.flatten(lines).alias("words"))
+    bigrams = F.transform(
+        F.sequence(F.lit(1), F.size("words") - 1),
+        lambda i: F.struct(
+            F.concat(F.element_at("words", i)["w"], F.lit(" "), F.element_at("words", i + 1)["w"])
+            .alias("bigram"), F.element_at("words", i)["line"].alias("line")))
+    spread = words.where(F.size("words") > 1).select("doc_id", "h", F.posexplode(bigrams).alias("at", "b"))
+    met = spread.select("doc_id", "h", "at", F.col("b.line").alias("line"), F.col("b.bigram").alias("bigram"))
+    met = met.join(F.broadcast(table), "bigram").dropDuplicates(["doc_id", "h", "at", "template"])
+    # lines count from 1 here as in `place`, where a text of several lines is itself 0
+    several = F.col("several").cast("int")
+    sized = source.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_h"),
+                          F.contains("text", F.lit("\n")).alias("several")).distinct()
+    lines_taken = taken.join(sized, taken["doc_id"].eqNullSafe(F.col("_d")) & (taken["h"] == F.col("_h"))).select(
+        "_d", "_h", F.col("license").alias("_l"), (F.col("place") - several).alias("_line"))
+    same = met["doc_id"].eqNullSafe(F.col("_d")) & (met["h"] == F.col("_h")) & (met["license"] == F.col("_l"))
+    met = met.join(lines_taken, same & ((F.col("_line") < 0) | (met["line"] == F.col("_line"))), "left_anti")
+    key = ["doc_id", "h", "template", "license", "size"]
+    alike = met.groupBy(*key, "times", "bigram").agg(F.sort_array(F.collect_list("at")).alias("ats"))
+    each = alike.select(*key, F.explode(F.transform(
+        "ats", lambda at, i: F.struct(
+            at.alias("at"),
+            F.when(i >= F.col("times"), F.get("ats", i - F.col("times"))).otherwise(-1).alias("before"))
+    )).alias("x"))
+    found = each.groupBy(*key).agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    size = F.col("size")
+    ratio = least / (2 - least)
+    need, longest = F.ceil(size * least - 1e-9).cast("int"), F.floor(size / ratio + 1e-9).cast("int")
+
+    def best(x, i):
+        """Of the runs that start at the i-th shared bigram the best: its dice and last place."""
+        state = F.struct(F.lit(0).alias("common"), F.lit(0.0).alias("dice"), x["at"].alias("last"))
+
+        def further(s, y):
+            inside = y["at"] - x["at"] < longest
+            common = s["common"] + (inside & (y["before"] < x["at"])).cast("int")
+            dice = F.when(inside, 2.0 * common / (size + F.greatest(size, y["at"] - x["at"] + 1))).otherwise(0.0)
+            better = dice > s["dice"] + 1e-12
+            return F.struct(common.alias("common"), F.when(better, dice).otherwise(s["dice"]).alias("dice"),
+                            F.when(better, y["at"]).otherwise(s["last"]).alias("last"))
+
+        end = F.aggregate(F.slice("xs", i + 1, longest), state, further)
+        # only where so many shared bigrams follow near enough
+        far = F.get("xs", i + need - 1)["at"]
+        return F.when(far - x["at"] < longest, F.struct(
+            x["at"].alias("first"), end["last"].alias("last"), end["dice"].alias("dice"),
+            # twice the shared bigrams: dice times both sizes
+            F.round(end["dice"] * (size + F.greatest(size, end["last"] - x["at"] + 1))).alias("shared")))
+
+    runs = found.where(F.size("xs") >= need).select(
+        "doc_id", "h", "license", F.explode(F.transform("xs", best)).alias("run"))
+    runs = runs.where(F.col("run.dice") >= least - 1e-12).groupBy("doc_id", "h", "license").agg(
+        F.sort_array(F.collect_list("run")).alias("runs"))
+    none = F.struct(F.lit(0).cast("long").alias("passages"), F.lit(-1).alias("last"),
+                    F.lit(0.0).alias("dice"), F.lit(0.0).alias("shared"), F.lit(0.0).alias("most"))
+
+    def count(s, r):
+        apart = r["first"] > s["last"]
+        better = apart | (r["shared"] > s["shared"]) | (
+            (r["shared"] == s["shared"]) & (r["dice"] > s["dice"]))
+        return F.struct((s["passages"] + apart.cast("long")).alias("passages"),
+                        F.when(better, r["last"]).otherwise(s["last"]).alias("last"),
+                        F.when(better, r["dice"]).otherwise(s["dice"]).alias("dice"),
+                        F.when(better, r["shared"]).otherwise(s["shared"]).alias("shared"),
+                        F.greatest(s["most"], r["dice"]).alias("most"))
+
+    total = runs.select("doc_id", "license", F.aggregate("runs", none, count).alias("t"))
+    return total.select("doc_id", "license", F.col("t.most").alias("dice"), F.col("t.passages").alias("passages"))
