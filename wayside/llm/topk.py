@@ -13,12 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from wayside.llm.common import written
 
 #: Candidates of a block, queries of a block, candidates that give the first bounds.
 BLOCK, QUERIES, HEAD = 2_048, 512, 2_048
+#: Blocks that one call holds at most.
+CALL_BLOCKS = 4
 #: Share of the squares that the partial sum's coordinates carry at least.
 SHARE = 0.7
 #: Integers beyond this could overflow a score.
@@ -64,16 +66,24 @@ def top_k(
     search.head = (np.array([r.vec_id for r in head]), search.matrix([r.v for r in head]))
     asked = rows.where(is_query).withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
     asked = written(asked.select("g", "vec_id", "v").mapInArrow(
-        search.bound, "g int, vec_id long, v array<long>, least double"), "queries")
+        search.bound, "g int, vec_id long, v array<long>, least double, kth long"), "queries")
     packed = rows.repartitionByRange("length").sortWithinPartitions(F.desc("length"), "vec_id")
-    packed = packed.select("vec_id", "length", "v").mapInArrow(
-        search.pack(block), "longest double, ids binary, vs binary")
+    packed = packed.withColumn("part", F.spark_partition_id()).select("vec_id", "length", "v", "part")
+    # c: neighbouring blocks, as many as one call holds
+    packed = written(packed.mapInArrow(
+        search.pack(block), "c long, longest double, ids binary, vs binary"), "blocks")
     # a block goes to the groups in which some query's bound its longest vector can reach
     bounds = asked.groupBy("g").agg(F.min(F.col("least")).alias("reach"))
-    pairs = packed.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    pairs = pairs.join(bounds, "g").where("longest >= reach").select("g", "longest", "ids", "vs")
-    found = asked.select("g", "vec_id", "v").groupBy("g").cogroup(pairs.groupBy("g")).applyInArrow(
+    spread = packed.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    pairs = spread.join(bounds, "g").where("longest >= reach").select(
+        "g", "c", "longest", "ids", "vs")
+    calls = pairs.select(F.col("g").alias("g"), F.col("c").alias("c")).distinct()
+    sent = asked.join(calls, "g").select("g", "c", "vec_id", "v", "kth")
+    found = sent.groupBy("g", "c").cogroup(pairs.groupBy("g", "c")).applyInArrow(
         lambda asked, blocks: search.run(asked, blocks), schema)
+    # the k best of each call, then of all calls
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return found
 
 
@@ -122,53 +132,62 @@ class _Search:
         return out
 
     def bound(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The length that a candidate needs at least to reach the query's k-th score in the head."""
+        """The length that a candidate needs at least to reach the query's k-th score in the head, and
+        that score."""
         ids, vectors = self.head
         for batch in batches:
             q, own = _dense(batch.column(2), self.d), batch.column(1).to_numpy(zero_copy_only=False)
             least = np.full(len(q), -np.inf)
+            known = np.full(len(q), np.iinfo(np.int64).min)
             for i in range(len(q)):
                 scores = (vectors @ q[i])[ids != own[i]]
                 length = np.sqrt(float((q[i].astype(float) ** 2).sum()))
                 if len(scores) >= self.k and length:
                     kth = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
+                    known[i] = kth
                     least[i] = kth / length * (1 - 1e-9) if kth > 0 else -np.inf
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(least)],
-                names=["g", "vec_id", "v", "least"])
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(least),
+                 pa.array(known)], names=["g", "vec_id", "v", "least", "kth"])
 
     def pack(self, block: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, n = [], 0
+            held, n, done = [], 0, 0
             for batch in batches:
                 held.append(batch)
                 n += batch.num_rows
                 if n >= block:
-                    yield self._blocks(held, block)
+                    made = self._blocks(held, block, done)
+                    done += made.num_rows
+                    yield made
                     held, n = [], 0
-            if held:
-                yield self._blocks(held, block)
+            if held and n:
+                yield self._blocks(held, block, done)
 
         return run
 
-    def _blocks(self, held: list[pa.RecordBatch], block: int) -> pa.RecordBatch:
+    def _blocks(self, held: list[pa.RecordBatch], block: int, done: int) -> pa.RecordBatch:
+        """Blocks, numbered by their Spark partition and, ``done`` of them before, their place."""
         table = pa.Table.from_batches(held).combine_chunks()
         ids = table.column(0).to_numpy()
         length = table.column(1).to_numpy()
         v = _dense(table.column(2).combine_chunks() if table.num_rows else table.column(2), self.d)
         cuts = range(0, len(ids), block)
+        part = table.column(3)[0].as_py() << 32
         return pa.RecordBatch.from_arrays(
-            [pa.array([float(length[c]) for c in cuts], pa.float64()),
+            [pa.array([part + (done + i) // CALL_BLOCKS for i in range(len(cuts))], pa.int64()),
+             pa.array([float(length[c]) for c in cuts], pa.float64()),
              pa.array([ids[c : c + block].astype("<i8").tobytes() for c in cuts], pa.binary()),
              pa.array([v[c : c + block].astype("<i4").tobytes() for c in cuts], pa.binary())],
-            names=["longest", "ids", "vs"])
+            names=["c", "longest", "ids", "vs"])
 
     def run(self, asked: pa.Table, blocks: pa.Table) -> pa.Table:
-        """The queries of a group against the blocks that reached it, longest vectors first."""
+        """The queries of a group against some blocks that reached it, longest vectors first."""
         query = asked.column("vec_id").to_numpy()
         q = _dense(pa.concat_arrays(asked.column("v").chunks) if asked.num_rows
                    else pa.array([], pa.list_(pa.int64())), self.d)
         order = np.argsort(-blocks.column("longest").to_numpy(), kind="stable") if blocks.num_rows else []
+        known = asked.column("kth").to_numpy().astype(float)  # k other vectors have it: less is of no use
         best_score = np.full((len(query), self.k), np.iinfo(np.int64).min)
         best_id = np.full((len(query), self.k), np.iinfo(np.int64).max)
         rotated = q.astype(float) @ self.axes
@@ -177,7 +196,7 @@ class _Search:
         ids, vs = blocks.column("ids"), blocks.column("vs")
         for b in order:
             longest = blocks.column("longest")[int(b)].as_py()
-            kth = best_score[:, -1].astype(float)
+            kth = np.maximum(best_score[:, -1].astype(float), known)
             alive = np.flatnonzero(q_length * longest * (1 + 1e-9) + 1e-6 >= kth)
             if not len(alive):
                 break  # all further vectors are shorter still
