@@ -40,13 +40,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def written_by(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
-    """As ``written``, in buckets of ``key``: grouping and joining by it need no shuffle."""
+def written_by(
+    df: DataFrame, label: str, key: str, buckets: int, sort: Sequence[str] = ()
+) -> DataFrame:
+    """As ``written``, in buckets of ``key``, each sorted by the columns ``sort``: grouping and
+    joining by the key need no shuffle.  The catalogue forgets the table; its files stay."""
     spark = df.sparkSession
     name = f"llm_{label}_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{name.replace('_', '-')}"
-    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
-    return spark.table(name)
+    writer = df.write.bucketBy(buckets, key)
+    (writer.sortBy(*sort) if sort else writer).option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # resolved before the name goes
+    spark.sql(f"drop table {name}")
+    return table
 
 
 def shared_folder(spark: SparkSession) -> str:

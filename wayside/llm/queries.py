@@ -10,14 +10,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import public_tokenizers
 
 from wayside.llm import (
-    bpe, langid, licenses, packing, simhash, spotsigs, suffix_dedup, tokencount, topk,
-    toxicity,
+    alignment, bpe, langid, licenses, packing, periodic, sharding, simhash, spotsigs, suffix_dedup,
+    tokencount, topk, toxicity,
 )
-from wayside.llm.common import held_out, importable
+from wayside.llm.common import held_out, importable, written
 
 #: Vocabulary of the queries; the operators take any.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+SHARDS = 24
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -116,6 +118,54 @@ def op10_suffix_dedup(spark, sf_dir):
                        F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op11_sharding(spark, sf_dir):
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
+    placed = sharding.sharded(_table(spark, sf_dir, "documents"), SHARDS, size)
+    return placed.select(
+        "doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op12_periodic_runs(spark, sf_dir):
+    found = periodic.with_runs(with_planted_runs(_table(spark, sf_dir, "documents")),
+                               keep=["doc_id"])
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    # length / period of the one is greater than that of the other; of equal ones the first stays
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda a, r: F.when(
+        r["length"] * a["period"] > a["length"] * r["period"], r).otherwise(a))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length",
+        "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The words of a tenth of the documents, by a hash of doc_id, repeat with some period from some
+    word on; the other texts, and those without a word or doc_id, stay as they are."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    planted = docs.select("*", h.alias("_h"), F.when(h % 10 == 0, words).alias("_w"))
+    planted = planted.selectExpr("*", "size(_w) as _n", "_h div 10 as _g")
+    planted = planted.withColumn("_a", F.expr("int(_g % _n)"))
+    planted = planted.withColumn("_p", F.expr("int(1 + (_n - _a) div (3 + _g % 8))"))
+    repeated = F.expr("array_join(transform(_w, (w, i) -> if(i < _a, w, _w[_a + (i - _a) % _p])), ' ')")
+    return planted.select(
+        *[F.when(F.col("_n") > 0, repeated).otherwise(F.col("text")).alias(c) if c == "text" else c
+          for c in docs.columns])
+
+
+@query
+def op13_alignment(spark, sf_dir):
+    rows = alignment.aligned(_table(spark, sf_dir, "documents"), RANKS, PATTERN, PIECES, keep=["doc_id"])
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    rows = written(rows.withColumn("groups_sha256", digest).drop("groups"), "aligned")
+    return alignment.with_link_counts(
+        rows, ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"])
+
+
 #: The scan of op1 as SQL: lines and whole texts, bigrams with their counts, Dice within bounds.
 ORACLE_SQL["op1_license_scan"] = """
 with templates(template, license, text) as (values {templates}),
