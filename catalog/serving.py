@@ -209,13 +209,17 @@ def _critical(spark, sf):
 def _kpi_sql() -> str:
     units = {"daily": ("day", "1 day"), "weekly": ("week", "7 days"),
              "monthly": ("month", "1 month"), "yearly": ("year", "12 months")}
+    state, county, city = (f"coalesce({c}, '?')" for c in ("State", "County", "City"))
+    scoped = f"""select f.*, scope_level, case scope_level when 'state' then {state}
+ when 'county' then {state} || '/' || {county} else {state} || '/' || {county} || '/' || {city} end
+ as geographic_scope from featured f, (values ('state'), ('county'), ('city')) l(scope_level)"""
     tagged = " union all ".join(
         f"select *, '{p}' as time_period, cast(date_trunc('{u}', Start_Time) as date) as"
         f" period_start, date_diff('hour', date_trunc('{u}', Start_Time)::timestamp,"
-        f" date_trunc('{u}', Start_Time)::timestamp + interval '{length}') as hours from featured"
+        f" date_trunc('{u}', Start_Time)::timestamp + interval '{length}') as hours from scoped"
         for p, (u, length) in units.items()
     )
-    keys = "time_period, period_start, State as geographic_scope"
+    keys = "time_period, period_start, scope_level, geographic_scope"
     values = {
         "accidents_par_heure": "count(*) * 1.0e0 / any_value(hours)",
         "severite_moyenne": "avg(Severity)",
@@ -224,24 +228,28 @@ def _kpi_sql() -> str:
         "infrastructure_risk": "avg(Severity) filter (where infrastructure_count > 0) / 4",
         "temporal_patterns": "count(*) filter (where is_rush_hour) * 1.0e0 / count(*)",
     }
-    parts = [f"select '{m}' as metric_name, {v} as metric_value, {keys} from tagged group by all"
-             for m, v in values.items()]
+    sums = ", ".join(f"{v} as {m}" for m, v in values.items())
+    parts = [f"select '{m}' as metric_name, {m} as metric_value, {keys} from summed" for m in values]
     parts.append(
-        f"""select 'hotspots_count', cast(count(*) filter (where n >= 5) as double), time_period,
- period_start, State from (select {keys.replace('State as geographic_scope', 'State')},
- floor(Start_Lat / 2.0e0) as row, floor(Start_Lng / 2.0e0) as col, count(*) as n from tagged
- where Start_Lat is not null and Start_Lng is not null group by all) group by all""")
-    return f"tagged as ({tagged}), kpis as (select * from ({' union all '.join(parts)})" \
-           " where metric_value is not null)"
+        f"""select 'hotspots_count', cast(count(*) filter (where n >= 5) as double), {keys}
+ from (select {keys}, floor(Start_Lat / 2.0e0) as row, floor(Start_Lng / 2.0e0) as col,
+  count(*) as n from tagged where Start_Lat is not null and Start_Lng is not null group by all)
+ group by all""")
+    return f"""scoped as materialized ({scoped}), tagged as materialized ({tagged}),
+ summed as materialized (select {keys}, {sums} from tagged group by all),
+ kpis as materialized (select *, timestamp '{CALCULATED}' as calculated_at
+ from ({' union all '.join(parts)}) where metric_value is not null)"""
 
 
+CALCULATED = dt.datetime(2024, 2, 1, 6)
 KPIS = _kpi_sql()
 _KPI_COLUMNS = ("metric_name, round(metric_value, 6) as metric_value, time_period, period_start,"
-                " geographic_scope")
+                " scope_level, geographic_scope, calculated_at")
 
 
 def _kpis(spark, sf):
-    return G.kpi_long_table(featured(spark, sf), cell_degrees=2.0)
+    found = G.kpi_long_table(featured(spark, sf), cell_degrees=2.0, calculated_at=CALCULATED)
+    return found.withColumn("calculated_at", F.col("calculated_at").cast("timestamp_ntz"))
 
 
 @query("kpi_long_table", with_features(f"select {_KPI_COLUMNS} from kpis", KPIS))
@@ -251,10 +259,10 @@ def _kpi(spark, sf):
 
 @query("kpi_lookup", with_features(f"""
 select {_KPI_COLUMNS} from (select * from kpis where metric_name = 'severite_moyenne'
- and time_period = 'daily' and geographic_scope like '%A'
- order by period_start desc, geographic_scope limit 20 offset 20)""", KPIS))
+ and time_period = 'daily' and geographic_scope like 'CA%'
+ order by calculated_at desc, period_start desc, geographic_scope limit 20 offset 20)""", KPIS))
 def _lookup(spark, sf):
-    return tidy(G.kpi_lookup(_kpis(spark, sf), "severite_moyenne", "daily", "%A", 2, 20))
+    return tidy(G.kpi_lookup(_kpis(spark, sf), "severite_moyenne", "daily", "CA%", 2, 20))
 
 
 @query("kpi_evolution", with_features("""
@@ -300,20 +308,17 @@ def _trend(spark, sf):
 
 
 @query("kpi_vs_previous", with_features("""
-select metric_name, time_period, period_start, geographic_scope,
- round(metric_value, 6) as metric_value, round(previous_value, 6) as previous_value,
- round((metric_value - previous_value) / nullif(previous_value, 0) * 100, 4) as change_percentage
-from (select k.*, b.metric_value as previous_value
- from (select * from kpis where dayofyear(period_start) % 5 > 0) k
- left join (select * from kpis where dayofyear(period_start) % 5 > 0) b
- on k.metric_name = b.metric_name and k.time_period = b.time_period
- and k.geographic_scope is not distinct from b.geographic_scope and b.period_start = k.period_start
-  - case k.time_period when 'daily' then interval 1 day when 'weekly' then interval 7 day
-   when 'monthly' then interval 1 month else interval 1 year end)""", KPIS))
+select k.metric_name, round(k.metric_value, 6) as metric_value, k.time_period, k.period_start,
+ scope_level, k.geographic_scope, calculated_at, round(previous_value, 6) as previous_value,
+ round((k.metric_value - previous_value) / nullif(previous_value, 0) * 100, 4) as change_percentage
+from kpis k left join (select metric_name, time_period, geographic_scope,
+  metric_value as previous_value, cast(period_start + case time_period
+   when 'daily' then interval 1 day when 'weekly' then interval 7 day
+   when 'monthly' then interval 1 month else interval 1 year end as date) as period_start
+  from kpis) b on k.metric_name = b.metric_name and k.time_period = b.time_period
+ and k.geographic_scope = b.geographic_scope and b.period_start = k.period_start""", KPIS))
 def _previous(spark, sf):
-    """With gaps in the series: every fifth day of the year is left out."""
-    kept = _kpis(spark, sf).filter(F.dayofyear("period_start") % 5 > 0)
-    compared = G.kpi_vs_previous(kept)
+    compared = G.kpi_vs_previous(_kpis(spark, sf))
     return tidy(compared.withColumn("change_percentage", F.round("change_percentage", 4)))
 
 

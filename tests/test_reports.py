@@ -118,3 +118,74 @@ def test_severity_model(spark):
                         F.min("confidence_score"), F.max("confidence_score")).first()
     assert 1 <= bounds[0] <= bounds[1] <= 4 and 0 < bounds[2] <= bounds[3] <= 1
     assert abs(sum(model.importance().values()) - 1) < 1e-6
+
+
+def _kpi_rows(spark):
+    rows = [  # two places of one state, one without a county, one without a state
+        ("a", 2, "2024-01-01 07:30", 40.0, -80.0, "CA", "K", "X", 6, 0, True),
+        ("b", 4, "2024-01-01 12:00", 40.0, -80.0, "CA", "K", "Y", 1, 1, False),
+        ("c", 3, "2024-01-03 12:00", None, None, "CA", None, "X", 1, 0, False),
+        ("d", 1, "2024-01-03 12:00", 10.0, 10.0, None, "K", None, 1, 0, False),
+        ("e", 1, None, 10.0, 10.0, "CA", "K", "X", 1, 0, False),
+    ]
+    return spark.createDataFrame(
+        rows, "ID string, Severity int, t string, Start_Lat double, Start_Lng double, State string,"
+        " County string, City string, weather_severity_score int, infrastructure_count int,"
+        " is_rush_hour boolean").withColumn("Start_Time", F.col("t").cast("timestamp_ntz"))
+
+
+def test_kpi_scopes(spark):
+    at = dt.datetime(2024, 2, 1, 6)
+    kpis = G.kpi_long_table(_kpi_rows(spark), hotspot_min=2, calculated_at=at)
+    daily = {(r.metric_name, str(r.period_start), r.scope_level, r.geographic_scope): r.metric_value
+             for r in kpis.where("time_period = 'daily'").collect()}
+    scopes = {(k[2], k[3]) for k in daily}
+    assert scopes == {
+        ("state", "CA"), ("state", "?"), ("county", "CA/K"), ("county", "CA/?"), ("county", "?/K"),
+        ("city", "CA/K/X"), ("city", "CA/K/Y"), ("city", "CA/?/X"), ("city", "?/K/?")}
+    first = "2024-01-01"
+    assert daily["severite_moyenne", first, "state", "CA"] == 3
+    assert daily["severite_moyenne", first, "city", "CA/K/X"] == 2
+    assert daily["hotspots_count", first, "county", "CA/K"] == 1
+    assert daily["hotspots_count", first, "city", "CA/K/X"] == 0  # the cell is split there
+    assert daily["temporal_patterns", first, "county", "CA/K"] == 0.5
+    assert {r.calculated_at for r in kpis.collect()} == {at}
+    # the hierarchy is expanded after the rows were summed per place
+    plan = G._by_scope(spark.createDataFrame([], "day date, state string, county string, n long"),
+                       ["day"], ["state", "county"], ("n",))._jdf.queryExecution().toString()
+    assert plan.count("Expand ") >= 1
+    without = G.kpi_long_table(_kpi_rows(spark).drop("County", "City"))
+    assert {r.scope_level for r in without.select("scope_level").distinct().collect()} == {"state"}
+
+
+def test_kpi_recalculation_and_gaps(spark):
+    one = G.kpi_long_table(_kpi_rows(spark), calculated_at=dt.datetime(2024, 2, 1))
+    again = G.kpi_long_table(_kpi_rows(spark).where("ID <> 'a'"),
+                             calculated_at=dt.datetime(2024, 2, 2))
+    both = one.unionByName(again)
+    found = G.kpi_lookup(both, "severite_moyenne", "daily", "CA", size=3).collect()
+    assert [(r.calculated_at.day, str(r.period_start), r.metric_value) for r in found] == [
+        (2, "2024-01-03", 3.0), (2, "2024-01-01", 4.0), (1, "2024-01-03", 3.0)]
+    now = {r.period_start.day: r.metric_value for r in G.kpi_current(both).where(
+        "metric_name = 'severite_moyenne' and time_period = 'daily' and geographic_scope = 'CA'"
+    ).collect()}
+    assert now == {1: 4.0, 3: 3.0}
+    board = G.kpi_dashboard(both).where("metric_name = 'severite_moyenne'").collect()
+    assert {r.geographic_scope: (r.current_value, r.max_value) for r in board}["CA"] == (3.0, 4.0)
+    # 2 January is missing, so 3 January has no previous day; weeks and months follow each other
+    series = spark.createDataFrame(
+        [("m", p, "CA", dt.date.fromisoformat(d), v) for p, d, v in (
+            ("daily", "2024-01-01", 2.0), ("daily", "2024-01-03", 3.0), ("daily", "2024-01-04", 6.0),
+            ("weekly", "2024-01-01", 1.0), ("weekly", "2024-01-08", 2.0), ("weekly", "2024-01-22", 2.0),
+            ("monthly", "2024-01-01", 0.0), ("monthly", "2024-02-01", 5.0),
+            ("yearly", "2023-01-01", 5.0), ("yearly", "2024-01-01", 4.0))],
+        "metric_name string, time_period string, geographic_scope string, period_start date,"
+        " metric_value double")
+    got = {(r.time_period, str(r.period_start)): (r.previous_value, r.change_percentage)
+           for r in G.kpi_vs_previous(series).collect()}
+    assert got == {
+        ("daily", "2024-01-01"): (None, None), ("daily", "2024-01-03"): (None, None),
+        ("daily", "2024-01-04"): (3.0, 100.0), ("weekly", "2024-01-01"): (None, None),
+        ("weekly", "2024-01-08"): (1.0, 100.0), ("weekly", "2024-01-22"): (None, None),
+        ("monthly", "2024-01-01"): (None, None), ("monthly", "2024-02-01"): (0.0, None),
+        ("yearly", "2023-01-01"): (None, None), ("yearly", "2024-01-01"): (5.0, -20.0)}

@@ -311,7 +311,9 @@ def weather_impact(df: DataFrame, roles: Roles = INCIDENT) -> DataFrame:
             "state_breakdown"
         ),
     )
-    overall = df.agg(F.avg(s).alias("_overall"))
+    # incidents are read once: the mean of all comes from the sums per weather text
+    grouped = materialise(grouped, "weather-impact")
+    overall = grouped.agg(F.try_divide(F.sum("_s"), F.sum("_sn")).alias("_overall"))
     return grouped.crossJoin(F.broadcast(overall)).withColumn(  # one row
         "severity_multiplier",
         F.try_divide(F.try_divide(F.col("_s"), F.col("_sn")), F.col("_overall")),
@@ -323,18 +325,34 @@ def weather_impact(df: DataFrame, roles: Roles = INCIDENT) -> DataFrame:
 _PERIOD_UNITS = {"daily": "day", "weekly": "week", "monthly": "month", "yearly": "year"}
 
 
+#: Scope of a KPI: how many places of the hierarchy state, county, city it names.
+_SCOPE_LEVELS = ("state", "county", "city")
+#: Stands in a scope for a place that is not known.
+UNKNOWN_PLACE = "?"
+
+
 def kpi_long_table(
-    df: DataFrame, hotspot_min: int = 5, cell_degrees: float = 0.01, roles: Roles = INCIDENT
+    df: DataFrame,
+    hotspot_min: int = 5,
+    cell_degrees: float = 0.01,
+    roles: Roles = INCIDENT,
+    calculated_at: dt.datetime | None = None,
 ) -> DataFrame:
-    """``(metric_name, metric_value, time_period, period_start, geographic_scope)`` per state.
+    """``(metric_name, metric_value, time_period, period_start, scope_level, geographic_scope,
+    calculated_at)`` per state, county and city.
+
+    A scope is ``CA``, ``CA/County 1`` or ``CA/County 1/City 7``, with ``?`` for a place that is not
+    known; levels for which the table has no column are left out.  ``calculated_at`` is the time of
+    the run unless it is given.
 
     Formulas, ours: accidents_par_heure = incidents / hours of the period; severite_moyenne =
     mean severity; weather_impact = mean severity at a weather score of 5 or more over the
     mean; infrastructure_risk = mean severity at equipment / 4; temporal_patterns = share of
     rush-hour incidents; hotspots_count = grid cells with at least ``hotspot_min`` incidents.
 
-    One scan: incidents are summed per day, state and cell, and written.  Sums per day and state
-    are then repeated for the four period lengths; cells are not, but rolled from days to weeks
+    One scan: incidents are summed per day, place and cell, and written.  From that base one
+    grouping-sets aggregate makes the sums of all levels, another the cells of all levels; sums
+    are then repeated for the four period lengths, cells are not, but rolled from days to weeks
     and months, and from months to years."""
     s, day = F.col(roles.severity), F.to_date(roles.start).alias("day")
     rough = F.col(roles.weather_score) >= 5
@@ -346,12 +364,15 @@ def kpi_long_table(
             F.count_if(condition & s.isNotNull()).alias(f"n_{name}"),
         ]
 
-    state = F.col(roles.state).alias("scope")
+    levels = [n for n in _SCOPE_LEVELS if getattr(roles, n) in df.columns]
+    places = [
+        F.coalesce(F.col(getattr(roles, n)), F.lit(UNKNOWN_PLACE)).alias(n) for n in levels
+    ]
     size = F.lit(float(cell_degrees))
     known = F.col(roles.lat).isNotNull() & F.col(roles.lng).isNotNull()
     base = materialise(
-        df.groupBy(
-            day, state, F.when(known, F.floor(F.col(roles.lat) / size)).alias("row"),
+        df.filter(F.col(roles.start).isNotNull()).groupBy(
+            day, *places, F.when(known, F.floor(F.col(roles.lat) / size)).alias("row"),
             F.when(known, F.floor(F.col(roles.lng) / size)).alias("col"),
         ).agg(
             _rows().alias("n"), F.count_if(F.col(roles.rush_hour)).alias("rush"),
@@ -361,8 +382,8 @@ def kpi_long_table(
     )
     summed_columns = ("n", "rush", "s_all", "n_all", "s_rough", "n_rough", "s_equipped",
                       "n_equipped")
-    daily = base.groupBy("day", "scope").agg(*[F.sum(c).alias(c) for c in summed_columns])
-    period = ["time_period", "period_start", "scope"]
+    daily = _by_scope(base, ["day"], levels, summed_columns)
+    period = ["time_period", "period_start", "scope_level", "geographic_scope"]
     summed = _over_periods(daily).groupBy(*period).agg(
         *[F.sum(c).alias(c) for c in summed_columns]
     )
@@ -396,25 +417,44 @@ def kpi_long_table(
             )
         ),
     )
-    cells = {"daily": base.filter("row is not null and day is not null").select(
-        F.col("day").alias("start"), "scope", "row", "col", "n")}
+    scope = ["scope_level", "geographic_scope"]
+    cells = {"daily": _by_scope(base.filter("row is not null"), ["day", "row", "col"], levels,
+                                ("n",)).withColumnRenamed("day", "start")}
     for name, finer in (("weekly", "daily"), ("monthly", "daily"), ("yearly", "monthly")):
         start = F.to_date(F.date_trunc(_PERIOD_UNITS[name], F.col("start"))).alias("start")
-        cells[name] = cells[finer].groupBy(start, "scope", "row", "col").agg(F.sum("n").alias("n"))
+        cells[name] = cells[finer].groupBy(start, *scope, "row", "col").agg(F.sum("n").alias("n"))
     spots = reduce(DataFrame.unionAll, [
-        rows.groupBy("start", "scope")
+        rows.groupBy("start", *scope)
         .agg(F.count_if(F.col("n") >= hotspot_min).cast("double").alias("metric_value"))
-        .select(F.lit(name).alias("time_period"), F.col("start").alias("period_start"), "scope",
+        .select(F.lit(name).alias("time_period"), F.col("start").alias("period_start"), *scope,
                 F.lit("hotspots_count").alias("metric_name"), "metric_value")
         for name, rows in cells.items()
     ])
+    at = F.current_timestamp() if calculated_at is None else F.lit(str(calculated_at))
     return (
         main.unionByName(spots)
         .filter(F.col("metric_value").isNotNull())
-        .withColumnRenamed("scope", "geographic_scope")
+        .withColumn("calculated_at", at.cast("timestamp"))
     )
 
 
+def _by_scope(
+    base: DataFrame, keys: list[str], levels: list[str], summed: Sequence[str]
+) -> DataFrame:
+    """Sums per key and scope for every level of the hierarchy, by grouping sets: the table is
+    summed per finest scope first, so that only those sums are repeated for the levels."""
+    finest = base.groupBy(*keys, *levels).agg(*[F.sum(c).alias(c) for c in summed])
+    sets = [[F.col(c) for c in (*keys, *levels[: i + 1])] for i in range(len(levels))]
+    # a level that a set leaves out is null; places themselves never are
+    depth = sum((F.col(n).isNotNull().cast("int") for n in levels[1:]), F.lit(0))
+    named = F.element_at(F.array(*[F.lit(n) for n in levels]), depth + 1)
+    grouped = finest.groupingSets(sets, *keys, *levels).agg(
+        *[F.sum(c).alias(c) for c in summed])
+    return grouped.select(
+        *keys, named.alias("scope_level"),
+        F.concat_ws("/", *levels).alias("geographic_scope"), *summed)
+
+
 def _over_periods(daily: DataFrame) -> DataFrame:
     """Repeat day rows for each period length, tagged with the start of the period."""
     starts = F.array(
@@ -426,7 +466,7 @@ def _over_periods(daily: DataFrame) -> DataFrame:
             for p, unit in _PERIOD_UNITS.items()
         ]
     )
-    return daily.filter(F.col("day").isNotNull()).select("*", F.inline(starts))
+    return daily.select("*", F.inline(starts))
 
 
 def kpi_window(period: str, until: dt.date) -> tuple[dt.date, dt.date]:
@@ -474,12 +514,24 @@ def kpi_lookup(
     kpis: DataFrame, metric: str, period: str, scope_like: str = "%", page: int = 1,
     size: int = 100,
 ) -> DataFrame:
+    """A page of one metric's values, the newest calculation first, then the newest period."""
     found = kpis.filter(
         (F.col("metric_name") == metric) & (F.col("time_period") == period)
         & F.col("geographic_scope").like(scope_like)
     )
-    return paged_listing(found, [F.col("period_start").desc(), F.col("geographic_scope")],
-                         page, size)
+    return paged_listing(
+        found,
+        [F.col("calculated_at").desc(), F.col("period_start").desc(), F.col("geographic_scope")],
+        page, size)
+
+
+def kpi_current(kpis: DataFrame) -> DataFrame:
+    """Of every period of a series the value that was calculated last; recalculations are appended
+    to a KPI table, so that it can hold several."""
+    others = [c for c in kpis.columns if c not in (*_SERIES, "period_start")]
+    last = F.max_by(F.struct(*others), "calculated_at").alias("_last")
+    return kpis.groupBy(*_SERIES, "period_start").agg(last).select(
+        *_SERIES, "period_start", "_last.*")
 
 
 _SERIES = ("metric_name", "time_period", "geographic_scope")
@@ -500,8 +552,8 @@ def kpi_trend(kpis: DataFrame) -> DataFrame:
 
 def kpi_vs_previous(kpis: DataFrame) -> DataFrame:
     """Each value with the one of the calendar period before in its series, and the change in %;
-    null where that period is missing."""
-    order = Window.partitionBy(*_SERIES).orderBy("period_start")
+    null where that period is missing.  A series is taken as one calculation made it."""
+    order = Window.partitionBy(*_SERIES, *_calculated(kpis)).orderBy("period_start")
     start = F.col("period_start").cast("date")
     expected = (
         F.when(F.col("time_period") == "daily", F.date_sub(start, 1))
@@ -519,10 +571,14 @@ def kpi_vs_previous(kpis: DataFrame) -> DataFrame:
     )
 
 
+def _calculated(kpis: DataFrame) -> list[str]:
+    return ["calculated_at"] if "calculated_at" in kpis.columns else []
+
+
 def kpi_dashboard(kpis: DataFrame, period: str = "daily") -> DataFrame:
-    """The latest value of every KPI and scope for one period length."""
+    """The latest value of every KPI and scope for one period length, as last calculated."""
     return (
-        kpis.filter(F.col("time_period") == period)
+        kpi_current(kpis.filter(F.col("time_period") == period))
         .groupBy("metric_name", "geographic_scope")
         .agg(
             F.max_by("metric_value", "period_start").alias("current_value"),
