@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wayside.llm.common import written, written_by
 
-SEED, BUCKET_BYTES = 42, 16 << 20
+SEED, BUCKET_BYTES = 42, 4 << 20
+#: Buckets that a task has on average: hashed numbers of buckets come out even only if there are some.
+BUCKETS_A_TASK = 4
 #: Buckets whose counts are added up together before the sums of such blocks are.
 BLOCK = 1024
 
@@ -26,17 +28,20 @@ def shuffled(
     ``size`` gives a record's bytes; null counts as 0.  Records are scattered by their place in the
     input, not by a key, so equal keys and repeated rows spread evenly; a record larger than a bucket
     makes one bucket larger.  A shuffle of the same partitions with the same seed gives the same
-    order.  Buckets grow beyond ``bucket_bytes`` only if there were more of them than
+    order.  There are at least as many tasks as the session has shuffle partitions, and buckets grow
+    beyond ``bucket_bytes`` only if there were more tasks than
     ``spark.sql.sources.bucketing.maxBuckets`` allows.
     """
     spark = records.sparkSession
     total = records.agg(F.sum(size)).first()[0] or 0
-    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
-    buckets = min(max(1, -(-total // bucket_bytes)), most)
+    tasks = max(-(-total // (bucket_bytes * BUCKETS_A_TASK)),
+                int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = min(tasks, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    buckets = tasks * BUCKETS_A_TASK
     numbered = records.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number"))
     scattered = numbered.withColumn(
         "bucket", F.pmod(F.xxhash64(F.lit(seed), "number"), F.lit(buckets)).cast("int"))
-    scattered = written_by(scattered.repartition(buckets, "bucket"), "scattered", "bucket", buckets,
+    scattered = written_by(scattered.repartition(tasks, "bucket"), "scattered", "bucket", tasks,
                            sort=["bucket", "number"])
     counts = scattered.groupBy("bucket").agg(F.count("*").alias("n"))
     before = written(_running(counts), "bucket-offsets")
@@ -51,7 +56,7 @@ def _running(counts: DataFrame) -> DataFrame:
     """How many records stand in the buckets before each: sums of blocks, then within blocks."""
     blocked = counts.withColumn("block", F.expr(f"bucket div {BLOCK}"))
     sums = blocked.groupBy("block").agg(F.sum("n").alias("held"))
-    # one row for every thousand buckets: at most a hundred rows by the default limit
+    # one row for every thousand buckets: some four hundred by the default limit of tasks
     earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("block", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("start"))
     inside = Window.partitionBy("block").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
