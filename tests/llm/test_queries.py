@@ -25,7 +25,6 @@ def texts():
 @pytest.fixture(scope="module")
 def ids(texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return {d: tokenizer.encode(t, add_special_tokens=False).ids for d, t in texts.items()}
 
 

@@ -19,7 +19,7 @@ import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from wayside.llm.common import slices, written
+from wayside.llm.common import giving_back, slices, written
 from wayside.llm.vocabulary import encoding, space_led, token_bytes
 
 #: Distinct parts of texts that a task remembers, and bytes of text that make up a unit.
@@ -70,7 +70,7 @@ def aligned(
                 unit += 1
                 yield pa.RecordBatch.from_arrays([*old, *columns], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(giving_back(run), schema)
 
 
 def with_link_counts(rows: DataFrame, keep: Sequence[str]) -> DataFrame:

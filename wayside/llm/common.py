@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +84,30 @@ def drop_written(df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library: it gives memory back in its own way
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker outlives its task and serves the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` for ``mapInArrow``, after whose last batch freed memory goes back."""
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges whose texts have about ``limit`` bytes together; at least one row each."""
     size = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
@@ -99,11 +126,13 @@ def map_texts(
     keep: Sequence[str],
     fields: Sequence[T.StructField],
     make: Callable[[], Callable[[list], Sequence[pa.Array]]],
+    limit: int = SLICE_BYTES,
 ) -> DataFrame:
     """The columns ``keep`` and new columns that Python computes from whole texts.
 
     ``make`` runs once per task and gives a function from a list of texts (None for null) to one
-    Arrow array per field.  A kept column of a new column's name gives way to the new one.
+    Arrow array per field; it gets texts of about ``limit`` bytes at a time.  A kept column of a
+    new column's name gives way to the new one.
     """
     new = {f.name for f in fields}
     kept = [c for c in keep if c not in new]
@@ -116,9 +145,9 @@ def map_texts(
         compute = make()
         for batch in batches:
             texts = batch.column(position)
-            for start, stop in slices(texts):
+            for start, stop in slices(texts, limit):
                 part = texts.slice(start, stop - start).to_pylist()
                 old = [batch.column(i).slice(start, stop - start) for i in range(position)]
                 yield pa.RecordBatch.from_arrays([*old, *compute(part)], names=names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(giving_back(run), schema)

@@ -7,14 +7,14 @@ of one integer, finds the rests that fill the window closest to its capacity.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from wayside.llm.common import slices
+from wayside.llm.common import giving_back, slices
 from wayside.llm.vocabulary import PartIds
 
 CAPACITY = 1024
@@ -35,12 +35,14 @@ def pack(
     capacity: int = CAPACITY,
     end_id: int = END_ID,
     block_ids: int = BLOCK_IDS,
+    special_tokens: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """Pieces of the documents' ids, packed into sequences of at most ``capacity`` ids.
 
     Each document is the ids of its whole text (null: none) and ``end_id``.  A row is a piece:
     ``start`` ids of its document come before it, ``offset`` ids of its sequence, without gaps.
-    ``ids`` are little-endian 32-bit integers.  Sequences are full, or as long as a power of two.
+    ``ids`` are little-endian 32-bit integers.  ``special_tokens`` are strings that have an id of
+    their own wherever they stand in a text; without them they are text like any other.  Sequences are full, or as long as a power of two.
     A null doc_id and repeated rows are packed like any other row.  Tasks pack their own rows, in
     blocks of about ``block_ids`` ids; a longer document is a block alone.  An executor's loss
     repeats whole tasks, whose numbering starts from the task's own number.
@@ -50,7 +52,7 @@ def pack(
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = PartIds(ranks, pattern)
+        parts = PartIds(ranks, pattern, special_tokens)
         end = np.array([end_id], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 33
         block: list[tuple[int | None, bytes]] = []
@@ -69,7 +71,7 @@ def pack(
         if block:
             yield _pieces(block, capacity, sequence)[0]
 
-    return source.mapInArrow(run, SCHEMA)
+    return source.mapInArrow(giving_back(run), SCHEMA)
 
 
 def _pieces(block: list, capacity: int, sequence: int) -> tuple[pa.RecordBatch, int]:

@@ -11,13 +11,14 @@ import public_tokenizers
 
 from wayside.llm import (
     alignment, bpe, langid, licenses, packing, periodic, sharding, simhash, spotsigs, suffix_dedup,
-    tokencount, topk, toxicity,
+    tokencount, topk, toxicity, vocabulary,
 )
 from wayside.llm.common import held_out, importable, written
 
 #: Vocabulary of the queries; the operators take any.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 SHARDS = 24
 
@@ -99,7 +100,8 @@ def op7_language_id(spark, sf_dir):
 
 @query
 def op8_packing(spark, sf_dir):
-    packed = packing.pack(_table(spark, sf_dir, "documents"), RANKS, PATTERN)
+    packed = packing.pack(_table(spark, sf_dir, "documents"), RANKS, PATTERN,
+                          special_tokens=vocabulary.added_tokens(TOKENIZER))
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 

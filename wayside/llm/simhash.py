@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from wayside.llm.common import map_texts, written
+from wayside.llm.common import giving_back, map_texts, written
 from wayside.llm.components import components
 
 SHINGLE_WORDS, SEED, BITS = 4, 42, 64
@@ -92,9 +92,9 @@ def links(prints: DataFrame) -> DataFrame:
     prints = written(prints.where("fp is not null").distinct(), "prints")
     classes = class_count(prints.count())
     spread = _Spread(classes)
-    cells = prints.mapInArrow(spread.emit, "cell int, fp long")
+    cells = prints.mapInArrow(giving_back(spread.emit), "cell int, fp long")
     met = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(
-        spread.meet, "a long, b long")
+        giving_back(spread.meet), "a long, b long")
     return met.distinct()
 
 

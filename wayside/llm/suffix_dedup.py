@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from wayside.llm.common import slices, written
+from wayside.llm.common import giving_back, slices, written
 
 #: Bytes of a repeat, bytes of an anchor.
 LENGTH, ANCHOR = 100, 24
@@ -67,9 +67,9 @@ def remove_repeats(
                          F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
     finder = _Finder(length, frequent)
     anchors = source.select("doc", "tie", "text").mapInArrow(
-        finder.anchors, "h long, c long, doc long, at long, reach int")
+        giving_back(finder.anchors), "h long, c long, doc long, at long, reach int")
     met = anchors.repartition(F.coalesce("h", "c")).sortWithinPartitions("h", "c", "doc", "at").mapInArrow(
-        finder.equal_contexts, "h long, doc long, at long, reach int, often boolean")
+        giving_back(finder.equal_contexts), "h long, doc long, at long, reach int, often boolean")
     met = written(met, "contexts")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # both joins below read the same exchange: texts move once
@@ -79,15 +79,15 @@ def remove_repeats(
     wanted = met.where("h is not null").groupBy("doc", own).agg(
         F.collect_list(F.struct("h", "at", "reach", "often")).alias("wanted"))
     contexts = placed.join(wanted, document).select("doc", "tie", "text", "row", "wanted").mapInArrow(
-        finder.contexts, "g long, doc long, at long, reach int, context binary")
+        giving_back(finder.contexts), "g long, doc long, at long, reach int, context binary")
     found = contexts.repartition("g").sortWithinPartitions("g").mapInArrow(
-        finder.index, "doc long, at long, reach int")
+        giving_back(finder.index), "doc long, at long, reach int")
     marks = met.where("h is null").select("doc", "at", "reach").unionByName(found)
     marks = marks.groupBy("doc", own).agg(F.collect_list(F.struct("at", "reach")).alias("marks"))
     joined = placed.join(marks, document, "left").select("row", "tie", "text", "marks")
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     kind = T.StringType() if as_text else T.BinaryType()
-    removed = joined.mapInArrow(lambda batches: _cut_out(batches, as_text), T.StructType([
+    removed = joined.mapInArrow(giving_back(lambda batches: _cut_out(batches, as_text)), T.StructType([
         source.schema["row"], T.StructField("n_bytes", T.LongType()),
         T.StructField("kept", kind), T.StructField("spans", T.ArrayType(span))]))
     return removed.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], "n_bytes", "kept", "spans")

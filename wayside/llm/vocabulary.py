@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 from array import array
+from collections.abc import Mapping
 from functools import lru_cache
 
 import tiktoken
 
 #: Texts longer than this are not remembered; so many are remembered by a task at most.
-LONGEST_KEPT, MOST_KEPT = 48, 500_000
+LONGEST_KEPT, MOST_KEPT = 48, 200_000
 
 _space_after_space = re.compile(r"\s ")
 _safe_space = re.compile(r"(?<=\S) ")
@@ -39,12 +41,22 @@ def space_led(text: str) -> list[str]:
     return text.split(" ")
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer's JSON file, with their ids."""
+    with open(path, encoding="utf-8") as file:
+        return {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+
+
 class PartIds(dict):
-    """Ids, as little-endian 32-bit integers, of a part that a space leads; remembered."""
+    """Ids, as little-endian 32-bit integers, of a part that a space leads; remembered.  Special
+    tokens cut a text before its parts are made."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, special_tokens: Mapping[str, int] | None = None):
         super().__init__()
         self.encode = encoding(path, pattern).encode_ordinary
+        self.special = {t: array("I", [i]).tobytes() for t, i in (special_tokens or {}).items()}
+        longest_first = sorted(self.special, key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if self.special else None
 
     def __missing__(self, part: str) -> bytes:
         ids = array("I", self.encode(" " + part)).tobytes()
@@ -56,6 +68,12 @@ class PartIds(dict):
         """The ids of a whole text; none for null."""
         if not text:
             return b""
+        if self.cut and self.cut.search(text):
+            return b"".join(self.special[t] if t in self.special else self._of_plain(t)
+                            for t in self.cut.split(text) if t)
+        return self._of_plain(text)
+
+    def _of_plain(self, text: str) -> bytes:
         if len(self) > MOST_KEPT:
             self.clear()
         first, *rest = space_led(text)
