@@ -23,7 +23,7 @@ from wayside.llm.common import giving_back, slices, written
 from wayside.llm.vocabulary import encoding, space_led, token_bytes
 
 #: Distinct parts of texts that a task remembers, and bytes of text that make up a unit.
-MOST_PARTS, UNIT_BYTES = 150_000, 4 << 20
+MOST_PARTS, UNIT_BYTES = 60_000, 1 << 20
 #: A link's key is the A id times this number plus the B id.
 KEY = 1 << 24
 #: Pairs of a group beyond which its ids are made distinct before they are paired.
