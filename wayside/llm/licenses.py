@@ -3,8 +3,13 @@ their word bigrams.  DataFrame functions only."""
 
 from __future__ import annotations
 
+import math
+
+import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
+from wayside.llm.common import written
+
 #: Likeness from which a passage counts as the template.
 LEAST = 0.8
 
@@ -30,9 +35,79 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0"
      " International License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without"
+    # the sentence alone does not say which of the two it is
+    ("BSD", "Redistribution and use in source and binary forms, with or without"
      " modification, are permitted provided that the following conditions are met"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without"
+     " modification, are permitted provided that the following conditions are met: 1. Redistributions"
+     " of source code must retain the above copyright notice, this list of conditions and the"
+     " following disclaimer. 2. Redistributions in binary form must reproduce the above copyright"
+     " notice, this list of conditions and the following disclaimer in the documentation and/or other"
+     " materials provided with the distribution."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without"
+     " modification, are permitted provided that the following conditions are met: 1. Redistributions"
+     " of source code must retain the above copyright notice, this list of conditions and the"
+     " following disclaimer. 2. Redistributions in binary form must reproduce the above copyright"
+     " notice, this list of conditions and the following disclaimer in the documentation and/or other"
+     " materials provided with the distribution. 3. Neither the name of the copyright holder nor the"
+     " names of its contributors may be used to endorse or promote products derived from this"
+     " software without specific prior written permission."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or"
+     " without fee is hereby granted, provided that the above copyright notice and this permission"
+     " notice appear in all copies."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."
+     " If a copy of the MPL was not distributed with this file, You can obtain one at"
+     " http://mozilla.org/MPL/2.0/."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the"
+     " terms of the GNU Lesser General Public License as published by the Free Software Foundation,"
+     " either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the"
+     " terms of the GNU Affero General Public License as published by the Free Software Foundation,"
+     " either version 3 of the License, or (at your option) any later version."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or"
+     " neighboring rights to this work."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International"
+     " License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0"
+     " International License."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is"
+     " free to copy, modify, publish, use, compile, sell, or distribute this software, either in"
+     " source code form or as a compiled binary, for any purpose, commercial or non-commercial, and"
+     " by any means."),
 )
+#: Words of a template that are looked for first: at least so many, and as many as cover its bigrams.
+TELLING_WORDS = 8
+
+
+def telling_words(text: str, least: float) -> tuple[dict[str, int], int]:
+    """Words of a template, longest first, with the number of its bigrams that each covers, and how
+    many bigrams a passage of likeness ``least`` can lack.
+
+    A passage with n bigrams, c of them shared with a template of t, has c <= n and
+    2 c >= least (n + t), so c >= least t / (2 - least).  A text without a word has none of the
+    bigrams that hold it."""
+    words = regex.sub(r"[^\p{L}\p{N}]+", " ", text.lower()).split()
+    open_pairs = list(zip(words, words[1:]))
+    missing = len(open_pairs) - math.ceil(len(open_pairs) * least / (2 - least) - 1e-9)
+    covers: dict[str, int] = {}
+    for word in sorted(set(words), key=lambda w: (-len(w), w)):
+        if len(covers) >= TELLING_WORDS and sum(covers.values()) > 1.5 * missing:
+            break
+        if held := sum(word in pair for pair in open_pairs):
+            covers[word] = held
+            open_pairs = [pair for pair in open_pairs if word not in pair]
+    return covers, missing
+
+
+def _may_hold(lower: str, templates, least: float) -> Column:
+    """False for a text that lacks too many words of every template to hold a passage like it."""
+    found = F.lit(False)
+    for _, text in templates:
+        covers, missing = telling_words(text, least)
+        lacking = sum((F.when(F.contains(lower, F.lit(w)), 0).otherwise(n) for w, n in covers.items()),
+                      F.lit(0))
+        found = found | (lacking <= missing)
+    return found
 
 
 def _words(text: Column) -> Column:
@@ -77,7 +152,10 @@ def scan_licenses(
     lines, or stands in a line with other words.  Two sizes s and t allow a coefficient of
     2 min(s, t) / (s + t) at most, so lines whose size no template allows are dropped before their
     bigrams are made, and templates are compared only within their bounds; runs begin and end with a
-    bigram of the template.  Of runs that overlap the one that shares most counts.
+    bigram of the template.
+    A passage counts for the licence it is most like (ties: the first by name), and of runs that
+    overlap, whatever their licences, the one that shares most.  Texts that lack too many words of
+    every template to hold any such passage are told first, by substring search.
     Bigrams count as often as they occur.  Null and empty texts and passages of one word find
     nothing; rows that repeat a doc_id are scanned as one document; a null doc_id is one.
     The templates are parameters of the call: their table is broadcast.
@@ -88,7 +166,10 @@ def scan_licenses(
     allowed = F.lit(False)
     for size in sizes:
         allowed = allowed | F.col("n").between(size * ratio - 1e-9, size / ratio + 1e-9)
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
+    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where("text is not null")
+    # the generator keeps the lower-cased text from being made anew for every word
+    lowered = source.select("doc_id", "text", F.explode(F.array(F.lower("text"))).alias("lower"))
+    source = written(lowered.where(_may_hold("lower", templates, least)).select("doc_id", "text"), "licence-texts")
     lines = F.split("text", "\n", -1)
     whole = F.when(F.size(lines) > 1, F.array(F.col("text"))).otherwise(F.array().cast("array<string>"))
     passages = source.select("doc_id", F.xxhash64("text").alias("h"),
@@ -108,16 +189,28 @@ def scan_licenses(
         .agg(F.sum(F.least("found", "times")).alias("common"))
     )
     scored = shared.withColumn("dice", 2 * F.col("common") / (F.col("n") + F.col("size")))
-    taken = scored.where(F.col("dice") >= least - 1e-12).groupBy("doc_id", "h", "place", "license").agg(
-        F.max("dice").alias("dice"))
-    counted = taken.select("doc_id", "license", "dice", F.lit(1).cast("long").alias("passages"))
+    best = F.min_by(F.struct("license", "template", "dice", "common"),
+                    F.struct(-F.col("dice"), F.col("license"), -F.col("size")))
+    taken = scored.where(F.col("dice") >= least - 1e-12).groupBy("doc_id", "h", "place").agg(
+        best.alias("best")).select("doc_id", "h", "place", "best.*")
+    # lines count from 0 in what follows; the whole text, if it has several, is line -1
+    several = source.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_h"),
+                            F.contains("text", F.lit("\n")).cast("int").alias("several")).distinct()
+    taken = taken.join(several, taken["doc_id"].eqNullSafe(F.col("_d")) & (taken["h"] == F.col("_h"))).select(
+        "_d", "_h", (F.col("place") - F.col("several")).alias("_line"), "license", F.col("template").alias("_t"),
+        "dice", "common")
+    taken = written(taken, "licence-lines")
+    whole = taken.where("_line < 0").select(
+        F.col("_d").alias("doc_id"), "license", "dice", F.lit(1).cast("long").alias("passages"))
     runs = _runs(source, table, taken, least)
-    return counted.unionByName(runs).groupBy("doc_id", "license").agg(
+    return whole.unionByName(runs).groupBy("doc_id", "license").agg(
         F.round(F.max("dice"), 9).alias("dice"), F.sum("passages").alias("passages"))
 
 
 def _runs(source: DataFrame, table: DataFrame, taken: DataFrame, least: float) -> DataFrame:
-    """``doc_id``, ``license``, ``dice`` and ``passages`` of the runs of words in each text.
+    """``doc_id``, ``license``, ``dice`` and ``passages`` of the lines that are ``taken`` and of the
+    runs of words in each text.  Of those that overlap the one that shares most counts, a line before
+    a run; a text that counts as a whole has no runs.
 
     A bigram at a place adds to what a run from ``start`` shares with a template if, ``times``
     occurrences before it, the same bigram lies before ``start``; so the shared bigrams of every run
@@ -135,14 +228,17 @@ def _runs(source: DataFrame, table: DataFrame, taken: DataFrame, least: float) -
     spread = words.where(F.size("words") > 1).select("doc_id", "h", F.posexplode(bigrams).alias("at", "b"))
     met = spread.select("doc_id", "h", "at", F.col("b.line").alias("line"), F.col("b.bigram").alias("bigram"))
     met = met.join(F.broadcast(table), "bigram").dropDuplicates(["doc_id", "h", "at", "template"])
-    # lines count from 1 here as in `place`, where a text of several lines is itself 0
-    several = F.col("several").cast("int")
-    sized = source.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_h"),
-                          F.contains("text", F.lit("\n")).alias("several")).distinct()
-    lines_taken = taken.join(sized, taken["doc_id"].eqNullSafe(F.col("_d")) & (taken["h"] == F.col("_h"))).select(
-        "_d", "_h", F.col("license").alias("_l"), (F.col("place") - several).alias("_line"))
-    same = met["doc_id"].eqNullSafe(F.col("_d")) & (met["h"] == F.col("_h")) & (met["license"] == F.col("_l"))
-    met = met.join(lines_taken, same & ((F.col("_line") < 0) | (met["line"] == F.col("_line"))), "left_anti")
+    met = written(met, "licence-bigrams")
+    same = met["doc_id"].eqNullSafe(F.col("_d")) & (met["h"] == F.col("_h"))
+    on_line = taken.where("_line >= 0").join(
+        met.select("doc_id", "h", "line", "template", "at"),
+        same & (met["line"] == F.col("_line")) & (met["template"] == F.col("_t")))
+    on_line = on_line.groupBy("doc_id", "h", "line", "license", "dice", "common").agg(
+        F.min("at").alias("first"), F.max("at").alias("last"))
+    on_line = on_line.select("doc_id", "h", F.struct(
+        "first", "last", "dice", (F.col("common") * 2.0).alias("shared"), F.lit(True).alias("line"),
+        "license", F.col("dice").alias("most")).alias("run"))
+    met = met.join(taken.where("_line < 0"), same, "left_anti")
     key = ["doc_id", "h", "template", "license", "size"]
     alike = met.groupBy(*key, "times", "bigram").agg(F.sort_array(F.collect_list("at")).alias("ats"))
     each = alike.select(*key, F.explode(F.transform(
@@ -177,20 +273,23 @@ def _runs(source: DataFrame, table: DataFrame, taken: DataFrame, least: float) -
 
     runs = found.where(F.size("xs") >= need).select(
         "doc_id", "h", "license", F.explode(F.transform("xs", best)).alias("run"))
-    runs = runs.where(F.col("run.dice") >= least - 1e-12).groupBy("doc_id", "h", "license").agg(
-        F.sort_array(F.collect_list("run")).alias("runs"))
-    none = F.struct(F.lit(0).cast("long").alias("passages"), F.lit(-1).alias("last"),
-                    F.lit(0.0).alias("dice"), F.lit(0.0).alias("shared"), F.lit(0.0).alias("most"))
-
-    def count(s, r):
-        apart = r["first"] > s["last"]
-        better = apart | (r["shared"] > s["shared"]) | (
-            (r["shared"] == s["shared"]) & (r["dice"] > s["dice"]))
-        return F.struct((s["passages"] + apart.cast("long")).alias("passages"),
-                        F.when(better, r["last"]).otherwise(s["last"]).alias("last"),
-                        F.when(better, r["dice"]).otherwise(s["dice"]).alias("dice"),
-                        F.when(better, r["shared"]).otherwise(s["shared"]).alias("shared"),
-                        F.greatest(s["most"], r["dice"]).alias("most"))
-
-    total = runs.select("doc_id", "license", F.aggregate("runs", none, count).alias("t"))
-    return total.select("doc_id", "license", F.col("t.most").alias("dice"), F.col("t.passages").alias("passages"))
+    runs = runs.where(F.col("run.dice") >= least - 1e-12).select("doc_id", "h", F.struct(
+        "run.*", F.lit(False).alias("line"), "license", F.col("run.dice").alias("most")).alias("run"))
+    runs = runs.unionByName(on_line).groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("run")).alias("runs"))
+
+    def choose(kept, r):
+        last = F.get(kept, F.size(kept) - 1)
+        apart = (F.size(kept) == 0) | (r["first"] > last["last"])
+        rank = lambda x: F.struct(x["shared"], x["line"], x["dice"])
+        better = (rank(r) > rank(last)) | ((rank(r) == rank(last)) & (r["license"] < last["license"]))
+        # the best dice of overlapping runs of one licence, whichever of them counts
+        winner = F.when(better, r).otherwise(last)
+        alike = (r["license"] == last["license"]) & ~winner["line"]
+        most = F.when(alike, F.greatest(r["most"], last["most"]))
+        winner = winner.withField("most", F.coalesce(most, winner["most"]))
+        return F.when(apart, F.concat(kept, F.array(r))).otherwise(
+            F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(winner)))
+
+    chosen = F.aggregate("runs", F.slice("runs", 1, 0), choose)
+    return runs.select("doc_id", F.explode(chosen).alias("run")).groupBy("doc_id", "run.license").agg(
+        F.max("run.most").alias("dice"), F.count("*").alias("passages"))

@@ -194,8 +194,8 @@ shared as (
  from counted d join counted t on d.bigram = t.bigram and d.h is not null and t.h is null
  group by all),
 best as (
- select doc_id, h, place, license, max(dice) as dice from shared where dice >= {least} - 1e-12
- group by all)
+ select doc_id, h, place, license, dice from shared where dice >= {least} - 1e-12
+ qualify row_number() over (partition by doc_id, h, place order by dice desc, license) = 1)
 select doc_id, license, round(cast(max(dice) as double), 9) as dice, count(*) as passages
 from best group by doc_id, license
 """.format(
