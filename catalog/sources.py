@@ -275,13 +275,37 @@ def _stream(spark, sf):
 select date_trunc('hour', Start_Time) as window_start, count(*) as accident_count,
  {r('avg(Severity)')} as avg_severity from incidents group by 1"""))
 def _stream_hourly(spark, sf):
-    """Update mode with a watermark that closes hours; the events come in the order of days."""
+    """Update mode with a watermark that closes hours, into a current table by day; the events come
+    in the order of days."""
     path = scratch_path(spark, "hourly")
     run = I.stream_upsert(
         I.stream_hourly_patterns(_incident_stream(spark, sf), "9 days"),
-        scratch_path(spark, "hourly-state"), I.keyed_replacement(path))
+        scratch_path(spark, "hourly-state"),
+        I.ranged_upsert(path, ["window_start"], F.to_date("window_start")))
     run.awaitTermination()
-    return tidy(_wall_clock(I.latest_by_key(spark, path, ["window_start"])))
+    return tidy(_wall_clock(I.current_rows(spark, path)))
+
+
+@query("stream_gold_upsert", """
+select user_id, count(*) as events, cast(sum(cast(round(value * 100) as bigint)) as bigint) as cents,
+ max(ts) as last_seen from events group by user_id""")
+def _upsert(spark, sf):
+    """A current row per user, kept through four batches in which users come again and again."""
+    events = table(spark, sf, "events")
+    path, current = scratch_path(spark, "arriving"), scratch_path(spark, "current")
+    for part in range(8):
+        day = F.dayofmonth("ts")
+        events.filter((day > 4 * part) & (day <= 4 * part + 4)).coalesce(1).write.mode(
+            "append").parquet(path)
+    stream = I.stream_source(spark, path, events.schema, files_per_batch=2)
+    users = stream.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("events"),
+        F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents"),
+        F.max("ts").alias("last_seen"))
+    run = I.stream_upsert(users, scratch_path(spark, "current-state"),
+                          I.ranged_upsert(current, ["user_id"], ranges=8))
+    run.awaitTermination()
+    return I.current_rows(spark, current)
 
 
 @query("stream_dedup", with_incidents("select distinct ID from incidents"))

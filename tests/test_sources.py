@@ -171,3 +171,76 @@ def test_closed_hours_ignore_late_rows_and_ids_are_kept_once(spark, tmp_path):
      .trigger(availableNow=True).start(str(tmp_path / "d")).awaitTermination())
     assert sorted(r.ID for r in spark.read.parquet(str(tmp_path / "d")).collect()) == [
         "a", "b", "late", "y", "z"]
+
+
+def test_csv_files_are_split_where_no_text_holds_a_break(spark, tmp_path, setting):
+    """One file with breaks inside quotes, one without: the same rows either way, in more tasks."""
+    setting("spark.sql.files.maxPartitionBytes", "20000")
+    setting("spark.sql.files.openCostInBytes", "0")
+    header = "ID,Severity,State,Description"
+    plain = [f'A-{i},{i % 5},OH,"said ""{i}"", and more"' for i in range(3_000)]
+    broken = [f'B-{i},{i % 5},CA,"line {i}\nand ""another"" one\n"' for i in range(3_000)]
+    (tmp_path / "in").mkdir()
+    for name, lines in (("plain", plain), ("broken", broken)):
+        (tmp_path / "in" / f"{name}.csv").write_text("\n".join([header, *lines]) + "\n")
+    where = str(tmp_path / "in")
+    odd, even = V.files_by_breaks(spark, where)
+    assert [f.rsplit("/", 1)[1] for f in odd + even] == ["broken.csv", "plain.csv"]
+    schema = T.StructType([T.StructField("ID", T.StringType()), T.StructField("Severity", T.IntegerType()),
+                           T.StructField("Description", T.StringType())])
+    chosen = V.csv_scan_strict(spark, where, schema)
+    whole = V.csv_scan_strict(spark, where, schema, multiline=True)
+    assert chosen.count() == 6_000
+    assert chosen.exceptAll(whole).isEmpty() and whole.exceptAll(chosen).isEmpty()
+    tasks = lambda df, first: df.where(F.col("ID").startswith(first)).select(
+        F.spark_partition_id()).distinct().count()
+    assert tasks(whole, "A") == 1 and tasks(chosen, "A") > 3 and tasks(chosen, "B") == 1
+
+
+def test_csv_of_two_headers_in_both_groups_is_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("ID,State\nA-1,TX\n")
+    (tmp_path / "b.csv").write_text('State,ID\n"T\nX",A-2\n')
+    with pytest.raises(ValueError, match="header"):
+        V.csv_scan_strict(spark, str(tmp_path))
+
+
+def test_ranged_upsert(spark, tmp_path):
+    path = str(tmp_path / "current")
+    replace = I.ranged_upsert(path, ["k"], F.expr("k div 10"))
+    frame = lambda rows: spark.createDataFrame(rows, "k int, v string")
+    state = lambda: {r.k: r.v for r in I.current_rows(spark, path).collect()}
+    files = lambda part: {f.name for f in (tmp_path / "current" / f"key_range={part}").glob("*.parquet")}
+    replace(frame([(1, "a"), (2, "b"), (11, "c"), (25, None)]), 0)
+    replace(frame([(2, "B"), (12, "d")]), 1)
+    assert state() == {1: "a", 2: "B", 11: "c", 12: "d", 25: None}
+    untouched, before = files(2), files(0)
+    replace(frame([(2, "B"), (12, "d")]), 1)  # the batch comes again
+    assert state() == {1: "a", 2: "B", 11: "c", 12: "d", 25: None}
+    replace(frame([(1, "z")]), 2)
+    assert state()[1] == "z" and files(2) == untouched and files(0) != before
+    replace(frame([(1, "old"), (13, "e")]), 1)  # an earlier number does not undo a later one
+    assert state() == {1: "z", 2: "B", 11: "c", 12: "d", 13: "e", 25: None}
+    replace(frame([]), 3)
+    assert len(state()) == 6
+    # only the touched range is read: one of three folders
+    read = spark.read.parquet(path).where("key_range = 0")._jdf.queryExecution().executedPlan().toString()
+    assert "key_range" in read.split("PartitionFilters:")[1].split("]")[0]
+
+
+def test_ranged_upsert_goes_on_after_a_break(spark, tmp_path, monkeypatch):
+    """The replacement is lost half way: the repeated batch puts the merged rows in place."""
+    path = str(tmp_path / "current")
+    replace = I.ranged_upsert(path, ["k"], ranges=2)
+    frame = lambda rows: spark.createDataFrame(rows, "k int, v string")
+    replace(frame([(k, "old") for k in range(20)]), 0)
+    monkeypatch.setattr(I, "_delete", lambda spark, path: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        replace(frame([(3, "new")]), 1)
+    monkeypatch.undo()
+    import shutil
+
+    touched = spark.read.parquet(path).where("k = 3").first().key_range
+    shutil.rmtree(tmp_path / "current" / f"key_range={touched}")  # as if not yet renamed
+    replace(frame([(3, "new")]), 1)
+    kept = {r.k: r.v for r in I.current_rows(spark, path).collect()}
+    assert kept == {k: "new" if k == 3 else "old" for k in range(20)}

@@ -105,7 +105,7 @@ def ingest_to_bronze(
     bronze_path: str,
     schema: T.StructType = model.INCIDENT_SCHEMA,
     thresholds: QualityThresholds = QualityThresholds(),
-    multiline: bool = True,
+    multiline: bool | None = None,
 ) -> Ingestion:
     """Read strictly, check schema and quality, drop corrupt rows when the score is below the
     threshold, write partitioned bronze.  The typed rows are written once in between, because

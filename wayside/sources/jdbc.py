@@ -42,15 +42,47 @@ def jdbc_query_source(
     url: str,
     query: str,
     params: Mapping[str, object] | None = None,
+    split_on: str | None = None,
+    splits: int = 1,
     **options,
 ) -> DataFrame:
-    return (
-        spark.read.format("jdbc")
-        .option("url", url)
-        .option("query", bind_parameters(query, params, url.startswith(_BACKSLASH_URLS)))
-        .options(**options)
-        .load()
+    """The rows of a query.  With ``split_on``, a column of the query, they are read by several
+    tasks: the database cuts the column's values into ``splits`` parts of about as many rows
+    (``split_points``), and every part is a query of its own (``key_predicates``)."""
+    bound = bind_parameters(query, params, url.startswith(_BACKSLASH_URLS))
+    if split_on is None or splits < 2:
+        return spark.read.format("jdbc").option("url", url).option("query", bound).options(
+            **options).load()
+    points = split_points(spark, url, bound, split_on, splits, **options)
+    return spark.read.jdbc(
+        url, f"({bound}) q", predicates=key_predicates(split_on, points, url),
+        properties={k: str(v) for k, v in options.items()})
+
+
+def split_points(
+    spark: SparkSession, url: str, query: str, column: str, splits: int, **options
+) -> list[object]:
+    """The least value of every part but the first, ascending and distinct: at most ``splits`` - 1
+    values, found by one query that the database runs."""
+    tiles = (
+        f"SELECT part, MIN({column}) AS low FROM (SELECT {column}, NTILE({int(splits)}) OVER"
+        f" (ORDER BY {column}) AS part FROM ({query}) q WHERE {column} IS NOT NULL) t GROUP BY part"
     )
+    rows = jdbc_query_source(spark, url, tiles, **options).collect()
+    lows = sorted({row["low"] for row in rows if row["low"] is not None})
+    return lows[1:]
+
+
+def key_predicates(column: str, points: Sequence[object], url: str = "") -> list[str]:
+    """Conditions of which every value fulfils exactly one, nulls too: below the first point, from
+    each point to the next, from the last point on."""
+    shown = [
+        bind_parameters(":v", {"v": v}, url.startswith(_BACKSLASH_URLS)) for v in points
+    ]
+    if not shown:
+        return ["1 = 1"]
+    between = [f"{column} >= {a} AND {column} < {b}" for a, b in zip(shown, shown[1:])]
+    return [f"{column} < {shown[0]} OR {column} IS NULL", *between, f"{column} >= {shown[-1]}"]
 
 
 def jdbc_table_source(
