@@ -10,7 +10,7 @@ from catalog.base import incidents, query, r, table, tidy, with_incidents
 from wayside import model
 from wayside.operators import joins as J, layout as L, quality as Q, serving as G, silver
 from wayside.sinks import tables as S
-from wayside.sources.scratch import scratch_path
+from wayside.sources.scratch import materialise, scratch_path
 
 # ------------------------------------------------------------------- joins
 
@@ -315,17 +315,26 @@ def _balanced(spark, sf):
 
 
 @query("estimate_size", """
-select count(*) as total_rows, true as sample_is_a_share, true as estimate_is_near
-from lineitem""")
+select 'rows' as basis, count(*) as sampled_rows, count(*) as total_rows,
+ round(avg(strlen('{"key":' || c_custkey || ',"name":"' || c_name || '","segment":"'
+  || c_mktsegment || '"}')), 6) as mean_row_bytes,
+ round(sum(strlen('{"key":' || c_custkey || ',"name":"' || c_name || '","segment":"'
+  || c_mktsegment || '"}')) / 1048576.0e0, 6) as estimated_mb
+from customer""")
 def _size(spark, sf):
-    """The estimate against the whole table's JSON."""
-    lines = table(spark, sf, "lineitem")
-    whole = lines.agg(F.sum(F.octet_length(F.to_json(F.struct("*")))).alias("bytes"))
-    seen = L.estimate_size(lines, fraction=0.1)
-    share, mb = F.col("sampled_rows") / F.col("total_rows"), F.col("bytes") / J.MEGABYTE
-    return seen.crossJoin(F.broadcast(whole)).select(
-        "total_rows", share.between(0.05, 0.2).alias("sample_is_a_share"),
-        (F.abs(F.col("estimated_mb") / mb - 1) < 0.05).alias("estimate_is_near"))
+    """A derived frame, all of whose rows are measured; sizes by files are in tests/test_layout.py."""
+    derived = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("key"), F.col("c_name").alias("name"),
+        F.col("c_mktsegment").alias("segment")).distinct()
+    return tidy(L.estimate_size(derived, fraction=1.0))
+
+
+@query("estimate_size_files", """
+select 'files' as basis, count(*) as sampled_rows, count(*) as total_rows from lineitem
+where l_returnflag = 'R'""")
+def _file_size(spark, sf):
+    kept = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select("l_orderkey")
+    return L.estimate_size(kept).select("basis", "sampled_rows", "total_rows")
 
 
 @query("cache_by_size", """
@@ -336,8 +345,10 @@ def _cache(spark, sf):
     cached = L.cache_by_size(table(spark, sf, "events").select(
         F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("State"),
         F.col("value").alias("distance_miles")), limit_mb=1000)
-    return cached.groupBy("State").agg(F.count(F.lit(1)).alias("rows"),
-                                       F.max("distance_miles").alias("farthest"))
+    found = materialise(cached.groupBy("State").agg(
+        F.count(F.lit(1)).alias("rows"), F.max("distance_miles").alias("farthest")))
+    cached.unpersist()
+    return found
 
 
 @query("top_regions_customers", """

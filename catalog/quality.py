@@ -7,10 +7,12 @@ from pyspark.sql import functions as F, types as T
 from catalog.base import FLAGS, STATES, incidents, query, r, table, tidy, with_incidents
 from catalog.cleaning import SCORE_SQL, SOUND, delivered
 from wayside.model import DELIVERED_COLUMNS, QualityThresholds
-from wayside.operators import layout, quality as Q, schema_checks as S
+from wayside.operators import daily as D, layout, quality as Q, schema_checks as S
 from wayside.operators.features import create_features
+from wayside.operators.records import one_line
 from wayside.plans import flows
 from wayside.plans.incidents import INCIDENT_RULES
+from wayside.sources.scratch import scratch_path
 
 COLUMNS = list(INCIDENT_RULES)
 
@@ -49,6 +51,41 @@ def _null_overview(spark, sf):
     return Q.null_overview(incidents(spark, sf))
 
 
+def _kept_days(spark, sf):
+    """Summaries of the incidents, a day at a time in two deliveries; one day comes twice."""
+    path, source = scratch_path(spark, "days"), incidents(spark, sf)
+    day = F.dayofmonth("Start_Time")
+    for part in (day <= 20, day > 19):
+        D.keep_days(D.daily_summary(source.where(part)), path)
+    return D.kept_days(spark, path)
+
+
+@query("null_profile_by_day", with_incidents(_NULLS))
+def _nulls_by_day(spark, sf):
+    return D.merged_null_profile(_kept_days(spark, sf), COLUMNS)
+
+
+@query("distribution_by_day", with_incidents("""
+select 'date' as level, cast(cast(Start_Time as date) as varchar) as key, count(*) as rows
+from incidents group by 2
+union all select 'state', State, count(*) from incidents group by 2
+union all select 'all', 'all', count(*) from incidents"""))
+def _distribution_by_day(spark, sf):
+    return D.merged_distribution(_kept_days(spark, sf))
+
+
+@query("duplicates_by_day", with_incidents("""
+select count(*) as total_rows, true as rows_within_error, true as ids_within_error from incidents"""))
+def _duplicates_by_day(spark, sf):
+    """The sketches' figures against the exact ones of the same rows."""
+    exact = Q.duplicate_analysis(incidents(spark, sf)).select(
+        F.col("distinct_rows").alias("d"), F.col("id_duplicates").alias("i"))
+    seen = D.merged_duplicates(_kept_days(spark, sf))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.col("error_rows")
+    return one_line(seen, exact).select("total_rows", near("distinct_rows", "d").alias("rows_within_error"),
+                                        near("id_duplicates", "i").alias("ids_within_error"))
+
+
 # --------------------------------------------------------------- geography
 
 @query("geo_validation", with_incidents(f"""

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from catalog.base import FLAGS, featured, incidents, query, r, table, tidy, with_features, \
     with_incidents
-from wayside.operators import joins as J, serving as G
+from wayside.operators import joins as J, serving as G, severity_model as M
+from wayside.sinks.retention import archived_rows, move_old_rows
+from wayside.sources.scratch import scratch_path
 
 CELL = 5.0
 
@@ -378,6 +380,24 @@ def _retention(spark, sf):
         F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").alias("quantity")), 2)
 
 
+@query("retention_move", """
+select case when l_shipdate < date '1996-06-10' then 'archived' else 'kept' end as part,
+ l_returnflag, count(*) as lines, round(sum(l_quantity), 2) as quantity
+from lineitem group by all""")
+def _retention_move(spark, sf):
+    """Lines by the month they were shipped in; one month is split by the date."""
+    path, archive = scratch_path(spark, "lines"), scratch_path(spark, "archive")
+    month = F.to_date(F.date_trunc("month", "l_shipdate"))
+    (table(spark, sf, "lineitem").withColumn("shipped", month).repartition("shipped")
+     .write.partitionBy("shipped").parquet(path))
+    for _ in range(2):  # the second run finds nothing to move
+        move_old_rows(spark, path, archive, "l_shipdate", dt.date(1996, 6, 10), "shipped", "month")
+    both = spark.read.parquet(path).withColumn("part", F.lit("kept")).unionByName(
+        archived_rows(spark, archive).withColumn("part", F.lit("archived")))
+    return tidy(both.groupBy("part", "l_returnflag").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").alias("quantity")), 2)
+
+
 @query("month_bucket_key", """
 select cast(year(o_orderdate) * 100 + month(o_orderdate) as int) as bucket, count(*) as orders
 from orders group by 1""")
@@ -387,18 +407,50 @@ def _bucket(spark, sf):
     ).agg(F.count(F.lit(1)).alias("orders"))
 
 
-@query("severity_model", with_features("""
-select ID, Severity as actual_severity, 'RandomForestClassificationModel' as model_type,
- '1' as model_version, true as is_severity, true as is_probability, true as importance_is_whole
+_FLAG_ORDER = "case " + " ".join(f"when {f} then '{f}'" for f in sorted(FLAGS)) + " end"
+_HELD = "coalesce(cast('0x' || substr(md5(ID), 1, 8) as bigint) % 5 = 0, true)"
+
+
+@query("severity_model", with_features(f"""
+select ID, Severity as actual_severity, coalesce(Severity between 1 and 4, false) as is_validated,
+ {r('Start_Lat')} as input_latitude, {r('Start_Lng')} as input_longitude,
+ Weather_Condition as input_weather_condition, temperature_fahrenheit as input_temperature,
+ accident_hour as input_hour, {_FLAG_ORDER} as input_infrastructure_type,
+ 'RandomForestClassificationModel' as model_type, '1' as model_version
 from featured"""))
 def _model(spark, sf):
-    from wayside.operators.severity_model import train_severity_model
-
+    """The prediction table but for what the forest itself says, which tests recompute."""
     source = featured(spark, sf)
-    model = train_severity_model(source)
-    whole = abs(sum(model.importance().values()) - 1) < 1e-6
-    return model.score(source).select(
-        "ID", "actual_severity", "model_type", "model_version",
-        F.col("predicted_severity").between(1, 4).alias("is_severity"),
-        F.col("confidence_score").between(0.25, 1).alias("is_probability"),
-        F.lit(whole).alias("importance_is_whole"))
+    return tidy(M.train_severity_model(source).score(source).select(
+        "ID", "actual_severity", "is_validated", "input_latitude", "input_longitude",
+        "input_weather_condition", "input_temperature", "input_hour", "input_infrastructure_type",
+        "model_type", "model_version"))
+
+
+@query("severity_evaluation", with_features(f"""
+select severity, rows, case when severity = (select severity from held group by severity
+  order by count(*) desc, severity limit 1) then 1.0e0 else 0.0e0 end as majority_recall
+from (select severity, count(*) as rows from held group by severity)""",
+    f"held as (select Severity as severity from featured where {_HELD} and Severity between 1 and 4)"))
+def _evaluation(spark, sf):
+    """Held-out rows by class, and what a constant answer would reach; recall, precision and
+    calibration of the forest are recomputed in tests/test_severity_model.py."""
+    classes = M.per_class(M.evaluated(featured(spark, sf)))
+    return classes.where("rows > 0").select("severity", "rows", "majority_recall")
+
+
+@query("severity_calibration")
+def _calibration(spark, sf):
+    return tidy(M.calibration(M.evaluated(featured(spark, sf))))
+
+
+@query("hotspot_tiles", with_incidents(f"""
+select zoom, cast(floor(latitude * pow(2, zoom) / 360) as bigint) as cell_lat,
+ cast(floor(longitude * pow(2, zoom) / 360) as bigint) as cell_lng, count(*) as hotspots,
+ cast(sum(accident_count) as bigint) as accident_count, {r('avg(risk_score)')} as avg_risk,
+ max(risk_score) as max_risk
+from hotspots, (select unnest(range(1, 19))::int as zoom) group by all""", HOTSPOTS))
+def _tiles(spark, sf):
+    path = scratch_path(spark, "tiles")
+    G.write_tiles(G.hotspot_tiles(_hotspots(spark, sf)), path)
+    return tidy(spark.read.parquet(path).drop("tile", "colour"))

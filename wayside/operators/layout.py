@@ -176,32 +176,52 @@ def with_place(ordered: DataFrame, place: str = "place") -> DataFrame:
         "_at", "_part", "_before")
 
 
-def estimate_size(
-    df: DataFrame, fraction: float = 0.01, floor_rows: int = 100
-) -> DataFrame:
-    """One row: sampled rows, mean JSON bytes of a row, rows, estimated MB.
-
-    Rows are sampled by the hash of their values, so the result does not depend on how the table
-    is stored; other rows are counted but not turned into JSON.  A table whose sample has fewer
-    than ``floor_rows`` rows is small, and measured whole."""
+def estimate_size(df: DataFrame, fraction: float = 0.01) -> DataFrame:
+    """One row: ``basis``, sampled rows, mean bytes of a row, rows, estimated MB.
+
+    For rows of files that only a filter or a choice of columns stands between (``basis`` "files")
+    the bytes are those of the files, each by the share of its rows that is kept: partition filters
+    prune whole files, and Parquet counts its rows from the footers.  For any other frame ("rows")
+    the JSON of a share of the rows is measured: those chosen by the hash of their values, and the
+    first of every partition, so that no table of rows is without any; one scan either way."""
+    spark = df.sparkSession
+    files = _rows_by_file(df)
+    schema = ("basis string, sampled_rows bigint, mean_row_bytes double, total_rows bigint,"
+              " estimated_mb double")
+    if files is not None:
+        held = files.agg(F.coalesce(F.sum("kept"), F.lit(0)).alias("rows"), F.coalesce(
+            F.sum(F.col("bytes") * F.col("kept") / F.col("rows")), F.lit(0.0)).alias("bytes")).first()
+        mean = held.bytes / held.rows if held.rows else 0.0
+        return spark.createDataFrame(
+            [("files", held.rows, mean, held.rows, held.bytes / MEGABYTE)], schema)
     size = F.octet_length(F.to_json(F.struct("*")))
     key = F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if not t.startswith("map")])
-    chosen = F.pmod(key, F.lit(1_000_000)) < int(fraction * 1_000_000)
-
-    def measured(test: Column):
-        return df.select(F.when(test, size).alias("bytes")).agg(
-            F.count("bytes").alias("sampled"), F.avg("bytes").alias("mean"),
-            F.count(F.lit(1)).alias("rows"),
-        ).first()
-
-    seen = measured(chosen)
-    if seen.sampled < floor_rows:
-        seen = measured(F.lit(True))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    chosen = (F.pmod(key, F.lit(1_000_000)) < int(fraction * 1_000_000)) | (place == 0)
+    seen = df.select(F.when(chosen, size).alias("bytes")).agg(
+        F.count("bytes").alias("sampled"), F.avg("bytes").alias("mean"),
+        F.count(F.lit(1)).alias("rows")).first()
     mean = seen.mean or 0.0
-    return df.sparkSession.createDataFrame(
-        [(seen.sampled, mean, seen.rows, mean * seen.rows / MEGABYTE)],
-        "sampled_rows bigint, mean_row_bytes double, total_rows bigint, estimated_mb double",
-    )
+    return spark.createDataFrame(
+        [("rows", seen.sampled, mean, seen.rows, mean * seen.rows / MEGABYTE)], schema)
+
+
+def _rows_by_file(df: DataFrame) -> DataFrame | None:
+    """``file``, ``bytes``, ``rows`` and how many of them the frame keeps, of every file it reads;
+    None if rows cannot be traced to files."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().apply(0)
+    files = df.inputFiles() if node.nodeName().startswith("LogicalRelation") else []
+    if not files or not all(f.endswith(".parquet") for f in files):
+        return None
+    kept = df.select(F.col("_metadata.file_path").alias("file"),
+                     F.col("_metadata.file_size").alias("bytes"))
+    kept = kept.groupBy("file", "bytes").agg(F.count(F.lit(1)).alias("kept"))
+    # no column is read: the numbers of rows stand in the footers
+    footers = df.sparkSession.read.parquet(*files).groupBy(
+        F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+    return kept.join(footers, "file")
 
 
 def estimated_mb(df: DataFrame) -> float:

@@ -7,6 +7,7 @@ KPI values, trend) the formula used here is our own and is stated at the functio
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -133,11 +134,87 @@ def hotspot_map(
         F.avg("risk_score").alias("avg_risk"),
         F.max("risk_score").alias("max_risk"),
     )
-    colour = reduce(
+    return cells.withColumn("colour", _risk_colour())
+
+
+def _risk_colour() -> Column:
+    return reduce(
         lambda done, step: done.when(F.col("max_risk") < step[0], step[1]),
         model.RISK_COLOUR_STEPS, F,
     ).otherwise(model.RISK_COLOUR_STEPS[-1][1])
-    return cells.withColumn("colour", colour)
+
+
+#: The finest map level; a tile key has two bits for each level and the sign.
+MOST_ZOOM = 18
+_TILE_BITS = MOST_ZOOM + 1
+#: Masks that hold every second bit, pair, four, … of a long: fixed values of bit interleaving.
+_SPREAD = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F),
+           (2, 0x3333333333333333), (1, 0x5555555555555555))
+
+
+def _interleaved(row: Column, col: Column) -> Column:
+    """The bits of two cell numbers of the finest level in turn, so that dropping the last two bits
+    gives the tile one level up, and tiles that are near each other have near keys."""
+    def apart(x: Column) -> Column:
+        x = (x + (1 << MOST_ZOOM - 1)).cast("bigint")
+        for by, mask in _SPREAD:
+            x = x.bitwiseOR(F.shiftleft(x, by)).bitwiseAND(F.lit(mask))
+        return x
+
+    return F.shiftleft(apart(row), 1).bitwiseOR(apart(col))
+
+
+def hotspot_tiles(hotspots: DataFrame, zooms: Sequence[int] = range(1, MOST_ZOOM + 1)) -> DataFrame:
+    """``hotspot_map`` of the whole table for many levels: ``zoom``, ``tile`` (key), and its columns.
+
+    Hotspots are summed once per tile of the finest level; every other level follows by dropping two
+    bits of the key for each level in between, so the table is read once for all of them."""
+    if not all(1 <= z <= MOST_ZOOM for z in zooms):
+        raise ValueError(f"zoom is between 1 and {MOST_ZOOM}")
+    scale = F.lit(float(1 << MOST_ZOOM))
+    row, col = (F.floor(F.col(c) * scale / 360).cast("bigint") for c in ("latitude", "longitude"))
+    located = hotspots.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    finest = located.groupBy(row.alias("row"), col.alias("col")).agg(
+        _rows().alias("n"), F.sum("accident_count").alias("accidents"),
+        F.sum("risk_score").alias("risk"), F.count("risk_score").alias("risks"),
+        F.max("risk_score").alias("top"))
+    levels = finest.select(
+        "*", _interleaved(F.col("row"), F.col("col")).alias("key"),
+        F.explode(F.array(*[F.lit(z) for z in sorted(set(zooms))])).alias("zoom"))
+    up = F.lit(MOST_ZOOM) - F.col("zoom")
+    shifted = lambda c, by: F.call_function("shiftright", F.col(c), by)
+    tiles = levels.groupBy("zoom", shifted("key", 2 * up).alias("tile")).agg(
+        F.min(shifted("row", up)).alias("cell_lat"), F.min(shifted("col", up)).alias("cell_lng"),
+        F.sum("n").alias("hotspots"), F.sum("accidents").alias("accident_count"),
+        F.try_divide(F.sum("risk"), F.sum("risks").cast("double")).alias("avg_risk"),
+        F.max("top").alias("max_risk"))
+    return tiles.withColumn("colour", _risk_colour())
+
+
+def write_tiles(tiles: DataFrame, path: str) -> None:
+    """Tiles as Parquet by zoom, files and rows sorted by key, so that a window reads few of them."""
+    (tiles.repartitionByRange("zoom", "tile").sortWithinPartitions("zoom", "tile")
+     .write.mode("overwrite").partitionBy("zoom").parquet(path))
+
+
+def tiles_in_window(
+    tiles: DataFrame, north: float, south: float, east: float, west: float, zoom: int
+) -> DataFrame:
+    """The tiles of one level that a map window meets, whole.  Their keys lie between those of the
+    window's corners, which the scan of a written table prunes by."""
+    if north <= south or east <= west:
+        raise ValueError("the map window is empty")
+    cell = lambda degrees: math.floor(degrees * 2**zoom / 360)
+
+    def key(row: int, col: int) -> int:
+        half = 1 << zoom - 1
+        return sum((row + half >> b & 1) << 2 * b + 1 | (col + half >> b & 1) << 2 * b
+                   for b in range(_TILE_BITS + 1))
+
+    low, high = (cell(south), cell(west)), (cell(north), cell(east))
+    return tiles.filter(
+        (F.col("zoom") == zoom) & F.col("tile").between(key(*low), key(*high))
+        & F.col("cell_lat").between(low[0], high[0]) & F.col("cell_lng").between(low[1], high[1]))
 
 
 def critical_hotspots(
