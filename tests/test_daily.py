@@ -170,3 +170,22 @@ def test_sizes_by_files(spark, tmp_path):
     assert equal.estimated_mb == pytest.approx(50_000 * 9 / 2**20) and equal.sampled_rows in (
         spark.range(50_000).rdd.getNumPartitions(), 50_000)
     assert L.estimate_size(spark.range(0)).first().estimated_mb == 0
+
+
+def test_scratch_of_the_flows_is_released(spark, tmp_path):
+    from catalog.cleaning import delivered
+    from wayside.plans import flows
+    from wayside.sources import scratch
+
+    source = delivered(spark, SF)
+    made = lambda: scratch._made.get(spark.sparkContext.applicationId, [])
+    before = len(made())
+    report = flows.cleaning_report(source).first()
+    assert len(made()) == before and report.input_records == source.count() >= report.records_after_nulls
+    silver = flows.build_silver(source, None, str(tmp_path / "silver"))
+    left = [p.rsplit("/", 1)[1] for p in made()[before:]]
+    assert not any("featured" in p or "deduplicated" in p for p in left)
+    assert silver.scores.first().records_out == silver.tables["accidents_clean"].count()
+    for name, frame in silver.reports.items():
+        frame.collect()
+        assert not any("featured" in f for f in frame.inputFiles()), name

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -18,8 +18,8 @@ from wayside.sinks.tables import (
     silver_infrastructure_table, silver_weather_table,
 )
 from wayside.sources.csv import csv_scan_strict, with_ingestion_metadata
-from wayside.sources.files import require_files, require_valid_read
-from wayside.sources.scratch import materialise, released
+from wayside.sources.files import observed, require_files, require_valid_read
+from wayside.sources.scratch import discard, materialise, materialise_alone, released
 
 
 # ----------------------------------------------------------------- cleaning
@@ -33,18 +33,29 @@ def corrections_made(columns) -> int:
     return sum(c in renamed for c in (*tidied, *checked))
 
 
-def _stages(df: DataFrame, roles: Roles, keep_nulls: bool) -> dict[str, DataFrame]:
-    """The cleaning as named intermediate tables.  Statistics are taken in several passes,
-    so the deduplicated rows are written once and the passes read only what they need."""
+def _stages(
+    df: DataFrame,
+    roles: Roles,
+    keep_nulls: bool,
+    watch: Callable[[str, DataFrame], DataFrame] = lambda name, frame: frame,
+) -> dict[str, DataFrame]:
+    """The cleaning as named intermediate tables, each passed through ``watch`` before the next
+    reads it.  Statistics are taken in several passes, so the deduplicated rows are written once
+    and the passes read only what they need."""
     stages = {"input": df}
-    stages["deduplicated"] = materialise(cleaning.dedup_by_key(df, [roles.id]), "deduplicated")
-    stages["nulls_handled"] = cleaning.adaptive_null_handling(stages["deduplicated"])
-    ranged = cleaning.physical_range_filter(
+    written = materialise_alone(
+        df.sparkSession, lambda: cleaning.dedup_by_key(df, [roles.id]), "deduplicated")
+    stages["deduplicated"] = watch("deduplicated", written)
+    stages["nulls_handled"] = watch(
+        "nulls_handled", cleaning.adaptive_null_handling(stages["deduplicated"]))
+    stages["in_range"] = watch("in_range", cleaning.physical_range_filter(
         cleaning.rename_measures(stages["nulls_handled"]), roles
-    )
-    stages["in_range"] = ranged
-    tidy = cleaning.null_out_impossible(cleaning.standardize_formats(ranged, roles), roles)
-    stages["cleaned"] = cleaning.zscore_filter_sequential(tidy, keep_nulls=keep_nulls)
+    ))
+    tidy = cleaning.null_out_impossible(
+        cleaning.standardize_formats(stages["in_range"], roles), roles)
+    stages["cleaned"] = watch(
+        "cleaned", cleaning.zscore_filter_sequential(tidy, keep_nulls=keep_nulls))
+    stages["written"] = written
     return stages
 
 
@@ -57,9 +68,19 @@ def clean_incidents(
 
 
 def cleaning_report(df: DataFrame, roles: Roles = INCIDENT) -> DataFrame:
-    """One row: rows after each stage, retention and cleaning score."""
-    stages = _stages(df, roles, False)
-    counts = {name: frame.count() for name, frame in stages.items()}
+    """One row: rows after each stage, retention and cleaning score.  The stages are counted while
+    their rows pass on the way to the last one; the input alone is counted by itself."""
+    seen = {}
+
+    def watch(name: str, frame: DataFrame) -> DataFrame:
+        frame, seen[name] = observed(frame, name)
+        return frame
+
+    stages = _stages(df, roles, False, watch)
+    stages["cleaned"].write.format("noop").mode("overwrite").save()
+    counts = {name: found.get["records_read"] for name, found in seen.items()}
+    counts["input"] = df.count()
+    discard(stages["written"])
     corrections = corrections_made(df.columns)
     score = cleaning.cleaning_score(counts["input"], counts["cleaned"], corrections)
     figures = {
@@ -162,15 +183,17 @@ def build_silver(
     """Clean, add features, write the three silver tables, prepare every report.  Tables go to
     ``location`` if one is given, else to the warehouse."""
     spark = bronze.sparkSession
-    cleaned = clean_incidents(bronze, roles)
-    featured = materialise(create_features(cleaned, roles), "featured")
+    stages = _stages(bronze, roles, False)
+    passing, seen = observed(create_features(stages["cleaned"], roles), "features")
+    featured = materialise(passing, "featured")
+    discard(stages["written"])
     tables = {}
     for name, (write, layout) in SILVER_TABLES.items():
         full = f"{database}.{name}" if database else name
         made = write(featured, full, roles, f"{location}/{name}" if location else None)
         tables[name] = made
         analyze_table(spark, full, [c for c in layout.statistics if c in made.columns])
-    rows_in, rows_out = bronze.count(), featured.count()
+    rows_in, rows_out = bronze.count(), seen.get["records_read"]
     cleaned_score = cleaning.cleaning_score(rows_in, rows_out, corrections_made(bronze.columns))
     made = features_made(featured.columns)
     scores = spark.createDataFrame(
@@ -179,4 +202,6 @@ def build_silver(
         "records_in bigint, records_out bigint, cleaning_score double, features int,"
         " tables int, transformation_score double",
     )
-    return Silver(tables, all_reports(featured, roles), scores)
+    reports = all_reports(featured, roles)
+    discard(featured)  # tables and the bases of the reports are written
+    return Silver(tables, reports, scores)

@@ -9,7 +9,7 @@ columns.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +47,32 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_alone(
+    spark: SparkSession, make: Callable[[], DataFrame], label: str = "stage"
+) -> DataFrame:
+    """``materialise`` what ``make`` gives, and delete what making it wrote besides."""
+    application = spark.sparkContext.applicationId
+    earlier = _made.pop(application, [])
+    try:
+        made = materialise(make(), label)
+        own = _made[application].pop()
+        release_scratch(spark)
+        earlier.append(own)
+    finally:
+        _made[application] = earlier + _made.get(application, [])
+    return made
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for a frame that nothing reads any more."""
+    spark = df.sparkSession
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    made = _made.get(spark.sparkContext.applicationId, [])
+    for path in [p for p in made if any(f.endswith(p.rsplit("/", 1)[1]) for f in folders)]:
+        made.remove(path)
+        _delete(spark, path)
+
+
 @contextmanager
 def released(spark: SparkSession) -> Iterator[None]:
     """Deletes what was written inside, for steps whose results no longer read it."""
@@ -62,9 +88,11 @@ def released(spark: SparkSession) -> Iterator[None]:
 def release_scratch(spark: SparkSession) -> int:
     """Delete what this application wrote through ``scratch_path``; returns the number."""
     paths = _made.pop(spark.sparkContext.applicationId, [])
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+        _delete(spark, path)
     return len(paths)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
