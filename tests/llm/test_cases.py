@@ -254,8 +254,11 @@ def test_language_of_awkward_rows(spark):
 
 
 def test_phrases_against_a_plain_parse():
-    model = langid.LanguageModel((("a", "abracadabra banana band"), ("b", "zebra cadillac bazaar")))
-    texts = ["abracadabra", "banana zebra!", "xyz", "cadabra" * 400]
+    many = "".join(chr(0x4E00 + k * k % 997) for k in range(600))  # more symbols than columns
+    model = langid.LanguageModel((("a", "abracadabra banana band"), ("b", "zebra cadillac bazaar"),
+                                  ("c", many)))
+    texts = ["abracadabra", "banana zebra!", "xyz", "cadabra" * 400, many[50:300] + "ab" + many[7:90],
+             many[::-1], "a" + many[:5] + "\u9fff" + many[5:40]]
     entropy = langid.cross_entropies(model, texts)
     for i, text in enumerate(texts):
         for k, (_, sample) in enumerate(model.samples):

@@ -1,11 +1,12 @@
 """The corpus pipeline, stage by stage, against plain versions."""
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
 
 from tests.llm import plain
 from tests.llm.test_near_copies import firsts
-from wayside.llm import stages
+from wayside.llm import langid, stages
 from wayside.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -74,7 +75,29 @@ def test_names_and_repeated_ids(spark):
         assert all(r[c] == c for r in after.collect() for c in docs.columns[2:])
 
 
+def test_learned_languages_of_large_alphabets_stay(spark):
+    """Three scripts of thousands of characters each: texts of all are known again and kept, texts
+    of none of them go."""
+    chance = np.random.default_rng(4)
+    first = {"ja": 0x3041, "ko": 0xAC00, "zh": 0x4E00, "en": 0x61}
+    size = {"ja": 1_800, "ko": 2_000, "zh": 2_500, "en": 26}
+    # words of two to four characters, some of which are far more frequent than others
+    lexicon = {k: ["".join(chr(first[k] + c) for c in chance.integers(0, size[k], chance.integers(2, 5)))
+                   for _ in range(1_500)] for k in first}
+
+    def text(k):
+        picks = np.minimum(chance.zipf(1.3, 150) - 1, 1_499)
+        return (" " if k == "en" else "").join(lexicon[k][i] for i in picks)
+
+    rows = [(i, text(k), k) for i, k in enumerate(np.repeat(list(first), 90).tolist())]
+    other = [(1_000 + i, "".join(chr(0x1200 + c) for c in chance.integers(0, 300, 400)), None) for i in range(20)]
+    docs = spark.createDataFrame(rows + other, "doc_id long, text string, lang string")
+    kept = stages.language_id(spark, docs, SF).collect()
+    assert {r.doc_id for r in kept} == {r[0] for r in rows}
+    found = langid.with_language(docs, langid.fit_languages(docs)).where("lang is not null")
+    assert found.where("lang_pred <> lang").count() == 0
+
+
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert set(rows.columns) >= {"doc_id", "sequence_id", "ids"} and rows.count() > 100
-    assert stages.MOST_BITS > 5
