@@ -447,7 +447,8 @@ def _calibration(spark, sf):
 @query("hotspot_tiles", with_incidents(f"""
 select zoom, cast(floor(latitude * pow(2, zoom) / 360) as bigint) as cell_lat,
  cast(floor(longitude * pow(2, zoom) / 360) as bigint) as cell_lng, count(*) as hotspots,
- cast(sum(accident_count) as bigint) as accident_count, {r('avg(risk_score)')} as avg_risk,
+ cast(sum(accident_count) as bigint) as accident_count,
+ {r('cast(sum(cast(risk_score as decimal(18,6))) as double) / count(*)')} as avg_risk,
  max(risk_score) as max_risk
 from hotspots, (select unnest(range(1, 19))::int as zoom) group by all""", HOTSPOTS))
 def _tiles(spark, sf):

@@ -176,7 +176,9 @@ def hotspot_tiles(hotspots: DataFrame, zooms: Sequence[int] = range(1, MOST_ZOOM
     located = hotspots.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
     finest = located.groupBy(row.alias("row"), col.alias("col")).agg(
         _rows().alias("n"), F.sum("accident_count").alias("accidents"),
-        F.sum("risk_score").alias("risk"), F.count("risk_score").alias("risks"),
+        # scores have four digits: their decimal sums do not depend on the order of rows
+        F.sum(F.col("risk_score").cast("decimal(18,6)")).alias("risk"),
+        F.count("risk_score").alias("risks"),
         F.max("risk_score").alias("top"))
     levels = finest.select(
         "*", _interleaved(F.col("row"), F.col("col")).alias("key"),
@@ -186,7 +188,7 @@ def hotspot_tiles(hotspots: DataFrame, zooms: Sequence[int] = range(1, MOST_ZOOM
     tiles = levels.groupBy("zoom", shifted("key", 2 * up).alias("tile")).agg(
         F.min(shifted("row", up)).alias("cell_lat"), F.min(shifted("col", up)).alias("cell_lng"),
         F.sum("n").alias("hotspots"), F.sum("accidents").alias("accident_count"),
-        F.try_divide(F.sum("risk"), F.sum("risks").cast("double")).alias("avg_risk"),
+        F.try_divide(F.sum("risk").cast("double"), F.sum("risks").cast("double")).alias("avg_risk"),
         F.max("top").alias("max_risk"))
     return tiles.withColumn("colour", _risk_colour())
 
