@@ -9,7 +9,7 @@ import pyarrow.parquet as pq
 
 from tests.llm import plain
 from wayside.llm import periodic
-from wayside.llm.queries import QUERIES
+from wayside.llm.queries import QUERIES, with_planted_runs
 
 SF = "/root/testdata/sf0.001"
 
@@ -100,3 +100,24 @@ def test_long_text_and_large_periods():
     described = periodic._described([" ".join(words), "one " * 23, "one " * 24])
     runs = [[(r["start"], r["length"], r["period"]) for r in own] for own in described[1].to_pylist()]
     assert runs == [[(10, 3 * 7_001 + 17, 7_001), (10 + 3 * 7_001 + 18, 8_000, 2)], [], [(0, 24, 1)]]
+
+
+def test_planted_runs_of_awkward_texts(spark):
+    """Ids that plant a run, with every awkward text; and ids that do not."""
+    ids = [d for d in range(400) if zlib.crc32(str(d).encode()) % 10 == 0]
+    texts = [t for _, t in plain.AWKWARD] + ["a b c " * 9]
+    rows = [(d, t) for d, t in zip(ids, texts)] + [(None, "a b"), (1, ""), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = with_planted_runs(docs)
+    assert found.columns == docs.columns
+    got = {r.doc_id: r.text for r in found.collect()}
+    assert len(got) == len(rows) and got[None] == "a b" and got[1] == "" and got[2] is None
+    for d, t in rows[: len(texts)]:
+        w = (t or "").encode().split()
+        g, n = zlib.crc32(str(d).encode()) // 10, len(w)
+        if not n:
+            assert got[d] == t
+            continue
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        assert got[d].encode() == b" ".join(w[i] if i < a else w[a + (i - a) % p] for i in range(n))

@@ -151,7 +151,7 @@ def with_planted_runs(docs: DataFrame) -> DataFrame:
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     planted = docs.select("*", h.alias("_h"), F.when(h % 10 == 0, words).alias("_w"))
     planted = planted.selectExpr("*", "size(_w) as _n", "_h div 10 as _g")
-    planted = planted.withColumn("_a", F.expr("int(_g % _n)"))
+    planted = planted.withColumn("_a", F.expr("int(_g % nullif(_n, 0))"))
     planted = planted.withColumn("_p", F.expr("int(1 + (_n - _a) div (3 + _g % 8))"))
     repeated = F.expr("array_join(transform(_w, (w, i) -> if(i < _a, w, _w[_a + (i - _a) % _p])), ' ')")
     return planted.select(
