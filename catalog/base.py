@@ -66,6 +66,16 @@ CENTRES = "centres(code, c_lat, c_lng) as (values " + ", ".join(
 STATES = ", ".join(f"'{code}'" for code in sorted(model.STATE_CODES))
 
 
+_REGIONS = " ".join(
+    "when State in (" + ", ".join(f"'{code}'" for code in codes) + f") then '{region}'"
+    for region, codes in model.STATE_REGIONS.items())
+_VISIBILITY = " ".join(
+    f"when visibility_miles >= {floor} then '{name}'" for floor, name in model.VISIBILITY_FLOORS)
+_TEMPERATURE = " ".join(
+    f"when temperature_fahrenheit <= {top} then '{name}'"
+    for top, name in model.TEMPERATURE_CEILINGS)
+
+
 def features_of(source: str, name: str = "featured") -> str:
     """CTEs that add the feature columns to ``source``."""
     return f"""{name}_1 as (
@@ -80,17 +90,9 @@ def features_of(source: str, name: str = "featured") -> str:
        when lower(Weather_Condition) like '%cloud%' then 'Cloudy'
        when lower(Weather_Condition) like '%wind%' then 'Windy' else 'Other' end
    as weather_category,
-  case when visibility_miles >= 10 then 'Good' when visibility_miles >= 5 then 'Fair'
-       when visibility_miles >= 1 then 'Poor' else 'Very Poor' end as visibility_category,
-  case when temperature_fahrenheit <= 32 then 'Cold' when temperature_fahrenheit <= 70 then 'Mild'
-       when temperature_fahrenheit <= 90 then 'Warm' else 'Hot' end as temperature_category,
-  case when State in ('CT','ME','MA','NH','NJ','NY','PA','RI','VT') then 'Northeast'
-       when State in ('AL','AR','DE','FL','GA','KY','LA','MD','MS','NC','SC','TN','VA','WV')
-         then 'Southeast'
-       when State in ('IL','IN','IA','KS','MI','MN','MO','NE','ND','OH','SD','WI') then 'Midwest'
-       when State in ('AZ','NM','OK','TX') then 'Southwest'
-       when State in ('AK','CA','CO','HI','ID','MT','NV','OR','UT','WA','WY') then 'West'
-       when State = 'DC' then 'Other' else 'Unknown' end as state_region,
+  case {_VISIBILITY} else '{model.VISIBILITY_REST}' end as visibility_category,
+  case {_TEMPERATURE} else '{model.TEMPERATURE_REST}' end as temperature_category,
+  case {_REGIONS} else 'Unknown' end as state_region,
   case when c_lat is not null and Start_Lat is not null and Start_Lng is not null then
    2 * 3956 * asin(sqrt(power(sin((radians(c_lat) - radians(Start_Lat)) / 2), 2)
     + cos(radians(Start_Lat)) * cos(radians(c_lat))
