@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import public_tokenizers
 
 from wayside.llm import (
-    alignment, bpe, langid, licenses, packing, periodic, sharding, simhash, spotsigs, suffix_dedup,
-    tokencount, topk, toxicity, vocabulary,
+    alignment, bpe, langid, licenses, packing, periodic, sharding, simhash, spot_join, spotsigs,
+    suffix_dedup, tokencount, topk, toxicity, vocabulary,
 )
 from wayside.llm.common import held_out, importable, written
 
@@ -107,7 +107,8 @@ def op8_packing(spark, sf_dir):
 
 @query
 def op9_spotsigs(spark, sf_dir):
-    return spotsigs.edited_halves(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    return spot_join.with_class(spotsigs.edited_halves(docs), spot_join.classes(docs))
 
 
 @query
