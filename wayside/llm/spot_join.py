@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wayside.llm.common import giving_back, written
+from wayside.llm.common import drop_written, giving_back, written
 from wayside.llm.components import components
 from wayside.llm.spotsigs import likeness, with_spot_signatures
 
@@ -75,12 +75,18 @@ def classes(
                              "rows", "n", "set"), "spot-sets")
     met = written(_met(one, least), "spot-buckets")
     near = written(_compared(one, _pairs(met, least), least), "spot-links")
-    first = written(components(near), "spot-classes")
+    before = components(near)
+    first = written(before, "spot-classes")
     rest = written(_crowds(one, met, first, least), "spot-links")
     label = components(near.unionByName(rest)).withColumnRenamed("component", "root")
     named = F.coalesce(F.col("root.id"), F.col("node.id"))
-    return one.join(label, "node", "left").where("rows > 1 or root is not null").select(
+    found = one.join(label, "node", "left").where("rows > 1 or root is not null").select(
         "digest", F.when(named != NO_ID, named).alias("component_id"))
+    # a written table: its size is known, so a small one is broadcast and rows need not move to it
+    found = written(found, "spot-found")
+    for used in (one, met, near, before, first, rest, label):
+        drop_written(used)
+    return found
 
 
 def length_bounds(least: float) -> np.ndarray:
