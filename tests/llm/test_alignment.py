@@ -121,3 +121,12 @@ def test_pairs_of_large_groups():
     assert dict(zip(keys.tolist(), times.tolist())) == {
         a * alignment.KEY + b: n for a, b, n in ((1, 5, 600), (1, 6, 600), (2, 5, 300), (2, 6, 300))}
     assert owner.tolist() == [0] * 4
+
+
+def test_texts_that_begin_with_spaces(libraries):
+    """The space before the text and the text's own first spaces may be one token of B."""
+    texts = [" 汉字", "  汉字", " é x", " \u3000\u3000e ", " \n'eé", " ));&нан", " ", "   ", " \x00x", " lead er",
+             " ½ x", "\t 汉", "x  汉", "  \n 汉 "]
+    columns = alignment._unit(alignment.Parts(RANKS, PATTERN, PIECES), texts, 0)
+    found = [tuple(c[i].as_py() for c in columns[:5]) for i in range(len(texts))]
+    assert found == [w[:5] for w in walk(texts, libraries)]

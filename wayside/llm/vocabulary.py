@@ -35,8 +35,9 @@ def token_bytes(path: str) -> dict[int, bytes]:
 
 def space_led(text: str) -> list[str]:
     """The text cut before every space that follows something else than white space; all parts but
-    the first have lost that space.  The pattern's matches never cross such a place."""
-    if _space_after_space.search(text):
+    the first have lost that space.  The pattern's matches never cross such a place.  A space that
+    begins the text is no such place: behind another text or space it may be one token with that."""
+    if text.startswith(" ") or _space_after_space.search(text):
         return _safe_space.split(text)
     return text.split(" ")
 
