@@ -91,6 +91,20 @@ def test_broadcast_only_within_the_limit(spark, setting):
     assert "Broadcast" not in executed(over) and over.count() == 10
 
 
+def test_table_that_only_compression_makes_small_is_not_broadcast(spark, setting, tmp_path):
+    setting("spark.sql.autoBroadcastJoinThreshold", "-1")
+    path = str(tmp_path / "even")
+    spark.range(4_000_000).selectExpr("id div 1000000 as k", "7L as v").write.parquet(path)
+    even = spark.read.parquet(path)
+    assert J.planned_bytes(even) < J.MEGABYTE and J.unpacked_bytes(even) > 200 * J.MEGABYTE
+    left = spark.range(10).withColumnRenamed("id", "k")
+    joined = J.sized_equi_join(left, even, "k", "left")
+    assert "Broadcast" not in executed(joined) and joined.count() == 4_000_006
+    texts = spark.range(100).selectExpr("id as k", "repeat('x', 1000) as t", "array('y', null) as l")
+    assert 100_000 < J.unpacked_bytes(texts) < 200_000
+    assert J.unpacked_bytes(texts.limit(0)) == 0
+
+
 def test_large_full_join_in_two_parts_equals_the_plain_one(spark):
     left = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "n")], "k int, l string")
     right = spark.createDataFrame([(2, "x"), (2, "y"), (3, "z"), (None, "m")], "k int, r string")

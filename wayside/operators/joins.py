@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import ceil, cos, pi, radians, sin
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from wayside import functions as X, model
 
@@ -14,6 +14,9 @@ MEGABYTE = 1024 * 1024
 _RIGHT_MAY_GO = {"inner", "left", "left_outer", "leftouter", "semi", "left_semi", "anti",
                  "left_anti"}
 _LEFT_MAY_GO = {"inner", "right", "right_outer", "rightouter"}
+_FIXED = (T.NumericType, T.BooleanType, T.DatetimeType, T.NullType)
+#: What a row of a hash table takes beside its values, and the part of the driver's heap for one table.
+ROW_BYTES, DRIVER_PART = 40, 16
 _FULL = {"full", "outer", "full_outer", "fullouter"}
 
 
@@ -22,9 +25,23 @@ def planned_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def unpacked_bytes(df: DataFrame) -> int:
+    """What a table's rows take in memory; one scan, which for plain columns of Parquet reads only
+    the files' footers.  The planned size of a file scan is that of compressed columns, often a small
+    part of this."""
+    wide = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, _FIXED)]
+    counted = df.agg(F.count(F.lit(1)),
+                     *[F.sum(F.octet_length(c.cast("string")).cast("long")) for c in wide]).first()
+    return counted[0] * (ROW_BYTES + 8 * len(df.columns)) + sum(n or 0 for n in counted[1:])
+
+
 def broadcast_small(df: DataFrame, limit_mb: float = 200) -> DataFrame:
-    """Hint a broadcast only if the planned size is within the limit."""
-    return F.broadcast(df) if planned_bytes(df) <= limit_mb * MEGABYTE else df
+    """Hint a broadcast only if the table is within the limit, as planned and unpacked, and the driver,
+    which collects and copies the rows while it builds the table to send, has room for it."""
+    room = df.sparkSession.sparkContext._jvm.java.lang.Runtime.getRuntime().maxMemory() / DRIVER_PART
+    limit = min(limit_mb * MEGABYTE, room)
+    small = planned_bytes(df) <= limit and unpacked_bytes(df) <= limit
+    return F.broadcast(df) if small else df
 
 
 def sized_equi_join(
