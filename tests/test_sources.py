@@ -104,6 +104,28 @@ def test_rows_the_target_lacks(spark):
         (2, "b"), (3, "d")]
 
 
+def test_keys_of_a_large_target_are_dealt_over_more_tasks(spark, setting, monkeypatch):
+    setting("spark.sql.autoBroadcastJoinThreshold", "-1")
+    new = spark.range(0, 5_000, 1, 4).selectExpr(
+        "if(id % 1000 = 999, null, id div 2) as k", "id as v", "string(id % 2) as w")
+    old = spark.range(0, 40_000).selectExpr("id % 2000 as k")
+    found = {}
+    for most in (100, 1_000_000):
+        monkeypatch.setattr(jdbc, "KEYS_PER_TASK", most)
+        made = jdbc.without_existing(new, old, ["k"])
+        found[most] = sorted((r.k is None, r.k, r.v) for r in made.collect() if r.k is not None)
+        assert [r.v for r in made.collect() if r.k is None] == [999]
+    assert found[100] == found[1_000_000] == [(False, k, 2 * k) for k in range(2000, 2500)
+                                             if k != 2499] + [(False, 2499, 4998)]
+    read = []
+    monkeypatch.setattr(jdbc, "KEYS_PER_TASK", 100)
+    monkeypatch.setattr(jdbc, "materialise", lambda df, label: read.append((label, scratch.materialise(df))) or read[-1][1])
+    jdbc.without_existing(new, old, ["k"]).count()
+    assert [label for label, _ in read] == ["keys", "keys", "lacking-keys", "fresh-rows"]
+    # as many files as parts hold lacking keys: merged partitions would leave one
+    assert len(read[2][1].inputFiles()) > 8
+
+
 def test_scratch_is_in_the_configured_folder_and_released(spark):
     path = scratch.scratch_path(spark, "x")
     assert path.startswith(spark.conf.get("spark.checkpoint.dir"))

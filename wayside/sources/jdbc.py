@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from math import ceil
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from wayside.functions.cases import all_of
 from wayside.operators.cleaning import dedup_by_key
+from wayside.sources.scratch import materialise
 
 BATCH_ROWS = 1000
+#: Distinct keys that one task compares, on average.
+KEYS_PER_TASK = 1_000_000
 _BACKSLASH_URLS = ("jdbc:mysql:", "jdbc:mariadb:")
 
 
@@ -126,6 +131,17 @@ def jdbc_table_size(
 
 
 def without_existing(df: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose key the target does not have yet; repeated new keys are kept once."""
-    fresh = df.join(existing.select(*keys), list(keys), "left_anti")
+    """Rows whose key the target does not have yet; repeated new keys are kept once.
+
+    The target is read once, and only keys are compared, each once however many rows have it.
+    Beyond ``KEYS_PER_TASK`` they are dealt over more tasks: adaptive execution would merge partitions
+    by their compressed size, which for keys is a small part of what a task then sorts."""
+    sides = [materialise(side.select(*keys).distinct(), "keys") for side in (df, existing)]
+    parts = ceil(max(side.count() for side in sides) / KEYS_PER_TASK)  # from the files' footers
+    if parts > 1:
+        sides = [side.repartition(parts, *keys) for side in sides]
+    lacking = materialise(sides[0].join(sides[1], list(keys), "left_anti").select(
+        *[F.col(c).alias(f"_key_{i}") for i, c in enumerate(keys)]), "lacking-keys")
+    same = all_of([F.col(c).eqNullSafe(F.col(f"_key_{i}")) for i, c in enumerate(keys)])
+    fresh = materialise(df.join(lacking, same, "left_semi"), "fresh-rows")
     return dedup_by_key(fresh, keys)
