@@ -143,6 +143,41 @@ def test_a_block_releases_its_own_copies_only(spark):
     assert not os.path.isdir(folder) and before.count() == 3
 
 
+def _small_parts(setting):
+    setting("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2k")
+    setting("spark.sql.adaptive.coalescePartitions.minPartitionSize", "2k")
+
+
+def test_delivered_lines_are_written_by_several_tasks(spark, setting, monkeypatch):
+    from catalog import sources as catalogued
+
+    _small_parts(setting)
+    made = []
+    monkeypatch.setattr(catalogued, "scratch_path", lambda *a: made.append(scratch.scratch_path(*a)) or made[-1])
+    found = {r.verdict: (r.files, r.rows) for r in catalogued._gate(spark, "/root/testdata/sf0.01").collect()}
+    lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").count()
+    assert found == {"accepted": (1, lines), "empty": (1, 0), "too small": (1, 1)}
+    parts = R.source_file_gate(spark, f"{made[0]}/lines/*.txt", spark.read.text(f"{made[0]}/lines"))
+    rows = sorted(r.rows for r in parts.collect())
+    assert len(rows) > 3 and rows[-1] < lines / 2
+
+
+def test_parts_of_the_stream_are_several_files_and_four_batches(spark, setting, monkeypatch):
+    from catalog import sources as catalogued
+
+    _small_parts(setting)
+    made, asked = [], []
+    monkeypatch.setattr(catalogued, "scratch_path", lambda *a: made.append(scratch.scratch_path(*a)) or made[-1])
+    source = I.stream_source
+    monkeypatch.setattr(I, "stream_source", lambda *a, **o: asked.append(o["files_per_batch"]) or source(*a, **o))
+    catalogued._arriving(spark, "/root/testdata/sf0.01")
+    files = R.source_files(spark, made[0]).count()
+    assert files > 8 and asked == [-(-files // 4)]
+    events = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    assert spark.read.schema(events.schema).parquet(made[0]).exceptAll(events).count() == 0
+    assert spark.read.parquet(made[0]).count() == events.count()
+
+
 # ---------------------------------------------------------------- streaming
 
 SCHEMA = ("ID string, Severity int, Start_Time timestamp_ntz, Start_Lat double, Start_Lng double,"
