@@ -71,3 +71,14 @@ def test_predictions_of_few_and_no_rows(spark):
     assert rows(M.per_class(some), "severity", "rows", "predicted", "recall", "precision", "majority_recall") == [
         (2, 1, 0, 0.0, None, 1.0), (3, 1, 2, 1.0, 0.5, 0.0)]
     assert rows(M.calibration(some), "bin", "rows", "accuracy", "gap") == [(5, 1, 1.0, -0.5), (9, 1, 0.0, 1.0)]
+
+
+def test_training_reads_written_rows_instead_of_deriving_them_in_each_pass(spark, monkeypatch):
+    learn = spark.range(400).selectExpr(
+        "concat('x', id) as ID", "int(1 + id % 4) as Severity", "double(id % 40) as temperature_fahrenheit",
+        "case when id % 4 > 1 then 'Rain' else 'Clear' end as weather_category")
+    seen, fit = [], M.Stages.fit
+    monkeypatch.setattr(M.Stages, "fit", lambda self, df: seen.append(
+        (df._jdf.queryExecution().optimizedPlan().toString(), df.columns)) or fit(self, df))
+    assert M.train_severity_model(learn, trees=2, depth=2).score(learn).count() == 400
+    assert len(seen) == 1 and "Range" not in seen[0][0] and "ID" not in seen[0][1]
