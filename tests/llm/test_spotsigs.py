@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from tests.llm import plain
-from wayside.llm import spot_join
+from wayside.llm import spot_join, spotsigs
 from wayside.llm.queries import QUERIES
 from wayside.llm.spotsigs import ANCHORS, CHAIN
 
@@ -168,3 +168,19 @@ def test_odd_column_names(spark):
     docs = spark.createDataFrame([(1, "a b c d", 0), (2, "a b c d", 1)], "`the.id` long, `a.text` string, `_class` int")
     found = spot_join.near_duplicates(docs, "a.text", "the.id").collect()
     assert [(r.doc_id, r.component_id) for r in sorted(found)] == [(1, 1), (2, 1)]
+
+
+def test_classes_go_to_the_rows(spark, setting):
+    """However many classes there are, rows with their fingerprints are shuffled once, zipped."""
+    setting("spark.sql.autoBroadcastJoinThreshold", -1)
+    copy = " ".join(f"the word{i} of" for i in range(60))
+    rows = [(i, copy if i % 3 == 0 else f"the text{i} of its own number{i} and the rest{i} of it all{i}")
+            for i in range(60)] + [(None, copy), (7, copy), (7, ""), (9, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    done = spotsigs.edited_halves(docs, classes=spot_join.classes(docs))
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    expected = spot_join.near_duplicates(docs).groupBy("doc_id", "component_id").count()
+    got = done.groupBy("doc_id", "component_id").count()
+    key = lambda rows: sorted(map(str, rows.collect()))
+    assert key(got) == key(expected) and done.count() == len(rows)

@@ -43,15 +43,11 @@ def near_duplicates(
     the class has no other.  Repeated rows are returned as often as they come.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    coded = with_spot_signatures(rows, "text", keep=["doc_id"])
-    return with_class(coded, classes(rows, least=least)).select("doc_id", "n_signatures", "component_id")
-
-
-def with_class(coded: DataFrame, found: DataFrame) -> DataFrame:
-    """Add ``component_id`` to rows with a ``doc_id`` and a ``fingerprint``."""
-    joined = coded.withColumn("_digest", digest()).join(
-        found.select(F.col("digest").alias("_digest"), F.col("component_id").alias("_class")), "_digest", "left")
-    return joined.withColumn("component_id", F.coalesce("_class", "doc_id")).drop("_digest", "_class")
+    coded = with_spot_signatures(rows, "text", keep=["doc_id"]).withColumn("_digest", digest())
+    found = classes(rows, least=least).select(
+        F.col("digest").alias("_digest"), F.col("component_id").alias("_class")).distinct()
+    return coded.join(found, "_digest", "left").select(
+        "doc_id", "n_signatures", F.coalesce("_class", "doc_id").alias("component_id"))
 
 
 def digest() -> Column:
@@ -61,18 +57,21 @@ def digest() -> Column:
 def classes(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = LEAST
 ) -> DataFrame:
-    """``digest`` of a fingerprint and ``component_id``, for the fingerprints that several rows have
-    or that a link joins to another."""
+    """``doc_id``, ``digest`` of the fingerprint and ``component_id``, once each, for the documents
+    whose fingerprint several rows have or a link joins to another."""
     if not 0 < least <= 1:
         raise ValueError("least must be above 0 and at most 1")
-    rows = docs.select(F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NO_ID)).alias("id"),
-                       F.col(f"`{text}`").alias("text"))
-    coded = with_spot_signatures(rows, "text", keep=["id"]).select(
-        "id", digest().alias("digest"), F.unbase64("fingerprint").alias("set"), F.col("n_signatures").alias("n"))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    coded = with_spot_signatures(rows, "text", keep=["doc_id"]).select(
+        "doc_id", digest().alias("digest"), F.unbase64("fingerprint").alias("set"), F.col("n_signatures").alias("n"))
+    # texts are read once: the sets leave the disk as soon as equal ones are one
+    coded = written(coded.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))), "spot-rows")
+    holders = written(coded.select("doc_id", "digest").distinct(), "spot-holders")
     one = coded.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("rows"),
                                       F.first("n").alias("n"), F.first("set").alias("set"))
     one = written(one.select("digest", F.struct("id", F.xxhash64("digest").alias("h")).alias("node"),
                              "rows", "n", "set"), "spot-sets")
+    drop_written(coded)
     met = written(_met(one, least), "spot-buckets")
     near = written(_compared(one, _pairs(met, least), least), "spot-links")
     before = components(near)
@@ -80,11 +79,10 @@ def classes(
     rest = written(_crowds(one, met, first, least), "spot-links")
     label = components(near.unionByName(rest)).withColumnRenamed("component", "root")
     named = F.coalesce(F.col("root.id"), F.col("node.id"))
-    found = one.join(label, "node", "left").where("rows > 1 or root is not null").select(
-        "digest", F.when(named != NO_ID, named).alias("component_id"))
-    # a written table: its size is known, so a small one is broadcast and rows need not move to it
-    found = written(found, "spot-found")
-    for used in (one, met, near, before, first, rest, label):
+    found = one.select("node", "rows", "digest").join(label, "node", "left").where(
+        "rows > 1 or root is not null").select("digest", F.when(named != NO_ID, named).alias("component_id"))
+    found = written(holders.join(found, "digest").select("doc_id", "digest", "component_id"), "spot-found")
+    for used in (one, holders, met, near, before, first, rest, label):
         drop_written(used)
     return found
 

@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from wayside.llm.common import map_texts, slices
+from wayside.llm.common import giving_back, map_texts, slices, unzipped, zipped
 
 #: Content words of a chain.
 CHAIN = 2
@@ -118,7 +118,9 @@ def with_spot_signatures(
     return map_texts(docs, text, docs.columns if keep is None else keep, fields, lambda: compute)
 
 
-def edited_halves(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def edited_halves(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", classes: DataFrame | None = None
+) -> DataFrame:
     """Every text's fingerprint beside that of its edited text and of the next document's text.
 
     The edited text has its last floor(n/2) code points replaced by the first as many, or all, of
@@ -126,7 +128,9 @@ def edited_halves(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     counts as the smallest and a repeated one is ordered by text; null texts are empty.
 
     Rows are dealt out by ranges of doc_id and sorted within; only the first row of each range is
-    also sent to the range before it, so that texts move once.
+    also sent to the range before it, so that texts move once, zipped.  With ``classes``, a table of
+    ``doc_id``, ``digest`` of the fingerprint and ``component_id``, rows also get their ``component_id``
+    (their doc_id without one): each class goes to its document's range and stands before its rows.
     """
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), key.alias("key"),
@@ -156,35 +160,49 @@ def edited_halves(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
         return pd.Series([[2 * p, 2 * b + 1] if again else [2 * p]
                           for p, b, again in zip(part.tolist(), before.tolist(), begins.tolist())])
 
-    dealt = rows.withColumn("place", F.explode(places("key"))).select(
-        F.shiftright("place", 1).alias("part"), (F.col("place") % 2).alias("tail"),
-        "doc_id", "text", "key")
-    dealt = dealt.repartition(parts, "part").sortWithinPartitions("part", "tail", "key", "text")
-    return dealt.select("part", "tail", "doc_id", "text").mapInArrow(
-        _with_next,
-        "doc_id long, n_chars long, edited_sha256 string, fingerprint string,"
-        " edited_fingerprint string, near_edited double, near_next double")
+    dealt = rows.withColumn("zip", zipped("text")).withColumn("place", F.explode(places("key"))).select(
+        F.shiftright("place", 1).alias("part"), (F.col("place") % 2).alias("tail"), "key",
+        F.lit(1).alias("kind"), "doc_id", "zip", F.lit(None).cast("binary").alias("digest"),
+        F.lit(None).cast("long").alias("component"))
+    if classes is not None:
+        own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+        dealt = dealt.unionByName(classes.select(
+            place(own).alias("part"), F.lit(0).alias("tail"), own.alias("key"), F.lit(0).alias("kind"),
+            F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("zip"),
+            "digest", F.col("component_id").alias("component")))
+    dealt = dealt.repartition(parts, "part").withColumn("text", unzipped("zip"))
+    dealt = dealt.sortWithinPartitions("part", "tail", "key", "kind", "text")
+    schema = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string,"
+              " edited_fingerprint string, near_edited double, near_next double, component_id long")
+    done = dealt.select("part", "tail", "doc_id", "text", "key", "kind", "digest", "component").mapInArrow(
+        giving_back(_with_next), schema)
+    return done if classes is not None else done.drop("component_id")
 
 
 def _with_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs every row with the one after it; a range's rows end with one row of the next range."""
-    last = None
+    last = key = None
+    found: dict = {}
     for batch in batches:
         for start, stop in slices(batch.column(3)):
             cut = batch.slice(start, stop - start)
-            rows = list(zip(*(c.to_pylist() for c in cut.columns)))
             pairs = []
-            for row in rows:
-                if last is not None and row[0] == last[0]:
-                    pairs.append((last[2], last[3], row[3]))
-                last = None if row[1] else row
+            for part, tail, doc_id, text, at, kind, digest, component in zip(*(c.to_pylist() for c in cut.columns)):
+                if (part, at) != key:
+                    key, found = (part, at), {}
+                if not kind:
+                    found[digest] = component
+                    continue
+                if last is not None and part == last[0]:
+                    pairs.append((*last[1:], text))
+                last = None if tail else (part, doc_id, found, text)
             if pairs:
                 yield _compared(pairs)
 
 
 def _compared(pairs: list[tuple]) -> pa.RecordBatch:
-    texts = [t for _, t, _ in pairs]
-    after = [t for _, _, t in pairs]
+    texts = [t for _, _, t, _ in pairs]
+    after = [t for _, _, _, t in pairs]
     edited = [t[: len(t) - len(t) // 2] + u[: len(t) // 2] for t, u in zip(texts, after)]
     own, changed = signature_sets(texts), signature_sets(edited)
     chained = [i for i in range(len(pairs) - 1) if after[i] is texts[i + 1]]
@@ -194,15 +212,19 @@ def _compared(pairs: list[tuple]) -> pa.RecordBatch:
     rest = [i for i, s in enumerate(following) if s is None]
     for i, s in zip(rest, signature_sets([after[i] for i in rest])):
         following[i] = s
+    prints = [as_text(s) for s in own]
+    labels = [found.get(hashlib.md5(p.encode()).digest(), d) if found else d
+              for p, (d, found, _, _) in zip(prints, pairs)]
     columns = [
-        pa.array([d for d, _, _ in pairs], pa.int64()),
+        pa.array([d for d, _, _, _ in pairs], pa.int64()),
         pa.array([len(t) for t in texts], pa.int64()),
         pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited]),
-        pa.array([as_text(s) for s in own], pa.string()),
+        pa.array(prints, pa.string()),
         pa.array([as_text(s) for s in changed], pa.string()),
         pa.array([likeness(a, b) for a, b in zip(own, changed)], pa.float64()),
         pa.array([likeness(a, b) for a, b in zip(own, following)], pa.float64()),
+        pa.array([d if c is None else c for c, (d, _, _, _) in zip(labels, pairs)], pa.int64()),
     ]
     return pa.RecordBatch.from_arrays(columns, names=[
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
-        "near_next"])
+        "near_next", "component_id"])
