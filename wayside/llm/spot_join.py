@@ -191,20 +191,22 @@ def _crowds(one: DataFrame, met: DataFrame, found: DataFrame, least: float) -> D
         lambda members: block_links(members, least), f"a {NODE}, b {NODE}")
 
 
-def block_links(members: pa.Table, least: float) -> pa.Table:
+def block_links(members: pa.Table, least: float, kind: str = "<u4") -> pa.Table:
     """Links between the sets of two blocks, or within one: enough to join what links join."""
     members = members.combine_chunks()
-    sets = [_signatures(s) for s in members.column("set")]
+    sets = [np.frombuffer(s.as_py(), kind) for s in members.column("set")]
     size = np.array([len(s) for s in sets], np.int64)
     guest = members.column("guest").to_numpy(zero_copy_only=False).astype(bool)
     block = members.column("block").to_numpy()
     parent = np.unique(members.column("class").to_numpy(), return_inverse=True)[1].tolist()
     owner = np.repeat(np.arange(len(sets)), size)
     shared = np.zeros((len(sets), len(sets)), np.float32)
-    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    codes, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    some = times[codes] > 1  # what one set has no two share
+    codes, owner = np.cumsum(times > 1)[codes[some]] - 1, owner[some]
     order = np.argsort(codes, kind="stable")
     codes, owner = codes[order], owner[order]
-    for start in range(0, int(codes[-1]) + 1, 4096):
+    for start in range(0, int((times > 1).sum()), 4096):
         lo, hi = np.searchsorted(codes, [start, start + 4096])
         held = np.zeros((len(sets), 4096), np.float32)
         held[owner[lo:hi], codes[lo:hi] - start] = 1
